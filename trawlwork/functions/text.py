@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from html.entities import html5
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,11 +35,12 @@ _ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
 
 @lru_cache(maxsize=1)
 def _entity_table() -> str:
-    """``name=text`` entries from the standard library; numbers 128-159 follow Windows-1252.
+    """``name=text`` entries: the HTML 4 names of the standard library, and 128-159 as Windows-1252.
 
-    Short names come first: they are the frequent ones and the lookup is a scan.
+    The table travels inside plans, so it is kept small: the rarer HTML 5 names are left to
+    :func:`html_to_text_tolerant`. Short names come first: they are the frequent ones, the lookup is a scan.
     """
-    table = {name.rstrip(";"): text for name, text in html5.items()}
+    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
     for code in range(128, 160):
         text = bytes([code]).decode("cp1252", errors="ignore")
         if text:
@@ -173,15 +174,17 @@ def anchor_attributes(html: Column) -> Column:
     return F.regexp_extract_all(visible, F.lit(rf"(?i)<a([\s/]{_ATTRIBUTES})>"), F.lit(1))
 
 
+def raw_attribute(attributes: Column, name: str) -> Column:
+    """Value of one attribute of a tag as written, without its quotes; null when absent."""
+    pairs = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE), F.lit(0))
+    mine = F.filter(pairs, lambda p: F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)) == F.lit(name))
+    value = F.regexp_replace(F.try_element_at(mine, F.lit(-1)), r"^[^\s=]+(?:\s*=\s*)?", "")
+    return F.regexp_replace(value, r"""^(["'])([\s\S]*)\1\z""", "$2")
+
+
 def attribute_value(attributes: Column, name: str) -> Column:
     """Value of one attribute of a tag: quotes removed, entities decoded, null when absent."""
-    pairs = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE), F.lit(0))
-    mine = F.filter(
-        pairs, lambda p: F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)) == F.lit(name)
-    )
-    raw = F.try_element_at(mine, F.lit(-1))
-    value = F.regexp_replace(raw, r"^[^\s=]+(?:\s*=\s*)?", "")
-    return decode_entities(F.regexp_replace(value, r"""^(["'])([\s\S]*)\1\z""", "$2"))
+    return decode_entities(raw_attribute(attributes, name))
 
 
 def fill_prompt(template: str, text: Column) -> Column:

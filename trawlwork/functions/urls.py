@@ -15,6 +15,7 @@ URL_REGEX = (
     r"((?:[^?#]*/)?[^/?#;]*)(?:;([^/?#]*))?(?:\?([^#]*))?(?:#([\s\S]*))?\z"
 )
 _SEP = "\u0001"
+_PART_NAMES = ("scheme", "netloc", "host", "port", "path", "params", "query", "fragment")
 # Whitespace as text tools define it (Spark's ``trim`` alone removes spaces only).
 _BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -37,21 +38,23 @@ def url_parts(url: Column) -> Column:
     host or port is null.
     """
     clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    bits = F.split(F.regexp_replace(clean, URL_REGEX, _SEP.join(f"${i}" for i in range(1, 7))), _SEP)
-    netloc = bits[1]
-    address = F.regexp_extract(netloc, r"([^@]*)\z", 1)
-    host = F.lower(F.regexp_extract(address, r"^\[?((?<=\[)[^\]]*|[^:\[]*)", 1))
-    port = F.regexp_extract(address, r":([0-9]+)\z", 1).try_cast("int")
-    return F.struct(
-        F.lower(bits[0]).alias("scheme"),
-        netloc.alias("netloc"),
-        F.nullif(host, F.lit("")).alias("host"),
-        port.alias("port"),
-        bits[2].alias("path"),
-        bits[3].alias("params"),
-        bits[4].alias("query"),
-        bits[5].alias("fragment"),
-    )
+    split = F.split(F.regexp_replace(clean, URL_REGEX, _SEP.join(f"${i}" for i in range(1, 7))), _SEP)
+
+    def named(bits: Column) -> Column:
+        address = F.regexp_extract(bits[1], r"([^@]*)\z", 1)
+        host = F.lower(F.regexp_extract(address, r"^\[?((?<=\[)[^\]]*|[^:\[]*)", 1))
+        return F.struct(
+            F.lower(bits[0]).alias("scheme"),
+            bits[1].alias("netloc"),
+            F.nullif(host, F.lit("")).alias("host"),
+            F.regexp_extract(address, r":([0-9]+)\z", 1).try_cast("int").alias("port"),
+            bits[2].alias("path"),
+            bits[3].alias("params"),
+            bits[4].alias("query"),
+            bits[5].alias("fragment"),
+        )
+
+    return let(split, named)
 
 
 def url_domain(url: Column) -> Column:
@@ -61,8 +64,7 @@ def url_domain(url: Column) -> Column:
 
 def is_valid_url(url: Column) -> Column:
     """True when the URL has both a scheme and a netloc."""
-    parts = url_parts(url)
-    return F.coalesce((parts["scheme"] != "") & (parts["netloc"] != ""), F.lit(False))
+    return F.coalesce(let(url_parts(url), lambda p: (p["scheme"] != "") & (p["netloc"] != "")), F.lit(False))
 
 
 def _form_decode(text: Column) -> Column:
@@ -97,42 +99,52 @@ def canonical_url(url: Column) -> Column:
 
     An explicit port is kept, also a default one; port 0 is dropped. A URL without a host gives null.
     """
-    parts = url_parts(url)
-    path = F.when(parts["path"] == "", F.lit("/")).otherwise(parts["path"])
-    query = F.when(parts["query"] == "", F.lit("")).otherwise(_canonical_query(parts["query"]))
-    return F.when(
-        parts["host"].isNotNull(),
-        F.concat(
-            F.when(parts["scheme"] == "", F.lit("")).otherwise(F.concat(parts["scheme"], F.lit(":"))),
-            F.lit("//"),
-            parts["host"],
-            F.when(parts["port"] > 0, F.concat(F.lit(":"), parts["port"].cast("string"))).otherwise(F.lit("")),
-            F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)),
-            F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
-        ),
-    )
+
+    def build(p: Column) -> Column:
+        query = F.when(p["query"] == "", F.lit("")).otherwise(_canonical_query(p["query"]))
+        return F.when(
+            p["host"].isNotNull(),
+            F.concat(
+                F.when(p["scheme"] == "", F.lit("")).otherwise(F.concat(p["scheme"], F.lit(":"))),
+                F.lit("//"),
+                p["host"],
+                F.when(p["port"] > 0, F.concat(F.lit(":"), p["port"].cast("string"))).otherwise(F.lit("")),
+                F.when(p["path"].startswith("/"), p["path"]).otherwise(F.concat(F.lit("/"), p["path"])),
+                let(query, lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q))),
+            ),
+        )
+
+    return let(url_parts(url), build)
 
 
 def _remove_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` in a path; inner empty segments go, as in a relative-reference merge."""
-    segs = F.split(path, "/")
-    last = F.element_at(segs, -1)
-    kept = F.aggregate(
-        F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 2, F.lit(0))),
-        F.slice(segs, 1, 0),
-        lambda done, seg: F.when(seg.isin("", "."), done)
-        .when(seg == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.array_append(done, seg)),
-    )
-    tail = (
-        F.when(last == ".", F.array_append(kept, F.lit("")))
-        .when(
-            last == "..",
-            F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.lit("")),
+
+    def shorter(done: Column) -> Column:
+        return F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+
+    def resolve(segs: Column) -> Column:
+        last = F.element_at(segs, -1)
+        kept = F.aggregate(
+            F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 2, F.lit(0))),
+            F.slice(segs, 1, 0),
+            lambda done, seg: F.when(seg.isin("", "."), done)
+            .when(seg == "..", shorter(done))
+            .otherwise(F.array_append(done, seg)),
         )
-        .otherwise(F.array_append(kept, last))
-    )
-    return F.concat(F.lit("/"), F.array_join(tail, "/"))
+        tail = let(
+            kept,
+            lambda k: F.when(last == ".", F.array_append(k, F.lit("")))
+            .when(last == "..", F.array_append(shorter(k), F.lit("")))
+            .otherwise(F.array_append(k, last)),
+        )
+        return F.concat(F.lit("/"), F.array_join(tail, "/"))
+
+    return let(F.split(path, "/"), resolve)
+
+
+def _prefixed(mark: str, text: Column) -> Column:
+    return F.when(text == "", text).otherwise(F.concat(F.lit(mark), text))
 
 
 def resolve_link(base: Column, href: Column) -> Column:
@@ -141,47 +153,59 @@ def resolve_link(base: Column, href: Column) -> Column:
     Covers absolute, scheme-relative, root-relative, relative, query-only, fragment-only and
     dot-segment references. References of another scheme come back unchanged.
     """
-    b, h = url_parts(base), url_parts(href)
-    hierarchical = h["scheme"].isin("", "http", "https", "ftp", "file")
-    same_scheme = (h["scheme"] == "") | (h["scheme"] == b["scheme"])
-    bare = (h["path"] == "") & (h["params"] == "")
-    directory = F.regexp_replace(b["path"], r"[^/]*\z", "")
-    merged = F.when(h["path"].startswith("/"), h["path"]).otherwise(
-        F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), h["path"])
-    )
-    path = F.when(bare, b["path"]).otherwise(
+
+    def merge(b: Column, h: Column) -> Column:
+        """``struct<netloc, path, params, query>`` of a reference within the base's scheme."""
+        bare = (h["path"] == "") & (h["params"] == "")
+        directory = F.regexp_replace(b["path"], r"[^/]*\z", "")
+        merged = F.when(h["path"].startswith("/"), h["path"]).otherwise(
+            F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), h["path"])
+        )
         # The fold over segments runs only for paths that need it.
-        F.when(merged.rlike(r"/\.|//"), _remove_dot_segments(merged)).otherwise(merged)
-    )
-    params = F.when(bare, b["params"]).otherwise(h["params"])
-    query = F.when(bare & (h["query"] == ""), b["query"]).otherwise(h["query"])
-
-    def assemble(netloc: Column, path: Column, params: Column, query: Column) -> Column:
-        return F.concat(
-            b["scheme"],
-            F.lit("://"),
-            netloc,
-            F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path),
-            F.when(params == "", F.lit("")).otherwise(F.concat(F.lit(";"), params)),
-            F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
-            F.when(h["fragment"] == "", F.lit("")).otherwise(F.concat(F.lit("#"), h["fragment"])),
+        clean = let(merged, lambda m: F.when(m.rlike(r"/\.|//"), _remove_dot_segments(m)).otherwise(m))
+        own = h["netloc"] != ""
+        return F.struct(
+            F.when(own, h["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+            F.when(own, h["path"]).when(bare, b["path"]).otherwise(clean).alias("path"),
+            F.when(~own & bare, b["params"]).otherwise(h["params"]).alias("params"),
+            F.when(~own & bare & (h["query"] == ""), b["query"]).otherwise(h["query"]).alias("query"),
         )
 
-    return (
-        F.when(href.isNull() | (href == ""), base)
-        .when(base.isNull() | (base == "") | ~same_scheme | ~hierarchical, href)
-        .when(h["netloc"] != "", assemble(h["netloc"], h["path"], h["params"], h["query"]))
-        .otherwise(assemble(b["netloc"], path, params, query))
-    )
+    def build(b: Column, h: Column) -> Column:
+        hierarchical = h["scheme"].isin("", "http", "https", "ftp", "file")
+        same_scheme = (h["scheme"] == "") | (h["scheme"] == b["scheme"])
+        joined = let(
+            merge(b, h),
+            lambda m: F.concat(
+                b["scheme"],
+                F.lit("://"),
+                m["netloc"],
+                F.when(m["path"].startswith("/"), m["path"]).otherwise(_prefixed("/", m["path"])),
+                _prefixed(";", m["params"]),
+                _prefixed("?", m["query"]),
+                _prefixed("#", h["fragment"]),
+            ),
+        )
+        return F.when(same_scheme & hierarchical, joined).otherwise(h["whole"])
+
+    def start(both: Column) -> Column:
+        base, href = both["base"], both["href"]
+        parts = url_parts(href)
+        with_whole = let(parts, lambda p: F.struct(*[p[f].alias(f) for f in _PART_NAMES], href.alias("whole")))
+        resolved = let(url_parts(base), lambda b: let(with_whole, lambda h: build(b, h)))
+        return F.when(href.isNull() | (href == ""), base).when(base.isNull() | (base == ""), href).otherwise(resolved)
+
+    return let(F.struct(base.alias("base"), href.alias("href")), start)
 
 
 def crawl_key_url(url: Column, base: Column | None = None) -> Column:
     """Key of a page inside a crawl: ``scheme://netloc/path`` without query, fragment and end slashes."""
     trimmed = strip(url)
-    parts = url_parts(trimmed if base is None else resolve_link(base, trimmed))
-    return F.regexp_replace(
-        F.concat(parts["scheme"], F.lit("://"), parts["netloc"], parts["path"]), r"/+\z", ""
+    whole = let(
+        url_parts(trimmed if base is None else resolve_link(base, trimmed)),
+        lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"]),
     )
+    return F.regexp_replace(whole, r"(?<!/)/+\z", "")
 
 
 def path_has_repeat(path: Column) -> Column:
@@ -189,8 +213,8 @@ def path_has_repeat(path: Column) -> Column:
 
     A longer repeated run repeats its first segment too, so looking at single segments is enough.
     """
-    segs = F.split(F.regexp_replace(path, r"^/+|/+\z", ""), "/")
-    return F.size(F.array_distinct(segs)) < F.size(segs)
+    segments = F.split(F.btrim(path, F.lit("/")), "/")
+    return let(segments, lambda segs: F.size(F.array_distinct(segs)) < F.size(segs))
 
 
 def content_route(url: Column) -> Column:
@@ -203,9 +227,9 @@ def url_segments(url: Column) -> Column:
 
     Empty pieces go before trimming, nothing is percent-decoded, order and duplicates stay.
     """
-    parts = url_parts(url)
-    components = F.concat(
-        F.split(parts["path"], "/"), F.split(parts["query"], "&"), F.split(parts["fragment"], "&")
+    components = let(
+        url_parts(url),
+        lambda p: F.concat(F.split(p["path"], "/"), F.split(p["query"], "&"), F.split(p["fragment"], "&")),
     )
     pieces = F.flatten(F.transform(components, lambda c: F.split(c, "[._-]")))
     return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: strip(F.lower(p)))

@@ -1,6 +1,8 @@
 """Vectors of phrases and their similarity.
 
-Vector arithmetic runs in numpy on Arrow batches; only the few target phrases travel with the tasks.
+Vector arithmetic runs in numpy on Arrow batches; only the few target phrases travel with the tasks. The
+functions are marked nondeterministic so that the optimizer keeps each of them at one place in the plan
+instead of copying it into every expression that mentions its result.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def best_similarity(phrases: Column, groups: dict[str, list[str]], embed: Embedd
     def score(batch: pd.Series) -> pd.Series:
         return pd.Series(_best_of_lists(batch, targets, embed), dtype=object)
 
-    return score(phrases)
+    return score.asNondeterministic()(phrases)
 
 
 def best_vector_similarity(vector: Column, targets: Targets) -> Column:
@@ -128,7 +130,7 @@ def best_vector_similarity(vector: Column, targets: Targets) -> Column:
         best = targets.best(batch.tolist())
         return pd.Series([[None if np.isnan(x) else float(x) for x in row] for row in best], dtype=object)
 
-    return score(vector)
+    return score.asNondeterministic()(vector)
 
 
 def embed_column(phrases: Column, embed: Embedding = trigram_embedding) -> Column:
@@ -146,7 +148,7 @@ def embed_column(phrases: Column, embed: Embedding = trigram_embedding) -> Colum
         )
         return out
 
-    return run(phrases)
+    return run.asNondeterministic()(phrases)
 
 
 def _dot(left: Column, right: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trawlwork.functions import text as X
 from trawlwork.functions import urls as U
+from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import (
     PROMPT_HTML_EXTRACT,
@@ -34,8 +35,8 @@ def extract_links(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.col("href").isNotNull()
     )
     links = hrefs.withColumn("link", U.resolve_link(F.col("url"), F.col("href")))
-    target = U.url_parts(F.col("link"))
-    same_site = links.filter((target["netloc"] == U.url_domain(F.col("url"))) & (target["path"] != ""))
+    domain = U.url_domain(F.col("url"))
+    same_site = links.filter(U.let(U.url_parts(F.col("link")), lambda p: (p["netloc"] == domain) & (p["path"] != "")))
     return same_site.groupBy(*keys, "link").agg(F.min("position").alias("position"))
 
 
@@ -48,17 +49,17 @@ def find_menu_link(html: Column) -> Column:
     def first_href(tags: Column, item: str, tooltip: str) -> Column:
         mine = F.filter(
             tags,
-            lambda t: (X.attribute_value(t, "data-item-id") == item)
-            & (X.attribute_value(t, "data-tooltip") == tooltip),
+            lambda t: (X.raw_attribute(t, "data-item-id") == item) & (X.raw_attribute(t, "data-tooltip") == tooltip),
         )
-        return F.nullif(X.attribute_value(F.try_element_at(mine, F.lit(1)), "href"), F.lit(""))
+        return F.nullif(X.raw_attribute(F.try_element_at(mine, F.lit(1)), "href"), F.lit(""))
 
-    return U.let(
+    href = U.let(
         X.anchor_attributes(html),
         lambda tags: F.coalesce(
             first_href(tags, "menu", "Open menu link"), first_href(tags, "authority", "Open website")
         ),
     )
+    return X.decode_entities(href)
 
 
 def pages_to_document_text(pages: DataFrame, key: str, page_no: str, text: str = "text") -> DataFrame:
@@ -202,7 +203,9 @@ def resolve_redirects(requests: DataFrame, redirects: DataFrame, content: DataFr
     without content is a miss. Only flags move: the content itself joins later, by ``final_url``.
     """
     wanted = requests.select("url", U.canonical_url(F.col("url")).alias("_key"))
-    mapped = lookup_join(wanted, redirects.select(F.col("url").alias("_key"), "final_url"), ["_key"])
+    mapped = cut(
+        lookup_join(cut(wanted, "wanted"), redirects.select(F.col("url").alias("_key"), "final_url"), ["_key"]), "mapped"
+    )
     stored = content.filter("has_content").select(F.col("url").alias("final_url"), F.lit(True).alias("_stored"))
     return lookup_join(mapped, stored, ["final_url"]).select(
         "url",
@@ -229,9 +232,12 @@ def robots_filter(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
         ).alias("rule"),
     )
     by_domain = ranked.groupBy("domain").agg(F.sort_array(F.collect_list("rule")).alias("_rules"))
-    parts = U.url_parts(F.col("url"))
-    path = F.when(parts["path"] == "", F.lit("/")).otherwise(parts["path"])
-    keyed = pages.withColumn("domain", parts["netloc"]).withColumn("_path", path)
+    keyed = (
+        pages.withColumn("_parts", U.url_parts(F.col("url")))
+        .withColumn("domain", F.col("_parts.netloc"))
+        .withColumn("_path", F.when(F.col("_parts.path") == "", F.lit("/")).otherwise(F.col("_parts.path")))
+        .drop("_parts")
+    )
     matching = F.filter(
         "_rules",
         lambda r: (r["general"] == F.col("_rules")[0]["general"])

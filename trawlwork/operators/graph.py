@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.functions.urls import content_route, crawl_key_url, path_has_repeat
+from trawlwork.functions.urls import canonical_url, content_route, crawl_key_url, path_has_repeat
 from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import hot_keys
 from trawlwork.settings import DEPTH_LIMIT, HOT_KEY_ROWS
@@ -49,10 +49,11 @@ def _follow(frontier: DataFrame, links: DataFrame, hubs: DataFrame) -> DataFrame
     hub = F.broadcast(hubs.withColumn("_hub", F.lit(True)))
     share = F.when(F.col("_hub"), F.pmod(F.xxhash64("link"), F.lit(_HUB_SHARES))).otherwise(F.lit(0))
     shares = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(_HUB_SHARES - 1))).otherwise(F.array(F.lit(0)))
+    shares = shares.cast("array<bigint>")
     parents = (
         frontier.select("root", F.col("url").alias("parent_url"), "path")
         .join(hub.withColumnRenamed("url", "parent_url"), "parent_url", "left")
-        .withColumn("_share", F.explode(shares).cast("bigint"))
+        .withColumn("_share", F.explode(shares))
         .drop("_hub")
     )
     children = (
@@ -103,17 +104,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def crawl_bfs_relevant(
-    roots: DataFrame, links: DataFrame, relevant: DataFrame, depth_limit: int = DEPTH_LIMIT, hub_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """:func:`crawl_bfs` over the links whose target is in ``relevant(link)``.
-
-    Relevance depends on the URL alone, so it is applied once, ahead of the loop.
-    """
-    kept = links.join(relevant.select("link").distinct(), "link", "left_semi")
-    return crawl_bfs(roots, cut(kept.select("url", "link", "position"), "links"), depth_limit, hub_rows)
-
-
 def link_table(page_links: DataFrame) -> DataFrame:
     """``(url, link, position)`` with crawl keys, from ``(url, link, position)`` as extracted."""
     keyed = page_links.select(
@@ -122,6 +112,18 @@ def link_table(page_links: DataFrame) -> DataFrame:
     return keyed.groupBy("url", "link").agg(F.min("position").alias("position"))
 
 
+def crawl_bfs_relevant(
+    roots: DataFrame, page_links: DataFrame, relevant: DataFrame, depth_limit: int = DEPTH_LIMIT, hub_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """:func:`crawl_bfs` along ``page_links(url, link, position)`` whose canonical link is in ``relevant(url)``.
+
+    Relevance depends on the URL alone, so it is applied once, ahead of the loop.
+    """
+    canonical = page_links.withColumn("link", canonical_url(F.col("link")))
+    kept = canonical.join(relevant.select(F.col("url").alias("link")).distinct(), "link", "left_semi")
+    return crawl_bfs(roots, cut(link_table(kept.select("url", "link", "position")), "links"), depth_limit, hub_rows)
+
+
 def dedupe_visited_nodes(nodes: DataFrame, tree: str = "root") -> DataFrame:
     """One node per tree and URL, the first by depth and queue order (redirects can make nodes equal)."""
     others = [c for c in nodes.columns if c not in (tree, "url")]

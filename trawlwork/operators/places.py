@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.operators.content import find_menu_link
+from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import LOOKUP_RADIUS_M
 
@@ -61,9 +62,9 @@ def place_sites(places: DataFrame, details: DataFrame, listings: DataFrame) -> t
     ``details(place_id, google_url)`` and ``listings(google_url, html)`` hold at most one row per key. The
     site is the menu link of the listing page, else its website link.
     """
-    # Listing pages shrink to one address before they are joined.
-    sites = listings.select("google_url", find_menu_link(F.col("html")).alias("establishment_url"))
-    located = lookup_join(places, details.select("place_id", "google_url"), ["place_id"])
+    # Listing pages are parsed once and shrink to one address before they are joined.
+    sites = cut(listings.select("google_url", find_menu_link(F.col("html")).alias("establishment_url")), "sites")
+    located = cut(lookup_join(places, details.select("place_id", "google_url"), ["place_id"]), "located")
     joined = lookup_join(located, sites, ["google_url"])
     found = F.col("google_url").isNotNull() & F.col("establishment_url").isNotNull()
     return joined.filter(found), joined.filter(~found).select(*places.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.text import html_to_text
-from trawlwork.functions.urls import canonical_url, crawl_key_url
+from trawlwork.functions.urls import crawl_key_url
 from trawlwork.functions.vectors import Embedding, trigram_embedding
 from trawlwork.operators.content import extract_links, parse_item_lines, pick_response
 from trawlwork.operators.graph import (
@@ -17,7 +17,7 @@ from trawlwork.operators.graph import (
     reachable_nodes,
     subtree_rollup,
 )
-from trawlwork.operators.relevance import url_relevance
+from trawlwork.operators.relevance import filter_relevant_urls
 from trawlwork.operators.scoring import match_items
 from trawlwork.plans.lineage import cut
 from trawlwork.settings import DEPTH_LIMIT, SIMILARITY_THRESHOLD, TARGET_URL_KEYWORDS
@@ -48,13 +48,11 @@ def build_trees(
     """
     roots = sites.select(crawl_key_url(F.col("establishment_url")).alias("root")).distinct()
     extracted = cut(extract_links(pages), "page-links")
-    links = cut(link_table(extracted), "links")
     if relevance_threshold is None:
-        crawled = crawl_bfs(roots, links, depth_limit)
+        crawled = crawl_bfs(roots, cut(link_table(extracted), "links"), depth_limit)
     else:
-        urls = extracted.select(canonical_url(F.col("link")).alias("url")).filter(F.col("url").isNotNull())
-        relevant = url_relevance(urls, keywords, embed).filter(F.col("score") > relevance_threshold)
-        crawled = crawl_bfs_relevant(roots, links, relevant.select(crawl_key_url(F.col("url")).alias("link")), depth_limit)
+        relevant = filter_relevant_urls(extracted.select(F.col("link").alias("url")), relevance_threshold, keywords, embed)
+        crawled = crawl_bfs_relevant(roots, extracted, relevant, depth_limit)
     stored = pages.select(crawl_key_url(F.col("url")).alias("url")).distinct().withColumn("has_content", F.lit(True))
     keyed = responses.withColumn("url", crawl_key_url(F.col("url")))
     items = parse_item_lines(pick_response(keyed, "url"), ["url"])

@@ -29,7 +29,7 @@ def lookup_join(
     """Join many rows to a table that is unique by ``on``.
 
     Rows of hot keys meet their (at most ``MAX_HOT_KEYS``) partners by broadcast and are not shuffled.
-    All other rows join as Spark plans it. ``left`` is read more than once: cut it first if it is costly.
+    All other rows join as Spark plans it. Both sides are read more than once: cut a costly one first.
     """
     hot = F.broadcast(hot_keys(left, on, min_rows))
     flagged = left.join(hot.withColumn("_hot", F.lit(True)), on, "left")

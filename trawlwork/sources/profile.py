@@ -30,9 +30,8 @@ def load_profile(
         [(a, p, None if w is None else float(w), s) for a, p, w, s in rows],
         "attribute string, phrases array<string>, weight double, scored boolean",
     )
-    return raw.select(
-        "attribute", normalize_phrase(F.explode_outer("phrases")).alias("phrase"), "weight", "scored"
-    )
+    rows = raw.select("attribute", F.explode_outer("phrases").alias("phrase"), "weight", "scored")
+    return rows.withColumn("phrase", normalize_phrase(F.col("phrase")))
 
 
 @dataclass(frozen=True)
