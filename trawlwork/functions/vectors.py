@@ -1,18 +1,19 @@
 """Vectors of phrases and their similarity.
 
-Vector arithmetic runs in numpy on Arrow batches; only the few target phrases travel with the tasks. The
-functions are marked nondeterministic so that the optimizer keeps each of them at one place in the plan
-instead of copying it into every expression that mentions its result.
+Vector arithmetic runs in numpy on Arrow batches; only the few target phrases travel with the tasks. These
+steps are ``mapInArrow`` stages, so the optimizer can neither repeat them nor fold them into expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 256
 # Phrases handled at once: bounds a task's memory whatever the length of a batch's phrase lists.
@@ -92,63 +93,79 @@ class Targets:
         return out
 
 
-def _best_of_lists(lists: pd.Series, targets: Targets, embed: Embedding) -> list:
-    """Per list of phrases and group, the highest similarity; each distinct phrase is embedded once."""
-    filled = [[] if p is None else [x for x in p if x] for p in lists]
-    codes, phrases = pd.factorize(np.array([x for p in filled for x in p], dtype=object))
-    scores = np.concatenate(
-        [targets.best(embed(list(phrases[i : i + _BLOCK]))) for i in range(0, len(phrases), _BLOCK)]
-        or [np.zeros((0, len(targets.names)))]
-    )
-    scores = np.nan_to_num(scores, nan=-np.inf)
-    out, start = [], 0
-    for p in filled:
-        rows = codes[start : start + len(p)]
-        start += len(p)
-        best = scores[rows].max(axis=0) if len(p) else np.full(len(targets.names), -np.inf)
-        out.append([None if np.isinf(x) else float(x) for x in best])
-    return out
-
+def _list_array(values: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Rows of a matrix as Arrow lists; ``missing`` cells become null."""
+    offsets = np.arange(0, values.size + 1, values.shape[1] or 1, dtype=np.int32)[: len(values) + 1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), mask=missing.ravel()))
 
-def best_similarity(phrases: Column, groups: dict[str, list[str]], embed: Embedding = trigram_embedding) -> Column:
-    """``array<double>``: highest cosine similarity of a phrase list to each group, null where none exists."""
 
+def _best_of_lists(lists: pa.Array, targets: Targets, embed: Embedding) -> pa.Array:
+    """Per list of phrases and group, the highest similarity; each distinct phrase is embedded once."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    encoded = lists.flatten().dictionary_encode()
+    phrases = np.array(encoded.dictionary.to_pylist(), dtype=object)
+    scores = np.full((len(phrases), len(targets.names)), np.nan)
+    for start in range(0, len(phrases), _BLOCK):
+        block = phrases[start : start + _BLOCK]
+        scores[start : start + _BLOCK] = targets.best(embed(list(block)))
+    scores[np.isnan(scores) | (phrases == "")[:, None]] = -np.inf
+    best = np.full((len(lengths), len(targets.names)), -np.inf)
+    filled = lengths > 0
+    if filled.any():
+        rows = scores[encoded.indices.to_numpy(zero_copy_only=False)]
+        best[filled] = np.maximum.reduceat(rows, (np.cumsum(lengths) - lengths)[filled])
+    return _list_array(best, np.isinf(best))
+
+
+def with_best_similarity(
+    df: DataFrame, phrases: Column, groups: dict[str, list[str]], embed: Embedding, name: str
+) -> DataFrame:
+    """``df`` plus ``name array<double>``: the highest cosine similarity of each row's phrase list to each
+    group, null where there is none. One narrow stage; the target vectors are made once, on the driver.
+    """
     targets = Targets(groups, embed)
+    kept = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
-    @F.pandas_udf("array<double>")
-    def score(batch: pd.Series) -> pd.Series:
-        return pd.Series(_best_of_lists(batch, targets, embed), dtype=object)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = _best_of_lists(batch.column("_phrases"), targets, embed)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], best], [*kept, name])
 
-    return score.asNondeterministic()(phrases)
+    return df.withColumn("_phrases", phrases).mapInArrow(score, schema)
 
 
-def best_vector_similarity(vector: Column, targets: Targets) -> Column:
-    """The same for a vector column: highest similarity of the vector to each group of ``targets``."""
+def embed_rows(phrases: DataFrame, embed: Embedding) -> DataFrame:
+    """``(phrase, embedding)`` of ``phrases(phrase)``, without rows whose phrase cannot be embedded."""
 
-    @F.pandas_udf("array<double>")
-    def score(batch: pd.Series) -> pd.Series:
-        best = targets.best(batch.tolist())
-        return pd.Series([[None if np.isnan(x) else float(x) for x in row] for row in best], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = [p for p in batch.column("phrase").to_pylist() if p]
+            for start in range(0, len(wanted), _BLOCK):
+                block = wanted[start : start + _BLOCK]
+                pairs = [(p, v) for p, v in zip(block, embed(block), strict=True) if v is not None]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p for p, _ in pairs], pa.string()),
+                        pa.array([np.asarray(v, dtype=np.float32) for _, v in pairs], pa.list_(pa.float32())),
+                    ],
+                    ["phrase", "embedding"],
+                )
 
-    return score.asNondeterministic()(vector)
+    return phrases.select("phrase").mapInArrow(run, "phrase string, embedding array<float>")
 
 
-def embed_column(phrases: Column, embed: Embedding = trigram_embedding) -> Column:
-    """``array<float>`` vector of each phrase, null for a phrase that cannot be embedded."""
+def score_vectors(vectors: DataFrame, targets: Targets) -> DataFrame:
+    """``(phrase, best)`` of ``vectors(phrase, embedding)``: similarity of each vector to each group."""
 
-    @F.pandas_udf("array<float>")
-    def run(batch: pd.Series) -> pd.Series:
-        present = batch.notna() & (batch != "")
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        vectors = embed(batch[present].tolist())
-        out[present] = pd.Series(
-            [None if v is None else np.asarray(v, dtype=np.float32) for v in vectors],
-            index=batch.index[present],
-            dtype=object,
-        )
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = targets.best(batch.column("embedding").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("phrase"), _list_array(best, np.isnan(best))], ["phrase", "best"]
+            )
 
-    return run.asNondeterministic()(phrases)
+    return vectors.select("phrase", "embedding").mapInArrow(run, "phrase string, best array<double>")
 
 
 def _dot(left: Column, right: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.urls import canonical_url, url_segments
-from trawlwork.functions.vectors import Embedding, best_similarity, trigram_embedding
+from trawlwork.functions.vectors import Embedding, trigram_embedding, with_best_similarity
 from trawlwork.operators.cache import cache_read_through
 from trawlwork.operators.scoring import _best_from_table
 from trawlwork.settings import MAX_TARGET_PHRASES, SIMILARITY_THRESHOLD, TARGET_URL_KEYWORDS
@@ -36,7 +36,7 @@ def url_relevance(
     groups = {"keyword": list(keywords)}
     segments = url_segments(F.col("url"))
     if vectors is None:
-        scored = distinct.withColumn("best", best_similarity(segments, groups, embed))
+        scored = with_best_similarity(distinct, segments, groups, embed, "best")
     else:
         scored = distinct.join(_best_from_table(distinct, ["url"], segments, groups, vectors), "url", "left")
     return scored.select("url", F.coalesce(F.col("best")[0], F.lit(0.0)).alias("score"))

@@ -17,10 +17,11 @@ from trawlwork.functions.text import normalize_phrase, word_ngrams
 from trawlwork.functions.vectors import (
     Embedding,
     Targets,
-    best_similarity,
-    best_vector_similarity,
+    score_vectors,
     trigram_embedding,
+    with_best_similarity,
 )
+from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import bounded_rows, lookup_join
 from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES, NAME_ATTRIBUTE, NAME_WEIGHT
 from trawlwork.sources.profile import Profile, collect_profile
@@ -53,8 +54,8 @@ def _best_from_table(
     """``(keys, best)`` from a table of vectors: each distinct phrase is scored once."""
     targets = _targets_from_table(groups, vectors)
     pieces = items.select(*keys, F.explode(F.array_distinct(phrases)).alias("phrase"))
-    scored = vectors.select("phrase", best_vector_similarity(F.col("embedding"), targets).alias("best"))
-    joined = lookup_join(pieces, scored, ["phrase"], "inner")
+    scored = cut(score_vectors(vectors, targets), "phrase-scores")
+    joined = lookup_join(cut(pieces, "phrases"), scored, ["phrase"], "inner")
     maxima = [F.max(F.col("best")[i]).alias(f"_b{i}") for i in range(len(groups))]
     return joined.groupBy(*keys).agg(*maxima).select(
         *keys, F.array(*[F.col(f"_b{i}") for i in range(len(groups))]).alias("best")
@@ -71,7 +72,7 @@ def _with_best(
     name: str,
 ) -> DataFrame:
     if vectors is None:
-        return items.withColumn(name, best_similarity(phrases, groups, embed))
+        return with_best_similarity(items, phrases, groups, embed, name)
     best = _best_from_table(items, keys, phrases, groups, vectors).withColumnRenamed("best", name)
     return items.join(best, keys, "left")
 

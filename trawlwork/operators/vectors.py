@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.text import normalize_phrase, word_ngrams
-from trawlwork.functions.vectors import Embedding, as_matrix, embed_column, trigram_embedding, unit_rows
+from trawlwork.functions.vectors import Embedding, as_matrix, embed_rows, trigram_embedding, unit_rows
 from trawlwork.plans.skew import bounded_rows
 from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES
 
@@ -34,8 +34,7 @@ def phrase_universe(items: DataFrame, max_n: int = MAX_NGRAM) -> DataFrame:
 
 def embed_phrases(phrases: DataFrame, embed: Embedding = trigram_embedding) -> DataFrame:
     """``(phrase, embedding)`` for distinct phrases; a phrase that cannot be embedded is absent."""
-    embedded = phrases.select("phrase", embed_column(F.col("phrase"), embed).alias("embedding"))
-    return embedded.filter(F.col("embedding").isNotNull())
+    return embed_rows(phrases, embed)
 
 
 def pairwise_similarity(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
