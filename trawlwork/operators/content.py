@@ -12,16 +12,13 @@ from trawlwork.functions import urls as U
 from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import (
+    PAGES_PER_PART,
     PROMPT_HTML_EXTRACT,
     PROMPT_PDF_EXTRACT,
     SHARD_ROWS,
     TOKEN_LIMIT,
 )
 
-# Pages of one document that are joined in one step.
-_PAGE_BLOCK = 1000
-
-
 def extract_links(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``(keys, link, position)`` for ``pages(keys, url, html)``: same-site links of every page.
 
@@ -62,21 +59,19 @@ def find_menu_link(html: Column) -> Column:
     return X.decode_entities(href)
 
 
-def pages_to_document_text(pages: DataFrame, key: str, page_no: str, text: str = "text") -> DataFrame:
-    """``(key, text)``: page texts joined in page order without separator, blank pages skipped.
+def pages_to_document_text(
+    pages: DataFrame, key: str, page_no: str, text: str = "text", pages_per_part: int = PAGES_PER_PART
+) -> DataFrame:
+    """``(key, part_no, text)``: page texts joined in page order without separator, blank pages skipped.
 
-    Pages are joined in blocks first, so a long document is put together by many tasks and the last step
-    sees one row per block.
+    A document of up to ``pages_per_part`` pages is one row. A longer one is consecutive rows, whole when
+    put together, so no task ever holds a document of unbounded length.
     """
     filled = pages.filter(F.coalesce(F.col(text) != "", F.lit(False)))
-    block = F.floor(F.col(page_no) / _PAGE_BLOCK)
-
-    def joined(order: str, part: str) -> Column:
-        pairs = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(part).alias("part"))))
-        return F.array_join(F.transform(pairs, lambda p: p["part"]), "")
-
-    blocks = filled.groupBy(key, block.alias("_block")).agg(joined(page_no, text).alias("_part"))
-    return blocks.groupBy(key).agg(joined("_block", "_part").alias("text"))
+    part = F.floor(F.col(page_no) / pages_per_part).alias("part_no")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(page_no), F.col(text).alias("text"))))
+    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "")
+    return filled.groupBy(key, part).agg(joined.alias("text"))
 
 
 def dispatch_content(content_type: Column, html: Column, pdf_text: Column) -> Column:

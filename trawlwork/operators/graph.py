@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trawlwork.functions.urls import canonical_url, content_route, crawl_key_url, path_has_repeat
 from trawlwork.plans.lineage import cut
-from trawlwork.plans.skew import hot_keys
+from trawlwork.plans.skew import hot_keys, lookup_join
 from trawlwork.settings import DEPTH_LIMIT, HOT_KEY_ROWS
 
 # Tasks that share the links of one hub page.
@@ -119,8 +119,9 @@ def crawl_bfs_relevant(
 
     Relevance depends on the URL alone, so it is applied once, ahead of the loop.
     """
-    canonical = page_links.withColumn("link", canonical_url(F.col("link")))
-    kept = canonical.join(relevant.select(F.col("url").alias("link")).distinct(), "link", "left_semi")
+    canonical = cut(page_links.select("url", canonical_url(F.col("link")).alias("link"), "position"), "canonical-links")
+    # Some link, such as a home page, is on very many pages.
+    kept = lookup_join(canonical, relevant.select(F.col("url").alias("link")).distinct(), ["link"], "inner")
     return crawl_bfs(roots, cut(link_table(kept.select("url", "link", "position")), "links"), depth_limit, hub_rows)
 
 

@@ -59,9 +59,9 @@ def max_similarity(left: DataFrame, right: DataFrame, key: str, limit: int = MAX
     Up to ``limit`` right vectors ride along with the tasks. Beyond that both sides are cut into blocks,
     every pair of blocks is one task, and only each left row's best score leaves it.
     """
-    if len(right.limit(limit + 1).take(limit + 1)) <= limit:
-        rows = [r["embedding"] for r in right.select("embedding").collect()]
-        targets = unit_rows(as_matrix(rows, None)) if rows else np.zeros((0, 1))
+    rows = right.select("embedding").limit(limit + 1).collect()
+    if len(rows) <= limit:
+        targets = unit_rows(as_matrix([r["embedding"] for r in rows], None)) if rows else np.zeros((0, 1))
 
         @F.pandas_udf("double")
         def best(vectors: pd.Series) -> pd.Series:

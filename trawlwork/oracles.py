@@ -187,7 +187,7 @@ links AS (
          min(position) AS position
   FROM hrefs WHERE raw LIKE '/%' GROUP BY ALL)"""
 
-_ORACLES["extract_links"] = f"WITH {_HREFS}, {_LINKS} SELECT page_id, link, position FROM links"
+_ORACLES["extract_links"] = f"WITH {_HREFS}, {_LINKS} SELECT page_id, link, CAST(position AS INT) AS position FROM links"
 
 _SITE = """CASE c_custkey % 5
     WHEN 0 THEN 'https://c' || c_custkey || '.example.com/menu?a=1&b=2'
@@ -208,7 +208,8 @@ _ORACLES["html_to_text"] = f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages"
 _ORACLES["html_to_text_tolerant"] = _ORACLES["html_to_text"]
 
 _ORACLES["pages_to_document_text"] = """
-SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id"""
+SELECT conv_id, CAST(0 AS BIGINT) AS part_no, string_agg(text, '' ORDER BY turn) AS text
+FROM conversations WHERE text <> '' GROUP BY conv_id"""
 
 _ORACLES["dispatch_content"] = f"""
 SELECT 'page-' || page_id AS id,
@@ -221,12 +222,12 @@ SELECT 'conv-' || conv_id, 'pdf', string_agg(text, '' ORDER BY turn) FROM conver
 _HEAD, _TAIL = (_text(t) for t in PROMPT_HTML_EXTRACT.split("{}"))
 
 _ORACLES["extraction_prompts"] = f"""
-SELECT doc_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5
+SELECT doc_id, CAST(length(prompt) AS INT) AS n_chars, md5(prompt) AS prompt_md5
 FROM (SELECT doc_id, {_HEAD} || text || {_TAIL} AS prompt FROM documents)"""
 
 _TOKENS = f"tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACE}+'), lambda x: x <> '') AS t FROM documents)"
 
-_ORACLES["token_counts"] = f"WITH {_TOKENS} SELECT doc_id, len(t) AS n_tokens FROM tokens"
+_ORACLES["token_counts"] = f"WITH {_TOKENS} SELECT doc_id, CAST(len(t) AS INT) AS n_tokens FROM tokens"
 
 _ORACLES["chunk_by_tokens"] = f"""
 WITH {_TOKENS}, starts AS (
@@ -355,7 +356,7 @@ WITH {_EDGES.replace("edges AS", "all_edges AS")}, edges AS (
 _ORACLES["crawl_pages"] = f"""
 WITH {_HREFS}, {_LINKS}, edges AS (
   SELECT regexp_replace(regexp_replace(url, '[?#;].*$', ''), '/+$', '') AS url,
-         regexp_replace(regexp_replace(link, '[?#].*$', ''), '/+$', '') AS link, min(position) AS position
+         regexp_replace(regexp_replace(link, '[?#].*$', ''), '/+$', '') AS link, CAST(min(position) AS INT) AS position
   FROM links GROUP BY ALL),
 roots AS (SELECT DISTINCT {_KEY} AS root FROM pages), {_levels(3)} {_crawl(3)}"""
 
@@ -457,7 +458,7 @@ WITH {_LINES}, tokenized AS (
 grams AS (
   SELECT doc_id, line, list_concat({_grams("t", 1)}, {_grams("t", 2)}, {_grams("t", 3)}) AS g FROM tokenized),
 whole AS (SELECT doc_id, flatten(list(g ORDER BY line)) AS g FROM grams GROUP BY doc_id)
-SELECT doc_id, len(g) AS n_grams, md5(array_to_string(g, '|')) AS grams_md5 FROM whole"""
+SELECT doc_id, CAST(len(g) AS INT) AS n_grams, md5(array_to_string(g, '|')) AS grams_md5 FROM whole"""
 
 
 def _vectors(source: str, name: str) -> str:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.functions.text import html_to_text
+from trawlwork.functions.text import clean_response, html_to_text
 from trawlwork.functions.urls import crawl_key_url
 from trawlwork.functions.vectors import Embedding, trigram_embedding
-from trawlwork.operators.content import extract_links, parse_item_lines, pick_response
+from trawlwork.operators.content import extract_links, parse_items, pick_response
 from trawlwork.operators.graph import (
     crawl_bfs,
     crawl_bfs_relevant,
@@ -20,6 +20,7 @@ from trawlwork.operators.graph import (
 from trawlwork.operators.relevance import filter_relevant_urls
 from trawlwork.operators.scoring import match_items
 from trawlwork.plans.lineage import cut
+from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import DEPTH_LIMIT, SIMILARITY_THRESHOLD, TARGET_URL_KEYWORDS
 from trawlwork.sources.tables import result_columns
 
@@ -53,17 +54,14 @@ def build_trees(
     else:
         relevant = filter_relevant_urls(extracted.select(F.col("link").alias("url")), relevance_threshold, keywords, embed)
         crawled = crawl_bfs_relevant(roots, extracted, relevant, depth_limit)
+    # One row per page key with all that the nodes need of it; a book comes out of one response, in its row.
     stored = pages.select(crawl_key_url(F.col("url")).alias("url")).distinct().withColumn("has_content", F.lit(True))
-    keyed = responses.withColumn("url", crawl_key_url(F.col("url")))
-    items = parse_item_lines(pick_response(keyed, "url"), ["url"])
-    books = items.groupBy("url").agg(
-        F.map_from_entries(F.collect_list(F.struct("item", "ingredients"))).alias("scraped_items")
-    )
+    answers = pick_response(responses.withColumn("url", crawl_key_url(F.col("url"))), "url")
+    books = answers.select("url", F.map_from_entries(parse_items(clean_response(F.col("response")))).alias("scraped_items"))
+    known = cut(stored.join(books, "url", "left"), "known-pages")
     empty = F.create_map().cast("map<string,array<string>>")
     return (
-        dedupe_visited_nodes(crawled)
-        .join(stored, "url", "left")
-        .join(books, "url", "left")
+        lookup_join(cut(dedupe_visited_nodes(crawled), "crawled"), known, ["url"])
         .withColumn("has_content", F.coalesce("has_content", F.lit(False)))
         .withColumn("scraped_items", F.coalesce("scraped_items", empty))
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from trawlwork.settings import HOT_KEY_ROWS, MAX_HOT_KEYS
+from trawlwork.plans.lineage import cut
+from trawlwork.settings import HOT_KEY_ROWS, MAX_HOT_KEYS, MAX_HOT_PARTNER_BYTES
 
 
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -28,13 +29,22 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows to a table that is unique by ``on``.
 
-    Rows of hot keys meet their (at most ``MAX_HOT_KEYS``) partners by broadcast and are not shuffled.
-    All other rows join as Spark plans it. Both sides are read more than once: cut a costly one first.
+    The keys of ``left`` are counted first. Without hot keys this is a plain join. Rows of hot keys meet
+    their partners by broadcast and are not shuffled: at most ``MAX_HOT_KEYS`` partners of at most
+    ``MAX_HOT_PARTNER_BYTES`` each. Hot keys with a wider partner join like all other rows, where adaptive
+    execution splits them. ``left`` is read twice more: cut a costly one first.
     """
-    hot = F.broadcast(hot_keys(left, on, min_rows))
-    flagged = left.join(hot.withColumn("_hot", F.lit(True)), on, "left")
-    partners = right.join(hot, on, "left_semi")
-    busy = flagged.filter(F.col("_hot")).drop("_hot").join(F.broadcast(partners), on, how)
+    hot = cut(hot_keys(left, on, min_rows), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    values = [c for c in right.columns if c not in on]
+    width = F.octet_length(F.to_json(F.struct(*on, *values)))
+    partners = cut(right.join(F.broadcast(hot), on, "left_semi").withColumn("_width", width), "hot-partners")
+    wide = partners.filter(F.col("_width") > MAX_HOT_PARTNER_BYTES).select(*on)
+    hot = hot.join(wide, on, "left_anti").withColumn("_hot", F.lit(True))
+    narrow = partners.filter(F.col("_width") <= MAX_HOT_PARTNER_BYTES).drop("_width")
+    flagged = left.join(F.broadcast(hot), on, "left")
+    busy = flagged.filter(F.col("_hot")).drop("_hot").join(F.broadcast(narrow), on, how)
     usual = flagged.filter(F.col("_hot").isNull()).drop("_hot").join(right, on, how)
     return usual.unionByName(busy)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlwork.plans.lineage import cut
+
 PLACE_RESPONSE = (
     "searched_type string, status string, results array<struct<place_id:string, name:string, "
     "geometry:struct<location:struct<lat:double, lng:double>>, types:array<string>>>"
@@ -57,6 +59,7 @@ def write_ranked_results(results: DataFrame, path: str, tie_breakers: list[str]
 
     The sort is a range partitioning: part files in name order are the ranking.
     """
+    results = cut(results, "results")  # the emptiness test, the sort's sample and the sort read it
     if results.isEmpty():
         return False
     ties = tie_breakers or [c for c in ("establishment_url", "scraped_item") if c in results.columns]
