@@ -44,7 +44,7 @@ def as_matrix(vectors: Sequence, dimensions: int | None) -> np.ndarray:
             return vectors.astype(np.float64)
     try:
         stacked = np.stack(vectors).astype(np.float64)
-        if dimensions in (None, stacked.shape[1]):
+        if stacked.ndim == 2 and dimensions in (None, stacked.shape[1]):
             return stacked
     except (ValueError, TypeError):
         pass
