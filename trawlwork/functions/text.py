@@ -216,13 +216,18 @@ def word_ngrams(texts: Column, max_n: int = MAX_NGRAM) -> Column:
     No gram crosses two texts; duplicates stay.
     """
 
-    def grams_of_length(tokens: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.slice(tokens, 1, 0))
+    def longer(tokens: Column, shorter: Column, n: int) -> Column:
+        """Grams of ``n`` words and more: each gram one word shorter, with the word that follows it."""
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(shorter, F.lit(1), count),
+            F.slice(tokens, F.lit(n), count),
+            lambda gram, word: F.concat(gram, F.lit(" "), word),
+        )
+        return grams if n == max_n else let(grams, lambda g: F.concat(g, longer(tokens, g, n + 1)))
 
     def grams_of(tokens: Column) -> Column:
-        return F.concat(*[grams_of_length(tokens, n) for n in range(1, max_n + 1)])
+        return tokens if max_n == 1 else F.concat(tokens, longer(tokens, tokens, 2))
 
     tokenized = F.transform(texts, lambda t: words(F.lower(t)))
     return F.flatten(F.transform(tokenized, grams_of))

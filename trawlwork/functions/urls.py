@@ -147,8 +147,8 @@ def _prefixed(mark: str, text: Column) -> Column:
     return F.when(text == "", text).otherwise(F.concat(F.lit(mark), text))
 
 
-def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` found on the page ``base`` (a relative-reference merge).
+def resolve_links(base: Column, hrefs: Column) -> Column:
+    """Absolute forms of the references ``hrefs`` found on the page ``base``; the base is split once.
 
     Covers absolute, scheme-relative, root-relative, relative, query-only, fragment-only and
     dot-segment references. References of another scheme come back unchanged.
@@ -188,14 +188,32 @@ def resolve_link(base: Column, href: Column) -> Column:
         )
         return F.when(same_scheme & hierarchical, joined).otherwise(h["whole"])
 
-    def start(both: Column) -> Column:
-        base, href = both["base"], both["href"]
-        parts = url_parts(href)
-        with_whole = let(parts, lambda p: F.struct(*[p[f].alias(f) for f in _PART_NAMES], href.alias("whole")))
-        resolved = let(url_parts(base), lambda b: let(with_whole, lambda h: build(b, h)))
-        return F.when(href.isNull() | (href == ""), base).when(base.isNull() | (base == ""), href).otherwise(resolved)
+    def with_base(b: Column) -> Column:
+        def one(href: Column) -> Column:
+            parts = let(
+                url_parts(href), lambda p: F.struct(*[p[f].alias(f) for f in _PART_NAMES], href.alias("whole"))
+            )
+            resolved = let(parts, lambda h: build(b["parts"], h))
+            return F.when(href == "", b["url"]).when(b["url"] == "", href).otherwise(resolved)
+
+        return F.transform(hrefs, one)
+
+    return let(F.struct(F.coalesce(base, F.lit("")).alias("url"), url_parts(base).alias("parts")), with_base)
 
-    return let(F.struct(base.alias("base"), href.alias("href")), start)
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """:func:`resolve_links` for one reference."""
+    return F.element_at(resolve_links(base, F.array(F.coalesce(href, F.lit("")))), 1)
+
+
+def same_site(base: Column, links: Column) -> Column:
+    """The links with the netloc of ``base`` (exact case) and a path."""
+    return let(
+        url_domain(base),
+        lambda domain: F.filter(
+            links, lambda link: let(url_parts(link), lambda p: (p["netloc"] == domain) & (p["path"] != ""))
+        ),
+    )
 
 
 def crawl_key_url(url: Column, base: Column | None = None) -> Column:

@@ -22,19 +22,13 @@ from trawlwork.settings import (
 def extract_links(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``(keys, link, position)`` for ``pages(keys, url, html)``: same-site links of every page.
 
-    Links are resolved against the page; a repeated link keeps its first position.
+    Links are resolved against the page; a repeated link keeps its first place. All of it happens within
+    the page's row, so nothing is shuffled; the explode comes last, so no step is computed twice.
     """
-    keys = keys or ["url"]
-    anchors = pages.select(
-        *dict.fromkeys([*keys, "url"]), F.posexplode(X.anchor_attributes(F.col("html"))).alias("position", "attributes")
-    )
-    hrefs = anchors.withColumn("href", X.attribute_value(F.col("attributes"), "href")).filter(
-        F.col("href").isNotNull()
-    )
-    links = hrefs.withColumn("link", U.resolve_link(F.col("url"), F.col("href")))
-    domain = U.url_domain(F.col("url"))
-    same_site = links.filter(U.let(U.url_parts(F.col("link")), lambda p: (p["netloc"] == domain) & (p["path"] != "")))
-    return same_site.groupBy(*keys, "link").agg(F.min("position").alias("position"))
+    hrefs = F.transform(X.anchor_attributes(F.col("html")), lambda a: X.attribute_value(a, "href"))
+    present = F.filter(hrefs, lambda h: h.isNotNull())
+    links = U.same_site(F.col("url"), U.resolve_links(F.col("url"), F.array_distinct(present)))
+    return pages.select(*(keys or ["url"]), F.posexplode(F.array_distinct(links)).alias("position", "link"))
 
 
 def find_menu_link(html: Column) -> Column:

@@ -181,11 +181,12 @@ SELECT unnest(s) AS segment FROM segments UNION SELECT keyword FROM keywords"""
 
 # ---- page content ---------------------------------------------------------------------------------
 
-_LINKS = f"""
+_LINKS = """
 links AS (
-  SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(raw, '&amp;', '&') AS link,
-         min(position) AS position
-  FROM hrefs WHERE raw LIKE '/%' GROUP BY ALL)"""
+  SELECT page_id, url, link, row_number() OVER (PARTITION BY page_id ORDER BY min(position)) - 1 AS position
+  FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(raw, '&amp;', '&') AS link
+        FROM hrefs WHERE raw LIKE '/%')
+  GROUP BY page_id, url, link)"""
 
 _ORACLES["extract_links"] = f"WITH {_HREFS}, {_LINKS} SELECT page_id, link, CAST(position AS INT) AS position FROM links"
 
