@@ -52,7 +52,8 @@ def test_relevant_crawl(spark):
         "url string, link string, position int",
     )
     relevant = spark.createDataFrame([(f"{BASE}/menu?a=1&b=2",), (f"{BASE}/menu/soup",)], "url string")
-    nodes = G.crawl_bfs_relevant(spark.createDataFrame([(BASE,)], "root string"), links, relevant).collect()
+    start = spark.createDataFrame([(BASE,)], "root string")
+    nodes = G.crawl_bfs_relevant(start, G.canonical_links(links), relevant).collect()
     assert {n.url for n in nodes} == {BASE, f"{BASE}/menu", f"{BASE}/menu/soup"}
 
 

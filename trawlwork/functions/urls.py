@@ -47,7 +47,10 @@ def url_parts(url: Column) -> Column:
             F.lower(bits[0]).alias("scheme"),
             bits[1].alias("netloc"),
             F.nullif(host, F.lit("")).alias("host"),
-            F.regexp_extract(address, r":([0-9]+)\z", 1).try_cast("int").alias("port"),
+            # Nine digits always fit; casting '' would throw (and catch) an exception per row.
+            let(
+                F.regexp_extract(address, r":([0-9]{1,9})\z", 1), lambda digits: F.when(digits != "", digits.cast("int"))
+            ).alias("port"),
             bits[2].alias("path"),
             bits[3].alias("params"),
             bits[4].alias("query"),
@@ -128,7 +131,7 @@ def _remove_dot_segments(path: Column) -> Column:
         kept = F.aggregate(
             F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 2, F.lit(0))),
             F.slice(segs, 1, 0),
-            lambda done, seg: F.when(seg.isin("", "."), done)
+            lambda done, seg: F.when((seg == "") | (seg == "."), done)
             .when(seg == "..", shorter(done))
             .otherwise(F.array_append(done, seg)),
         )
@@ -172,7 +175,7 @@ def resolve_links(base: Column, hrefs: Column) -> Column:
         )
 
     def build(b: Column, h: Column) -> Column:
-        hierarchical = h["scheme"].isin("", "http", "https", "ftp", "file")
+        hierarchical = h["scheme"].rlike("^(https?|ftp|file)?$")
         same_scheme = (h["scheme"] == "") | (h["scheme"] == b["scheme"])
         joined = let(
             merge(b, h),

@@ -104,6 +104,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def canonical_links(page_links: DataFrame) -> DataFrame:
+    """``(url, link, position)`` with canonical links; a link without a host goes."""
+    found = F.array_compact(F.array(canonical_url(F.col("link"))))
+    return page_links.select("url", "position", F.explode(found).alias("link")).select("url", "link", "position")
+
+
 def link_table(page_links: DataFrame) -> DataFrame:
     """``(url, link, position)`` with crawl keys, from ``(url, link, position)`` as extracted."""
     keyed = page_links.select(
@@ -115,13 +121,12 @@ def link_table(page_links: DataFrame) -> DataFrame:
 def crawl_bfs_relevant(
     roots: DataFrame, page_links: DataFrame, relevant: DataFrame, depth_limit: int = DEPTH_LIMIT, hub_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
-    """:func:`crawl_bfs` along ``page_links(url, link, position)`` whose canonical link is in ``relevant(url)``.
+    """:func:`crawl_bfs` along the :func:`canonical_links` that are in ``relevant(url)``, one row per URL.
 
     Relevance depends on the URL alone, so it is applied once, ahead of the loop.
     """
-    canonical = cut(page_links.select("url", canonical_url(F.col("link")).alias("link"), "position"), "canonical-links")
     # Some link, such as a home page, is on very many pages.
-    kept = lookup_join(canonical, relevant.select(F.col("url").alias("link")).distinct(), ["link"], "inner")
+    kept = lookup_join(page_links, relevant.select(F.col("url").alias("link")), ["link"], "inner")
     return crawl_bfs(roots, cut(link_table(kept.select("url", "link", "position")), "links"), depth_limit, hub_rows)
 
 

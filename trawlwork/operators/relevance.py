@@ -50,11 +50,13 @@ def filter_relevant_urls(
     vectors: DataFrame | None = None,
     cache: DataFrame | None = None,
 ) -> DataFrame:
-    """``(url, score)`` of canonical URLs scoring strictly above the threshold.
+    """``(url, score)`` of the distinct canonical URLs scoring strictly above the threshold.
 
     ``cache(key_hash, value)`` holds earlier scores; only URLs without one are scored.
     """
-    wanted = urls.select(canonical_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull()).distinct()
+    # The explode drops URLs without a host; a filter would compute the canonical form a second time.
+    found = F.array_compact(F.array(canonical_url(F.col("url"))))
+    wanted = urls.select(F.explode(found).alias("url")).distinct()
 
     def compute(missing: DataFrame) -> DataFrame:
         fresh = url_relevance(missing.select(F.col("key").alias("url")), keywords, embed, vectors)

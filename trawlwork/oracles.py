@@ -480,7 +480,8 @@ words AS (
 
 _ORACLES["embed_phrases"] = f"""
 WITH {_WORDS}, {_vectors("words", "w")}
-SELECT phrase, string_agg(cell || ':' || CAST(c AS INT), ' ' ORDER BY cell) AS cells FROM w_cells GROUP BY phrase"""
+SELECT phrase, md5(array_to_string([coalesce(m[i], 0) for i in range(0, 256)], ' ')) AS cells_md5
+FROM (SELECT phrase, map(list(cell), list(CAST(c AS INT))) AS m FROM w_cells GROUP BY phrase)"""
 
 _ITEMS = """
 items AS (

@@ -10,6 +10,7 @@ from trawlwork.functions.urls import crawl_key_url
 from trawlwork.functions.vectors import Embedding, trigram_embedding
 from trawlwork.operators.content import extract_links, parse_items, pick_response
 from trawlwork.operators.graph import (
+    canonical_links,
     crawl_bfs,
     crawl_bfs_relevant,
     dedupe_visited_nodes,
@@ -17,7 +18,7 @@ from trawlwork.operators.graph import (
     reachable_nodes,
     subtree_rollup,
 )
-from trawlwork.operators.relevance import filter_relevant_urls
+from trawlwork.operators.relevance import url_relevance
 from trawlwork.operators.scoring import match_items
 from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
@@ -48,12 +49,13 @@ def build_trees(
     ``relevance_threshold`` all links are followed.
     """
     roots = sites.select(crawl_key_url(F.col("establishment_url")).alias("root")).distinct()
-    extracted = cut(extract_links(pages), "page-links")
+    links = cut(canonical_links(extract_links(pages)), "page-links")
     if relevance_threshold is None:
-        crawled = crawl_bfs(roots, cut(link_table(extracted), "links"), depth_limit)
+        crawled = crawl_bfs(roots, cut(link_table(links), "links"), depth_limit)
     else:
-        relevant = filter_relevant_urls(extracted.select(F.col("link").alias("url")), relevance_threshold, keywords, embed)
-        crawled = crawl_bfs_relevant(roots, extracted, relevant, depth_limit)
+        scored = url_relevance(links.select(F.col("link").alias("url")), keywords, embed)
+        relevant = scored.filter(F.col("score") > relevance_threshold)
+        crawled = crawl_bfs_relevant(roots, links, relevant, depth_limit)
     # One row per page key with all that the nodes need of it; a book comes out of one response, in its row.
     stored = pages.select(crawl_key_url(F.col("url")).alias("url")).distinct().withColumn("has_content", F.lit(True))
     answers = pick_response(responses.withColumn("url", crawl_key_url(F.col("url"))), "url")
