@@ -19,6 +19,7 @@ _PART_NAMES = ("scheme", "netloc", "host", "port", "path", "params", "query", "f
 # Whitespace as text tools define it (Spark's ``trim`` alone removes spaces only).
 _BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_BLANK = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def let(value: Column, body) -> Column:
@@ -27,8 +28,14 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace at both ends."""
-    return F.btrim(text, F.lit(_BLANKS))
+    """Remove Unicode whitespace at both ends. The costly trim runs only where an end is blank."""
+    blanks = F.lit(_BLANKS)
+
+    def trim(t: Column) -> Column:
+        blank_end = (F.position(F.left(t, F.lit(1)), blanks) > 0) | (F.position(F.right(t, F.lit(1)), blanks) > 0)
+        return F.when(blank_end, F.btrim(t, blanks)).otherwise(t)
+
+    return let(text, trim)
 
 
 def url_parts(url: Column) -> Column:

@@ -143,14 +143,15 @@ def embed_rows(phrases: DataFrame, embed: Embedding) -> DataFrame:
             wanted = [p for p in batch.column("phrase").to_pylist() if p]
             for start in range(0, len(wanted), _BLOCK):
                 block = wanted[start : start + _BLOCK]
-                pairs = [(p, v) for p, v in zip(block, embed(block), strict=True) if v is not None]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p for p, _ in pairs], pa.string()),
-                        pa.array([np.asarray(v, dtype=np.float32) for _, v in pairs], pa.list_(pa.float32())),
-                    ],
-                    ["phrase", "embedding"],
-                )
+                vectors = embed(block)
+                if isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+                    present = np.ascontiguousarray(vectors, dtype=np.float32)
+                    lists = _list_array(present, np.isnan(present))
+                else:
+                    pairs = [(p, np.asarray(v, np.float32)) for p, v in zip(block, vectors, strict=True) if v is not None]
+                    block, vectors = [p for p, _ in pairs], [v for _, v in pairs]
+                    lists = pa.array(vectors, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.string()), lists], ["phrase", "embedding"])
 
     return phrases.select("phrase").mapInArrow(run, "phrase string, embedding array<float>")
 

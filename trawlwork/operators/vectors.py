@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.text import normalize_phrase, word_ngrams
+from trawlwork.functions.urls import NOT_BLANK
 from trawlwork.functions.vectors import Embedding, as_matrix, embed_rows, trigram_embedding, unit_rows
 from trawlwork.plans.skew import bounded_rows
 from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES
@@ -18,9 +19,10 @@ _TASK_ROWS = 20_000
 
 def normalize_phrases(phrases: DataFrame, column: str = "phrase") -> DataFrame:
     """Distinct lower-cased, stripped, non-empty phrases."""
-    return (
-        phrases.select(normalize_phrase(F.col(column)).alias("phrase")).filter(F.col("phrase") != "").distinct()
-    )
+    # Repeats go before any phrase is normalized: map-side, where most of them meet. Testing the raw phrase
+    # keeps the normalized form from being computed for a filter and again after it.
+    raw = phrases.select(F.col(column).alias("phrase")).distinct().filter(F.col("phrase").rlike(NOT_BLANK))
+    return raw.select(normalize_phrase(F.col("phrase")).alias("phrase")).distinct()
 
 
 def phrase_universe(items: DataFrame, max_n: int = MAX_NGRAM) -> DataFrame:
