@@ -19,10 +19,9 @@ _TASK_ROWS = 20_000
 
 def normalize_phrases(phrases: DataFrame, column: str = "phrase") -> DataFrame:
     """Distinct lower-cased, stripped, non-empty phrases."""
-    # Repeats go before any phrase is normalized: map-side, where most of them meet. Testing the raw phrase
-    # keeps the normalized form from being computed for a filter and again after it.
-    raw = phrases.select(F.col(column).alias("phrase")).distinct().filter(F.col("phrase").rlike(NOT_BLANK))
-    return raw.select(normalize_phrase(F.col("phrase")).alias("phrase")).distinct()
+    # Testing the raw phrase keeps the normalized form from being computed for a filter and again after it.
+    filled = phrases.filter(F.col(column).rlike(NOT_BLANK))
+    return filled.select(normalize_phrase(F.col(column)).alias("phrase")).distinct()
 
 
 def phrase_universe(items: DataFrame, max_n: int = MAX_NGRAM) -> DataFrame:

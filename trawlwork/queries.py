@@ -653,9 +653,9 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of all documents."""
-    found = _table(spark, sf, "documents").select(F.explode(X.words(F.col("text"))).alias("phrase"))
-    return W.normalize_phrases(found)
+    """Distinct words of all documents, lower-cased once per text."""
+    words = X.words(F.lower("text"))
+    return _table(spark, sf, "documents").select(F.explode(words).alias("phrase")).distinct()
 
 
 @query
