@@ -13,12 +13,18 @@ from trawlwork.llm.decontamination import clean_documents
 from trawlwork.llm.minhash import drop_near_duplicates
 from trawlwork.llm.mixing import mixed_documents
 from trawlwork.llm.sharding import with_shard
+from trawlwork.llm.toxicity import drop_toxic
 from trawlwork.plans.lineage import cut
 
 #: Shards of the finished corpus.
 SHARDS = 16
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more for toxicity go; learned from the labelled documents of the training fold."""
+    return drop_toxic(docs, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
     return drop_near_duplicates(docs)
@@ -40,6 +46,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("mix", mix),

@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Work on this many bytes of text at a time; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
+#: Rows of a narrow table that may travel to every task: about 16 MB.
+BROADCAST_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if its counted rows (of a few numbers each) are within the bound; else joined by a shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def grouped_tables(batches, keys: list[str]):
+    """The rows of sorted batches, one table per run of equal ``keys``; at most one group is held besides a batch."""
+    held: list[pa.Table] = []
+    before = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
+        new = np.zeros(len(batch), dtype=bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        table = pa.Table.from_batches([batch])
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            here = tuple(c[i] for c in columns)
+            if held and here != before:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(i, j - i))
+            before = here
+    if held:
+        yield pa.concat_tables(held)
+
+
 def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
     """``(first, last, data, offsets)`` of consecutive texts: their bytes without copies, null as empty.
 

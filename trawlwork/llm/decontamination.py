@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.llm.common import bound, lower_ascii, words
+from trawlwork.llm.common import bound, broadcast_if_small, lower_ascii, words
 from trawlwork.plans.lineage import cut
 
-#: Rows of a table of item hashes that may travel to every task (24 bytes each); a longer table is joined by shuffles.
-BROADCAST_ROWS = 1_000_000
-
 
 def shingles(text: Column, size: int) -> Column:
     """Word shingles, lower-cased (A-Z), as strings; a text of fewer words is one shingle, one without words has none."""
@@ -51,11 +48,6 @@ def _sized(items: DataFrame, size: int, threshold: float) -> DataFrame:
     )
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
     """``(item_id, size_class, need, s)``: the MinHash sketch of every item.
 
@@ -88,12 +80,12 @@ def contaminated_pairs(documents: DataFrame, items: DataFrame, size: int = 5, th
     rows = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = rows.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("h"))
     posted = sketches(known, threshold).withColumn("h", F.explode(shingle_hashes(F.col("s"), size))).select("h", "item_id").distinct()
-    candidates = cut(hashed.join(_few(posted), "h").select("doc_id", "item_id").distinct(), "candidates")
+    candidates = cut(hashed.join(broadcast_if_small(posted), "h").select("doc_id", "item_id").distinct(), "candidates")
     # The exact check reads the candidates' texts again; only their shingles that some item has go on.
     suspects = candidates.select("doc_id").distinct()
-    exact = rows.join(suspects, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), size))).alias("s"))
+    exact = rows.join(broadcast_if_small(suspects), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), size))).alias("s"))
     counted = (
-        exact.join(_few(full), "s")
+        exact.join(broadcast_if_small(full), "s")
         .groupBy("doc_id", "item_id", "n_shingles", "need")
         .agg(F.count_distinct("s").alias("n_found"))
         .filter(F.col("n_found") >= F.col("need"))

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.llm.common import IS_SPACE, LOWER, release, text_chunks
+from trawlwork.llm.common import IS_SPACE, LOWER, broadcast_if_small, grouped_tables, release, text_chunks
 from trawlwork.llm.components import connected_components
 from trawlwork.llm.hashing import RangeHashes, mix
 from trawlwork.plans.lineage import cut
@@ -130,24 +130,51 @@ def _alike(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return joined.filter(agree("sig_a", "sig_b")).select("a", "b")
 
 
-def _block_pairs(members: DataFrame, group: str, values: list[str], order: list[str], apart: str) -> DataFrame:
-    """Members of every group in blocks of ``BLOCK``, each block beside every other that it has to meet.
+def _block_pairs(members: DataFrame, group: str) -> DataFrame:
+    """``(group, x, y, id, label)``: the members of every group that has several labels, in tasks of two blocks at most.
 
-    Adds ``x`` and ``y``, the two blocks of a task (``x <= y``), and ``side``, which of them the row is in. A pair of blocks
-    in which all rows have the same ``apart`` need not meet. A group's rows are numbered in a window, without their
-    wide columns; those are joined by the caller.
+    ``members(group, id, label)``. The rows of a group's largest label need not meet each other, only all the others.
+    Rows find their block by a hash of the id, so that no group is ever gathered to number it.
     """
-    numbered = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy(group, "block").agg(F.min(apart).alias("low"), F.max(apart).alias("high"))
-    other = blocks.select(F.col(group).alias("_g"), F.col("block").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"))
-    met = blocks.join(other, (F.col(group) == F.col("_g")) & (F.col("block") <= F.col("y"))).filter(
-        ~((F.col("low") == F.col("high")) & (F.col("low_y") == F.col("high_y")) & (F.col("low") == F.col("low_y")))
-    )
-    met = met.select(F.col(group).alias("_g"), F.col("block").alias("x"), "y")
-    sides = met.select("_g", "x", "y", F.col("x").alias("_b"), F.lit(0).alias("side")).unionByName(
-        met.filter("x < y").select("_g", "x", "y", F.col("y").alias("_b"), F.lit(1).alias("side"))
-    )
-    return numbered.join(sides, (F.col(group) == F.col("_g")) & (F.col("block") == F.col("_b"))).select(group, "x", "y", "side", *values)
+    counted = members.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.groupBy(group).agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    groups = groups.filter("labels > 1").select(group, "all", F.col("major.label").alias("major"), F.col("major.n").alias("n"))
+    rows = members.join(groups, group)
+    others = F.ceil((F.col("all") - F.col("n")) / BLOCK)
+    majors = F.ceil(F.col("n") / BLOCK)
+    mark = F.xxhash64("id")
+    block = F.when(F.col("all") <= BLOCK, 0).when(F.col("label") == F.col("major"), others + F.pmod(mark, majors)).otherwise(F.pmod(mark, others))
+    last = F.when(F.col("all") <= BLOCK, 0).when(F.col("label") == F.col("major"), others - 1).otherwise(others + majors - 1)
+    met = rows.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return met.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "label")
+
+
+def _first_blocks(members: DataFrame, group: str) -> DataFrame:
+    """As :func:`_block_pairs`, but every block meets itself and the first block only."""
+    groups = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.join(groups, group).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    own = F.when(F.col("block") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    met = rows.withColumn("y", F.explode(own))
+    return met.select(group, F.when(F.col("y") == F.col("block"), F.col("y")).otherwise(F.lit(0)).alias("x"), F.greatest("y", "block").alias("y"), "id", "label")
+
+
+def _in_tasks(rows: DataFrame, group: str, compare) -> DataFrame:
+    """``compare(ids, labels, payloads)`` over every task of :func:`_block_pairs`, as edges ``(a, b)``.
+
+    ``rows(group, x, y, id, label, payload)`` are dealt by task and sorted; a Python worker sees one task's rows at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped_tables(batches, [group, "x", "y"]):
+            ids = table.column("id").to_numpy()
+            a, b = compare(ids, table.column("label").to_numpy(), table.column("payload"))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    dealt = rows.repartition(tasks, group, "x", "y").sortWithinPartitions(group, "x", "y", "id")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -164,29 +191,29 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tree_edges(ids: np.ndarray, labels: np.ndarray, ok: np.ndarray) -> pd.DataFrame:
-    """Edges that hold together what ``ok`` (a matrix over the positions) holds together, one per position at most."""
-    left, right = np.nonzero(ok)
+def _tree_edges(ids: np.ndarray, label: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that hold together what the matrix ``linked`` holds together across labels, one per position at most."""
+    left, right = np.nonzero(linked & (label[:, None] != label[None, :]))
     root = _forest(len(ids), left, right)
     moved = np.flatnonzero(root != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
+    return ids[root[moved]], ids[moved]
 
 
 def _coarse_edges(lists: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     """Edges between members of a posting list that agree in ``matches`` coordinates and have different labels."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), -1)
-        same = np.zeros((len(rows), len(rows)), dtype=np.int16)
-        for k in range(sig.shape[1]):
-            same += sig[:, k][:, None] == sig[:, k][None, :]
-        label = rows["label"].to_numpy()
-        return _tree_edges(rows["id"].to_numpy(), label, (same >= matches) & (label[:, None] != label[None, :]))
+    def compare(ids: np.ndarray, label: np.ndarray, payload: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        if len(ids) <= 64:
+            same = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
+        else:
+            same = np.zeros((len(ids), len(ids)), dtype=np.uint16)
+            for column in np.ascontiguousarray(sig.T):
+                same += column[:, None] == column[None, :]
+        return _tree_edges(ids, label, same >= matches)
 
-    met = _block_pairs(lists, "key", ["id", "label"], ["label", "id"], "label")
-    wide = met.join(sigs.select("id", "sig"), "id")
-    return wide.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
+    wide = _block_pairs(lists, "key").join(sigs.select("id", F.col("sig").alias("payload")), "id")
+    return _in_tasks(wide, "key", compare)
 
 
 def similar_in_block(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -215,20 +242,14 @@ def similar_in_block(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
 
 
-def _exact_edges(members: DataFrame, sets: DataFrame, percent: int, only_first: bool) -> DataFrame:
-    """Links between members of one family that still have different labels. ``only_first``: within every block and
-    between every block and the first one."""
+def _exact_edges(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one family that have different labels; ``met`` says who meets in which task."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        listed = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
-        label = rows["label"].to_numpy()
-        return _tree_edges(rows["id"].to_numpy(), label, similar_in_block(listed, percent) & (label[:, None] != label[None, :]))
+    def compare(ids: np.ndarray, label: np.ndarray, payload: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        listed = [np.frombuffer(s, dtype=np.uint64) for s in payload.to_pylist()]
+        return _tree_edges(ids, label, similar_in_block(listed, percent))
 
-    met = _block_pairs(members, "family", ["id", "label"], ["label_rows", "label", "id"], "label")
-    if only_first:
-        met = met.filter("x = 0 or x = y")
-    return met.join(sets, "id").groupBy("family", "x", "y").applyInPandas(compare, "a long, b long")
+    return _in_tasks(met.join(sets.withColumnRenamed("shingles", "payload"), "id"), "family", compare)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -259,8 +280,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     labels = cut(connected_components(coarse), "coarse")
     # Members of one list that are still apart meet in blocks.
     labelled = lists.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    more = cut(_coarse_edges(labelled.join(mixed, "key"), searched, matches), "more-alike")
+    more = cut(_coarse_edges(labelled, searched, matches), "more-alike")
     families = cut(connected_components(coarse.unionByName(more)), "families")
     release(spark)
     # Only families' texts are read again.
@@ -268,15 +288,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     sets = cut(_family_sets(documents, heads_too, size), "family-sets")
     release(spark)
     members = heads_too.join(families, "id", "left").select("id", F.coalesce("component", "id").alias("family"))
-    start = members.withColumn("label", F.col("id")).withColumn("label_rows", F.lit(0).cast("long"))
-    links = cut(_exact_edges(start, sets, percent, True), "links")
+    links = cut(_exact_edges(_first_blocks(members.withColumn("label", F.col("id")), "family"), sets, percent), "links")
     now = cut(connected_components(links), "labels")
-    grouped = members.join(now, "id", "left").select("id", "family", F.coalesce("component", "id").alias("label"))
-    # The largest class of a family comes last, so that blocks of it alone need not meet.
-    rows = grouped.groupBy("family", "label").agg(F.count(F.lit(1)).alias("label_rows"))
-    large = rows.groupBy("family").agg(F.sum("label_rows").alias("all_rows"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).filter(F.col("all_rows") > BLOCK)
-    rest = grouped.join(rows, ["family", "label"]).join(large.select("family"), "family", "left_semi")
-    links = links.unionByName(cut(_exact_edges(rest, sets, percent, False), "more-links"))
+    rest = members.join(now, "id", "left").select("id", "family", F.coalesce("component", "id").alias("label"))
+    # A family that fitted into one block is settled.
+    large = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("family")
+    met = _block_pairs(rest.join(large, "family", "left_semi"), "family")
+    links = links.unionByName(cut(_exact_edges(met, sets, percent), "more-links"))
     found = connected_components(links.unionByName(same))
     out = signed.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -293,7 +311,7 @@ def _family_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
-    return rows.join(ids, "id", "left_semi").mapInArrow(listed, "id long, shingles binary")
+    return rows.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(listed, "id long, shingles binary")
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

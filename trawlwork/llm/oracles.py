@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 #: A-Z only; SQL's lower() would change other letters too.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
