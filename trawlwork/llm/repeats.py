@@ -9,7 +9,9 @@ single leave at once. Not every position takes part: of every window of 100 byte
 2. For every chosen place with a repeated q-gram: the starts whose windows chose it, and the identifiers of the bytes they
    cover. Places that agree in all of it repeat each other start by start; only the first of them goes on, and only
    if its q-gram's bucket holds others that differ.
-3. Those few places are refined start by start, with the identifiers at the offsets of each start.
+3. Those places are cut into pieces of ``PIECE`` starts and refined again in the same way: a piece's bucket is the bytes that
+   all windows of the piece share, so most of what differs becomes single at once.
+4. What is left is refined start by start.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from trawlwork.plans.lineage import cut
 
 LENGTH = 100
 GRAM = 32
+#: Starts of a piece; places have up to ``LENGTH - GRAM + 1``.
+PIECE = 9
+#: A run of starts as one number: how far its first start lies before the place, times this, plus the starts.
+_RUN = 1 << 12
 #: Bits of a position when places compete in a window; the rest of 64 belong to the q-gram's hash.
 _PLACE_BITS = np.uint64(31)
 #: A place in a document as one long: rows that share an id are told apart by bits above the position.
@@ -75,6 +81,10 @@ class Places:
         self.place, self.row = chosen[self.low], row[self.low]
 
 
+_RUNS = ["q", "same", "doc", "at", "run"]
+_RUN_SCHEMA = "q long, same long, doc long, at long, run int"
+
+
 def _identified(documents: DataFrame) -> DataFrame:
     """``(doc, sub, text)``: ``sub`` tells rows apart that share an id, and is 0 for all others."""
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -97,7 +107,8 @@ def _chosen_grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _places(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(q, same, doc, at, n_starts)``: ``at`` is the first start of the place, with the row's bits above it."""
+    """``(q, same, doc, at, run)``: ``at`` is the first start of the place, with the row's bits above it; ``run`` says how far
+    before the place it lies and how many starts there are."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,21 +121,26 @@ def _places(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 n = found.high - found.low + 1
                 same = mix(_identifiers(found.grams, found.low, n + length - 1, gram) + (found.place - found.low).astype(np.uint64))
                 at = (subs[first + row] << _ROW_SHIFT) + found.low - offsets[row]
-                columns = [found.grams[found.place].view(np.int64), same.view(np.int64), docs[first + row], at, n.astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "same", "doc", "at", "n_starts"])
+                run = ((found.place - found.low) * _RUN + n).astype(np.int32)
+                columns = [found.grams[found.place].view(np.int64), same.view(np.int64), docs[first + row], at, run]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_RUNS)
 
-    return rows.select("doc", "sub", "text").mapInArrow(choose, "q long, same long, doc long, at long, n_starts short")
+    return rows.select("doc", "sub", "text").mapInArrow(choose, _RUN_SCHEMA)
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Rows whose documents have a list. The lists are bounded by the documents' own lengths."""
     key = F.floor(F.col("at") / (1 << _ROW_SHIFT))
-    gathered = lists.groupBy("doc", key.alias("sub")).agg(F.collect_list(F.struct("at", "n_starts")).alias("runs"))
+    gathered = lists.groupBy("doc", key.alias("sub")).agg(F.collect_list(F.struct("at", "run")).alias("runs"))
     return rows.join(gathered, ["doc", "sub"], "left")
 
 
-def _starts(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(same, doc, at)``: every start of the wanted places, with the identifiers of the string that starts there."""
+def _pieces(rows: DataFrame, wanted: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
+    """The wanted places in pieces of at most ``piece`` starts, as :func:`_places` gives places.
+
+    Pieces begin at fixed distances from the place, so that the same starts meet in the same piece. A piece's ``q`` are the
+    identifiers of the bytes that lie in every window a piece there can have.
+    """
     mask = (1 << _ROW_SHIFT) - 1
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,43 +153,56 @@ def _starts(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataF
                 if not len(listed):
                     continue
                 row = np.repeat(np.arange(last - first), np.diff(own.offsets.to_numpy()))
-                at, n = listed.field("at").to_numpy(), listed.field("n_starts").to_numpy().astype(np.int64)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row, at = np.repeat(row, n), np.repeat(at, n) + step
-                same = _identifiers(grams, offsets[row] + (at & mask), np.full(len(at), length), gram)
+                at, run = listed.field("at").to_numpy(), listed.field("run").to_numpy().astype(np.int64)
+                far, n = run // _RUN, run % _RUN
+                near = far - n + 1
+                parts = far // piece - near // piece + 1
+                step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                row, at, far, near = (np.repeat(x, parts) for x in (row, at, far, near))
+                group = far // piece - step
+                high = np.minimum(far, group * piece + piece - 1)
+                low = np.maximum(near, group * piece)
+                place = offsets[row] + (at & mask) + far
+                core = length - piece + 1
+                q = mix(_identifiers(grams, place - group * piece, np.full(len(place), core), gram) + group.astype(np.uint64))
+                same = mix(_identifiers(grams, place - high, high - low + length, gram) + high.astype(np.uint64))
+                at, run = at + far - high, (high * _RUN + high - low + 1).astype(np.int32)
                 for i in range(0, len(at), 1 << 16):
                     part = slice(i, i + (1 << 16))
-                    columns = [same[part].view(np.int64), docs[first + row[part]], at[part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["same", "doc", "at"])
+                    columns = [q[part].view(np.int64), same[part].view(np.int64), docs[first + row[part]], at[part], run[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_RUNS)
 
     joined = _with_lists(rows, wanted).filter("runs is not null").select("doc", "text", "runs")
-    return joined.mapInArrow(spell, "same long, doc long, at long")
+    return joined.mapInArrow(spell, _RUN_SCHEMA)
 
 
-def _not_first(rows: DataFrame, key: list[str]) -> DataFrame:
-    """All rows but the first (by document and place) of every key. Minima combine before the shuffle."""
-    first = rows.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, "first")
-    return rows.join(first, key).filter(F.struct("doc", "at") != F.col("first")).drop("first")
+def _settle(places: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(repeats, unsettled)``, both ``(doc, at, run)``: places that repeat an earlier one start by start, and first places
+    whose bucket holds others that differ from them. Minima combine before the shuffle."""
+    first = places.groupBy("q", "same").agg(F.min(F.struct("doc", "at", "run")).alias("first"), F.count(F.lit(1)).alias("n"))
+    several = first.groupBy("q").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("q")
+    unsettled = cut(first.join(several, "q", "left_semi").select("first.*"), f"unsettled-{name}")
+    often = first.filter("n > 1").select("q", "same", "first")
+    later = places.join(often, ["q", "same"]).filter(F.struct("doc", "at", "run") != F.col("first"))
+    repeats = cut(later.select("doc", "at", "run"), f"repeats-{name}")
+    release(places.sparkSession)
+    return repeats, unsettled
 
 
-def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``(rows, runs)``: the texts, and ``runs(doc, at, n_starts)`` of starts whose ``length`` bytes also start earlier."""
+def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """``(rows, runs)``: the texts, and ``runs(doc, at, run)`` of starts whose ``length`` bytes also start earlier."""
     spark = documents.sparkSession
     rows = _identified(documents)
     often = cut(_chosen_grams(rows, length, gram).groupBy("q").agg(F.sum("n").alias("n")).filter("n > 1").select("q"), "repeated-grams")
     release(spark)
     places = cut(_places(rows, length, gram).join(often, "q", "left_semi"), "places")
     release(spark)
-    buckets = places.groupBy("q", "same").agg(F.min(F.struct("doc", "at", "n_starts")).alias("first"))
-    several = buckets.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("q")
-    unsettled = cut(buckets.join(several, "q", "left_semi").select("first.*"), "unsettled")
-    settled = cut(_not_first(places, ["q", "same"]).select("doc", "at", "n_starts"), "settled")
-    release(spark)
-    starts = cut(_starts(rows, unsettled, length, gram), "starts")
-    release(spark)
-    single = _not_first(starts, ["same"]).select("doc", "at", F.lit(1).cast("short").alias("n_starts"))
-    runs = settled.unionByName(cut(single, "single"))
-    release(spark)
+    runs, unsettled = _settle(places, "places")
+    for size in (min(piece, length - gram + 1), 1):
+        pieces = cut(_pieces(rows, unsettled, length, gram, size), "pieces")
+        release(spark)
+        repeats, unsettled = _settle(pieces, "pieces")
+        runs = runs.unionByName(repeats)
     return rows, runs
 
 
@@ -186,7 +215,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     A null id comes before all others. Rows that share an id and differ in text are taken one after the other (by a
     hash of the text); rows equal in both count as one document, and each gives its row. Other columns are ignored.
     """
-    if not 0 < gram <= length:
+    if not 0 < gram <= length - min(PIECE, length - gram + 1) + 1 or length >= _RUN // 2:
         raise ValueError("the q-gram must fit into the length")
     rows, runs = repeated_runs(documents, length, gram)
     mask = (1 << _ROW_SHIFT) - 1
@@ -199,7 +228,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 view = memoryview(data)
                 sizes.append(len(view))
                 if own.is_valid and len(own.values):
-                    at, n = own.values.field("at").to_numpy() & mask, own.values.field("n_starts").to_numpy().astype(np.int64)
+                    at, n = own.values.field("at").to_numpy() & mask, own.values.field("run").to_numpy().astype(np.int64) % _RUN
                     order = np.argsort(at, kind="stable")
                     low, high = at[order], np.maximum.accumulate((at + n + length - 1)[order])
                     new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
