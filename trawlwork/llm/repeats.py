@@ -130,7 +130,7 @@ def _places(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Rows whose documents have a list. The lists are bounded by the documents' own lengths."""
-    key = F.floor(F.col("at") / (1 << _ROW_SHIFT))
+    key = F.shiftright("at", _ROW_SHIFT)
     gathered = lists.groupBy("doc", key.alias("sub")).agg(F.collect_list(F.struct("at", "run")).alias("runs"))
     return rows.join(gathered, ["doc", "sub"], "left")
 
