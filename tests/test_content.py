@@ -176,3 +176,29 @@ def test_robots(spark):
     for i, agent in enumerate(("other", "Bot/2.0")):
         got = {r.url: r.allowed for r in K.robots_filter(pages, rules, agent).collect()}
         assert got == {u: v[i] for u, v in urls.items()}
+
+
+def test_attribute_entities(column):
+    cases = {
+        "/x?page=1&lang=en&prod=5&part=2": "/x?page=1&lang=en&prod=5&part=2",
+        "a&amp;b&ampx&amp=1&copy;&copy 1&foo;": "a&b&ampx&amp=1©© 1&foo;",
+        "&check;&#0000000000000065;&#x00000000000000041;": "✓AA",
+    }
+    assert column(lambda c: X.decode_entities(c, attribute=True), list(cases)) == list(cases.values())
+    assert column(X.decode_entities, ["&check;&comma;&#0000000000000065;&#99999999999999999999;"]) == ["✓,A�"]
+
+
+def test_anchor_with_many_attributes(spark):
+    many = "".join(f' data-{i}="v>{i}"' for i in range(5000))
+    query = "&".join(f"k{i}={i}" for i in range(400))
+    html = f'<a{many} href="/x">1</a><a href=/y?{query}>2</a><template><a href="/t">3</a></template><!--<a href="/no">-->'
+    rows = K.extract_links(spark.createDataFrame([("http://h/", html)], "url string, html string")).collect()
+    assert [r.link for r in sorted(rows, key=lambda r: r.position)] == ["http://h/x", f"http://h/y?{query}", "http://h/t"]
+
+
+def test_robots_first_group_by_product(spark):
+    rules = [("h", "bot", 1, False, "/a"), ("h", "trawler", 2, False, "/b"), ("h", "1.0", 3, False, "/c"), ("h", "*", 4, False, "/")]
+    rules = spark.createDataFrame(rules, "domain string, agent string, rule_no int, allow boolean, prefix string")
+    pages = spark.createDataFrame([(f"http://h/{p}",) for p in "abc"], "url string")
+    got = {r.url[-1]: r.allowed for r in K.robots_filter(pages, rules, "trawlerbot/1.0").collect()}
+    assert got == {"a": False, "b": True, "c": True}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,31 +16,33 @@ from trawlwork.settings import MAX_NGRAM
 # A noncharacter: it cannot occur in exchanged text, so it marks where a tag stood.
 _MARK = "\uffff"
 
-# What may follow a '<'. First the parts of a page that hold no text: comments, script, style and template
-# bodies, declarations.
-_OPAQUE = (
+# What may follow a '<'. First the parts of a page that hold neither text nor links: comments, script and style
+# bodies, declarations. A template's body holds no text, but its links count.
+_DEAD = (
     r"!--[\s\S]*?(?:--!?>|\z)"
     r"|script\b[\s\S]*?(?:</script[^>]*>|\z)"
     r"|style\b[\s\S]*?(?:</style[^>]*>|\z)"
-    r"|template\b[\s\S]*?(?:</template[^>]*>|\z)"
     r"|[!?][^>]*>"
 )
-# Attributes of a tag; a '>' inside quotes does not end it. Atomic groups keep the match linear and the
-# bound keeps the matcher's stack small; a tag beyond it ends at its first '>'.
-_ATTRIBUTES = r"""(?>[^>=]*(?:=\s*(?>"[^"]*"|'[^']*'|)[^>=]*){0,300})"""
+_OPAQUE = rf"{_DEAD}|template\b[\s\S]*?(?:</template[^>]*>|\z)"
+# Attributes of a tag, any number; a '>' inside quotes does not end it. Atomic groups keep the match linear, and the
+# possessive repetition is a loop in the matcher, not a stack.
+_ATTRIBUTES = r"""(?>[^>=]*(?:=\s*(?>"[^"]*"|'[^']*'|)[^>=]*)*+)"""
 _TAG = rf"/?[a-z]{_ATTRIBUTES}>|/?[a-z][^>]*>"
 _ATTRIBUTE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_ATTRIBUTE_ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)"
+# Names that HTML knows without a semicolon.
+_OPEN_NAMES = sorted(name for name in html5 if not name.endswith(";"))
 _ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
 
 
 @lru_cache(maxsize=1)
 def _entity_table() -> str:
-    """``name=text`` entries: the HTML 4 names of the standard library, and 128-159 as Windows-1252.
+    """``name=text`` entries: all names of the standard library's HTML 5 table, and 128-159 as Windows-1252.
 
-    The table travels inside plans, so it is kept small: the rarer HTML 5 names are left to
-    :func:`html_to_text_tolerant`. Short names come first: they are the frequent ones, the lookup is a scan.
+    Short names come first: they are the frequent ones, the lookup is a scan.
     """
-    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    table = {name.rstrip(";"): text for name, text in html5.items()}
     for code in range(128, 160):
         text = bytes([code]).decode("cp1252", errors="ignore")
         if text:
@@ -49,16 +51,20 @@ def _entity_table() -> str:
     return "\u0002".join(f"{name}\u0003{table[name]}" for name in names)
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references; an unknown name stays, without its semicolon."""
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Replace character references.
+
+    Text: a name counts with or without its semicolon, an unknown name stays without it. Attribute values: a name without a
+    semicolon counts only if HTML allows that for it and no ``=`` follows, so that ``?x=1&lang=en`` stays a query; whatever does
+    not count stays as it is.
+    """
     # One string literal, folded to a map when the plan is optimized.
     table = F.str_to_map(F.lit(_entity_table()), F.lit("\u0002"), F.lit("\u0003"))
 
     def decode_number(token: Column) -> Column:
-        digits = F.substring(token, 2, 12)
-        code = F.when(
-            F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 12), 16, 10)
-        ).otherwise(digits)
+        digits = F.regexp_replace(token, "^#[xX]?0*(?=[0-9a-fA-F])", "")
+        # More than 12 digits after leading zeros are no character in either base.
+        code = F.when(F.length(digits) > 12, F.lit(None)).when(F.lower(token).startswith("#x"), F.conv(digits, 16, 10)).otherwise(digits)
         return let(
             code.try_cast("bigint"),
             lambda c: F.coalesce(
@@ -72,6 +78,14 @@ def decode_entities(text: Column) -> Column:
         )
 
     def decode_piece(piece: Column) -> Column:
+        def in_attribute(token: Column) -> Column:
+            rest = F.substr(piece, F.length(token) + 1)
+            bare = token.isin(_OPEN_NAMES) & ~rest.startswith("=")
+            named = F.when(rest.startswith(";") | bare, F.try_element_at(table, token))
+            decoded = F.when(token.startswith("#"), decode_number(token)).otherwise(named)
+            whole = F.concat(decoded, F.when(rest.startswith(";"), F.substr(rest, F.lit(2))).otherwise(rest))
+            return F.coalesce(F.when(token != "", whole), F.concat(F.lit("&"), piece))
+
         def with_token(token: Column) -> Column:
             decoded = F.when(token.startswith("#"), decode_number(token)).otherwise(
                 F.coalesce(F.try_element_at(table, token), F.concat(F.lit("&"), token))
@@ -81,6 +95,8 @@ def decode_entities(text: Column) -> Column:
                 F.concat(decoded, F.when(rest.startswith(";"), F.substr(rest, F.lit(2))).otherwise(rest))
             )
 
+        if attribute:
+            return let(F.regexp_extract(piece, _ATTRIBUTE_ENTITY, 1), in_attribute)
         return let(F.regexp_extract(piece, _ENTITY, 1), with_token)
 
     def decode(whole: Column) -> Column:
@@ -169,8 +185,8 @@ def html_to_text_tolerant(html: Column) -> Column:
 
 
 def anchor_attributes(html: Column) -> Column:
-    """Attribute text of every ``<a>`` tag outside comments and hidden parts, in page order."""
-    visible = F.regexp_replace(html, f"(?i)<(?:{_OPAQUE})", " ")
+    """Attribute text of every ``<a>`` tag outside comments, scripts and styles, in page order."""
+    visible = F.regexp_replace(html, f"(?i)<(?:{_DEAD})", " ")
     return F.regexp_extract_all(visible, F.lit(rf"(?i)<a([\s/]{_ATTRIBUTES})>"), F.lit(1))
 
 
@@ -184,7 +200,7 @@ def raw_attribute(attributes: Column, name: str) -> Column:
 
 def attribute_value(attributes: Column, name: str) -> Column:
     """Value of one attribute of a tag: quotes removed, entities decoded, null when absent."""
-    return decode_entities(raw_attribute(attributes, name))
+    return decode_entities(raw_attribute(attributes, name), attribute=True)
 
 
 def fill_prompt(template: str, text: Column) -> Column:

@@ -13,18 +13,6 @@ from pyspark.sql import functions as F
 
 from trawlwork.plans.skew import lookup_join
 
-# The cache namespaces. Vectors and URL scores, which shared one, have one each.
-NAMESPACES = [
-    "embedding_relevance",
-    "url_relevance",
-    "menu_data",
-    "addr_place_rad_to_places",
-    "source_dest",
-    "url_to_html_data",
-    "url_to_pdf_data",
-    "url_to_itemize",
-]
-
 _UNIT_SEPARATOR = "\u001f"
 
 
@@ -118,19 +106,38 @@ def cache_hit_report(requests: DataFrame, caches: DataFrame) -> DataFrame:
     )
 
 
-def write_cache_batch(rows: DataFrame, path: str, batch: int, order: list[str] | None = None) -> None:
-    """Store the last row per key of ``rows(key, value, updated_at)`` as batch ``batch`` of a cache table."""
-    stored = latest(_hashed(rows), order or ["updated_at"]).select("key_hash", "key", "value", "updated_at")
-    stored.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+_STORED = {"key_hash": "string", "key": "string", "updated_at": "timestamp"}
+
+
+def write_cache_batch(rows: DataFrame, path: str, batch: int | str, order: list[str] | None = None) -> None:
+    """Store the last row per key of ``rows(key, value, updated_at)`` as batch ``batch`` of a cache table.
+
+    The columns of ``order`` are stored too: they also decide between rows of different batches. Every writer needs batch
+    names of its own; numbers sort as numbers.
+    """
+    order = order or ["updated_at"]
+    extra = [c for c in order if c not in _STORED]
+    stored = latest(_hashed(rows), order).select("key_hash", "key", "value", "updated_at", *extra)
+    stored.write.mode("overwrite").parquet(f"{path}/batch={f'{batch:012d}' if isinstance(batch, int) else batch}")
 
 
-def read_cache(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """The cache table at ``path``: the latest row per key over all its batches."""
-    schema = f"key_hash string, key string, value {value_type}, updated_at timestamp, batch bigint"
-    return latest(spark.read.schema(schema).parquet(path), ["updated_at", "batch"]).drop("batch")
+def _newest(spark: SparkSession, path: str, value_type: str, order: dict[str, str] | None) -> DataFrame:
+    order = order or {"updated_at": "timestamp"}
+    columns = _STORED | {"value": value_type} | order | {"batch": "string"}
+    rows = spark.read.schema(", ".join(f"{c} {t}" for c, t in columns.items())).parquet(path)
+    return latest(rows, [*order, "batch"]).drop("batch")
+
+
+def read_cache(spark: SparkSession, path: str, value_type: str, order: dict[str, str] | None = None) -> DataFrame:
+    """The cache table at ``path``: the latest row per key over all its batches.
+
+    ``order``: the columns, with types, that the batches were written with (default: ``updated_at``). Rows that agree in all
+    of them go by the name of their batch.
+    """
+    return _newest(spark, path, value_type, order).select("key_hash", "key", "value", "updated_at")
 
 
-def compact_cache(spark: SparkSession, path: str, value_type: str, into: str) -> None:
+def compact_cache(spark: SparkSession, path: str, value_type: str, into: str, order: dict[str, str] | None = None) -> None:
     """Rewrite a cache table as one batch at a new path, sorted by key for cheap lookups."""
-    table = read_cache(spark, path, value_type)
-    table.repartitionByRange("key_hash").sortWithinPartitions("key_hash").write.parquet(f"{into}/batch=0")
+    table = _newest(spark, path, value_type, order)
+    table.repartitionByRange("key_hash").sortWithinPartitions("key_hash").write.parquet(f"{into}/batch={0:012d}")

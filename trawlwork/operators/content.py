@@ -12,10 +12,10 @@ from trawlwork.functions import urls as U
 from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import (
+    PACKING_SHARDS,
     PAGES_PER_PART,
     PROMPT_HTML_EXTRACT,
     PROMPT_PDF_EXTRACT,
-    SHARD_ROWS,
     TOKEN_LIMIT,
 )
 
@@ -50,7 +50,7 @@ def find_menu_link(html: Column) -> Column:
             first_href(tags, "menu", "Open menu link"), first_href(tags, "authority", "Open website")
         ),
     )
-    return X.decode_entities(href)
+    return X.decode_entities(href, attribute=True)
 
 
 def pages_to_document_text(
@@ -94,12 +94,13 @@ def token_budget_batches(
     """Greedy ordered packing into batches of at most ``limit`` tokens: ``(shard, batch_no, key, chunk_no)``.
 
     A new batch opens when the next text would exceed the limit; a longer text is cut into chunks that are
-    packed alike. Order is ``key``. Packing is sequential, so texts are spread over shards of about
-    ``SHARD_ROWS`` rows, and only token counts reach the scan. ``tokens`` replaces the token count of a
+    packed alike. Order is ``key``. Packing is sequential, so texts are spread over shards by ``shard``, else by a hash of
+    the key over ``PACKING_SHARDS``, whatever the table's size: a text keeps its shard as the table grows. Only token
+    counts reach the scan. ``tokens`` replaces the token count of a
     text by that of another tokenizer.
     """
     if shard is None:
-        shard = F.pmod(F.xxhash64(key), F.lit(-(-texts.count() // SHARD_ROWS) or 1))
+        shard = F.pmod(F.xxhash64(key), F.lit(PACKING_SHARDS))
     counted = texts.select(
         key, shard.cast("bigint").alias("shard"), (X.token_counts(F.col("text")) if tokens is None else tokens).alias("n")
     )
@@ -206,16 +207,18 @@ def resolve_redirects(requests: DataFrame, redirects: DataFrame, content: DataFr
 def robots_filter(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """``pages(url, ...)`` plus ``allowed``, from ``rules(domain, agent, rule_no, allow, prefix)``.
 
-    The first matching rule of the agent's group decides, else of the ``*`` group; no rule allows. An empty
-    disallow rule allows everything. Map service addresses are always allowed.
+    The agent's product token (before ``/``) is compared. The first group in file order whose name is part of it
+    applies, else the ``*`` group; a group's first matching rule decides, no rule allows. An empty disallow rule allows
+    everything. Map service addresses are always allowed.
     """
     # A robots file is small by definition (crawlers read 500 KiB of it): one array per domain.
-    mine = F.lower(F.lit(agent)).contains(F.lower(F.col("agent")))
+    mine = F.lit(agent.split("/")[0].lower()).contains(F.lower(F.col("agent")))
     ranked = rules.filter(mine | (F.col("agent") == "*")).select(
         "domain",
         F.struct(
             F.when(F.col("agent") == "*", 1).otherwise(0).alias("general"),
             "rule_no",
+            F.lower("agent").alias("group"),
             (F.col("allow") | (F.col("prefix") == "")).alias("allow"),
             "prefix",
         ).alias("rule"),
@@ -229,7 +232,7 @@ def robots_filter(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     )
     matching = F.filter(
         "_rules",
-        lambda r: (r["general"] == F.col("_rules")[0]["general"])
+        lambda r: (r["group"] == F.col("_rules")[0]["group"])
         & ((r["prefix"] == "*") | F.col("_path").startswith(r["prefix"])),
     )
     always = F.col("url").contains("google.com") | F.col("url").contains("/maps.")

@@ -206,7 +206,6 @@ _PAGE_TEXT = (
 )
 
 _ORACLES["html_to_text"] = f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages"
-_ORACLES["html_to_text_tolerant"] = _ORACLES["html_to_text"]
 
 _ORACLES["pages_to_document_text"] = """
 SELECT conv_id, CAST(0 AS BIGINT) AS part_no, string_agg(text, '' ORDER BY turn) AS text

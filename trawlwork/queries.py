@@ -400,11 +400,6 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-@query
-def html_to_text_tolerant(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "pages").select("page_id", X.html_to_text_tolerant(F.col("html")).alias("text"))
-
-
 @query
 def pages_to_document_text(spark: SparkSession, sf: str) -> DataFrame:
     return K.pages_to_document_text(_table(spark, sf, "conversations"), "conv_id", "turn")
@@ -826,8 +821,9 @@ def cache_table_batches(spark: SparkSession, sf: str) -> DataFrame:
     C.write_cache_batch(rows.filter(F.col("updated_at") < split), path, 0, order)
     for _ in range(2):
         C.write_cache_batch(rows.filter(F.col("updated_at") >= split), path, 1, order)
-    C.compact_cache(spark, path, "double", packed)
-    return C.read_cache(spark, packed, "double").select("key_hash", "key", "value")
+    typed = {"updated_at": "timestamp", "event_id": "bigint"}
+    C.compact_cache(spark, path, "double", packed, typed)
+    return C.read_cache(spark, packed, "double", typed).select("key_hash", "key", "value")
 
 
 @query
@@ -930,10 +926,15 @@ def stream_visited_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """The last value per user, kept by a stream."""
+    """The last value per user, kept by a stream in a table that has the first half of the events already."""
     rows = _event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("key"), "value", F.col("ts").cast("timestamp").alias("updated_at"), "event_id"
     )
     path = scratch_path(spark, "stream-cache")
+    early = _table(spark, sf, "events").filter(F.col("event_id") % 2 == 0).select(
+        F.col("user_id").cast("string").alias("key"), "value", F.col("ts").cast("timestamp").alias("updated_at"), "event_id"
+    )
+    C.write_cache_batch(early, f"{path}/table", 0, ["updated_at", "event_id"])
     streams.stream_cache_upsert(rows, f"{path}/table", f"{path}/checkpoint", ["updated_at", "event_id"]).awaitTermination()
-    return C.read_cache(spark, f"{path}/table", "double").select("key_hash", "key", "value")
+    typed = {"updated_at": "timestamp", "event_id": "bigint"}
+    return C.read_cache(spark, f"{path}/table", "double", typed).select("key_hash", "key", "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,11 +36,13 @@ def stream_cache_upsert(
 ) -> StreamingQuery:
     """Apply arriving ``(key, value, updated_at)`` rows to the cache table at ``path``; last write wins.
 
-    Each micro-batch owns one batch folder, so a replayed one replaces itself.
+    Each micro-batch owns one batch folder, named after the checkpoint and its number: a replayed one replaces itself and
+    nothing that another stream or writer has stored.
     """
+    writer = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_cache_batch(batch, path, batch_id, order)
+        write_cache_batch(batch, path, f"{writer}-{batch_id:012d}", order)
 
     return (
         stream.writeStream.foreachBatch(write)
