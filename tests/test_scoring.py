@@ -125,6 +125,17 @@ def test_max_similarity_small_and_large(spark):
     assert np.allclose([r.scores for r in sorted(pairs, key=lambda r: r.id)], matrix)
 
 
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_max_similarity_edges(spark, limit):
+    schema = "id int, embedding array<double>"
+    left = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0, 2.0, 2.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0])], schema)
+    right = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [3.0]), (5, [2.0, 0.0]), (6, [4.0, 0.0])], schema)
+    got = sorted(((r.id, r.score) for r in W.max_similarity(left, right, "id", limit).collect()), key=str)
+    assert got == [(1, 0.0), (1, 1.0), (1, 1.0), (2, None), (3, 0.0), (4, 0.0), (5, 0.0)]
+    none = W.max_similarity(left, right.filter("id = 2"), "id", limit).collect()
+    assert len(none) == 7 and all(r.score is None for r in none)
+
+
 def test_target_size_is_checked(spark):
     profile = load_profile(spark, {"name": [f"p{i}" for i in range(4097)]})
     with pytest.raises(ValueError, match="more than"):

@@ -57,42 +57,72 @@ def pairwise_similarity(left: DataFrame, right: DataFrame, key: str, right_key:
 def max_similarity(left: DataFrame, right: DataFrame, key: str, limit: int = MAX_TARGET_PHRASES) -> DataFrame:
     """Per left vector the highest similarity to any right vector.
 
-    Up to ``limit`` right vectors ride along with the tasks. Beyond that both sides are cut into blocks,
-    every pair of blocks is one task, and only each left row's best score leaves it.
+    ``(key, score)``, one row per left row, also for repeated keys. Right vectors that are null or hold nulls are left out, as
+    among target phrases; without any the score is null. A pair of different lengths scores 0. Up to ``limit`` distinct
+    right vectors ride along with the tasks. Beyond that both sides are cut into blocks, every pair of blocks is one
+    task, and only each distinct left vector's best score leaves it.
     """
-    rows = right.select("embedding").limit(limit + 1).collect()
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    right = right.select("embedding").filter(whole).distinct()
+    rows = right.limit(limit + 1).collect()
     if len(rows) <= limit:
-        targets = unit_rows(as_matrix([r["embedding"] for r in rows], None)) if rows else np.zeros((0, 1))
+        targets = _by_length([r["embedding"] for r in rows])
 
         @F.pandas_udf("double")
         def best(vectors: pd.Series) -> pd.Series:
-            if not len(targets):
-                return pd.Series([None] * len(vectors), dtype="float64")
-            return pd.Series((unit_rows(as_matrix(vectors.tolist(), targets.shape[1])) @ targets.T).max(axis=1))
+            return pd.Series(_best_scores(vectors.tolist(), targets))
 
         return left.select(key, best("embedding").alias("score"))
 
     task_rows = min(_TASK_ROWS, limit)
     right_blocks = -(-right.count() // limit)
-    left_blocks = max(1, -(-left.count() // task_rows))
+    lefts = left.select("embedding").distinct()
+    left_blocks = max(1, -(-lefts.count() // task_rows))
 
-    def split(df: DataFrame, by: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks))).withColumn(
+    def split(df: DataFrame, mine: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(mine, F.pmod(F.xxhash64("embedding"), F.lit(blocks))).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<bigint>"))
         )
 
     def compare(some_left: pd.DataFrame, some_right: pd.DataFrame) -> pd.DataFrame:
-        if some_left.empty or some_right.empty:
-            return pd.DataFrame({key: [], "score": []})
-        targets = unit_rows(as_matrix(some_right["embedding"].tolist(), None))
-        mine = unit_rows(as_matrix(some_left["embedding"].tolist(), targets.shape[1]))
-        return pd.DataFrame({key: some_left[key], "score": (mine @ targets.T).max(axis=1)})
-
-    key_type = left.schema[key].dataType.simpleString()
-    # Blocks come from unique values (left keys, distinct right vectors), so copies cannot swell one block.
-    lefts = split(left.select(key, "embedding"), key, "lb", left_blocks, "rb", right_blocks)
-    rights = split(right.select("embedding").distinct(), "embedding", "rb", right_blocks, "lb", left_blocks)
+        scores = _best_scores(some_left["embedding"].tolist(), _by_length(some_right["embedding"].tolist()))
+        return pd.DataFrame({"embedding": some_left["embedding"], "score": scores})
+
+    kind = left.schema["embedding"].dataType.simpleString()
+    # Blocks hold distinct vectors, so copies cannot swell one block.
     partial = (
-        lefts.groupBy("lb", "rb").cogroup(rights.groupBy("lb", "rb")).applyInPandas(compare, f"{key} {key_type}, score double")
+        split(lefts, "lb", left_blocks, "rb", right_blocks)
+        .groupBy("lb", "rb")
+        .cogroup(split(right, "rb", right_blocks, "lb", left_blocks).groupBy("lb", "rb"))
+        .applyInPandas(compare, f"embedding {kind}, score double")
     )
-    return partial.groupBy(key).agg(F.max("score").alias("score"))
+    scored = partial.groupBy(F.col("embedding").alias("_vector")).agg(F.max("score").alias("score"))
+    return left.join(scored, F.col("embedding").eqNullSafe(F.col("_vector")), "left").select(key, "score")
+
+
+def _by_length(vectors: list) -> dict[int, np.ndarray]:
+    """Unit rows of the vectors of each length."""
+    lengths: dict[int, list] = {}
+    for vector in vectors:
+        lengths.setdefault(len(vector), []).append(vector)
+    return {n: unit_rows(as_matrix(rows, n)) for n, rows in lengths.items()}
+
+
+def _best_scores(vectors: list, targets: dict[int, np.ndarray]) -> list[float | None]:
+    """The highest similarity of each vector to any target; None for a null vector or without targets."""
+    out: list[float | None] = [None] * len(vectors)
+    if not targets:
+        return out
+    lengths: dict[int, list[int]] = {}
+    for place, vector in enumerate(vectors):
+        if vector is not None:
+            lengths.setdefault(len(vector), []).append(place)
+    for n, places in lengths.items():
+        scores = np.zeros(len(places))
+        if n in targets:
+            scores = (unit_rows(as_matrix([vectors[p] for p in places], n)) @ targets[n].T).max(axis=1)
+            # Among targets of other lengths, which score 0.
+            scores = np.maximum(scores, 0) if len(targets) > 1 else scores
+        for place, score in zip(places, scores.tolist(), strict=True):
+            out[place] = None if np.isnan(score) else score
+    return out

@@ -622,9 +622,10 @@ FROM combined JOIN wide USING (p_partkey)"""
 
 _ORACLES["write_ranked_results"] = f"""
 WITH {_combined(0.5)}, wide AS (SELECT p_partkey, {_PIVOT} FROM scores GROUP BY p_partkey)
-SELECT p_partkey, item AS scraped_item, array_to_string(ingredients, ', ') AS ingredients,
+SELECT row_number() OVER (ORDER BY round(combined, 6) DESC, p_partkey) AS place,
+       p_partkey, item AS scraped_item, array_to_string(ingredients, ', ') AS ingredients,
        round(combined, 6) AS combined_score, score_ingredient_1 AS ingredient_1
-FROM combined JOIN wide USING (p_partkey) ORDER BY combined DESC, p_partkey"""
+FROM combined JOIN wide USING (p_partkey)"""
 
 # ---- caches ---------------------------------------------------------------------------------------
 
@@ -699,11 +700,11 @@ WITH RECURSIVE tree AS (
   SELECT s_suppkey AS root, s_suppkey AS k, 0 AS depth FROM supplier
   UNION ALL
   SELECT root, unnest([k * 3 + 1, k * 3 + 2]), depth + 1
-  FROM tree WHERE depth < 3 AND k IN (SELECT p_partkey FROM part)),
+  FROM tree WHERE depth < 3 AND k IN (SELECT p_partkey FROM part WHERE p_size <> 13)),
 visited AS (SELECT DISTINCT root, k FROM tree),
 entries AS (
   SELECT DISTINCT root, lower(p_name) AS item, unnest([lower(p_type), lower(p_brand)]) AS ingredient
-  FROM visited JOIN part ON p_partkey = k),
+  FROM visited JOIN part ON p_partkey = k WHERE p_size <> 13),
 books AS (SELECT root, item, list(ingredient ORDER BY ingredient) AS ingredients FROM entries GROUP BY ALL),
 items AS (SELECT row_number() OVER () AS p_partkey, root, item, ingredients FROM books),
 {_combined(0.5).replace(_ITEMS + ",", "", 1).replace("i.item, i.ingredients", "i.root, i.item, i.ingredients")}

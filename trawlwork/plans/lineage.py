@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ _local_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder; a cluster must name one, since a
+    A local session without that setting gets a temporary folder, which goes when Python ends; a cluster must name one, since a
     machine-local folder would be lost with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="trawlwork-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.functions.text import clean_response, html_to_text
+from trawlwork.functions.text import clean_response
 from trawlwork.functions.urls import crawl_key_url
 from trawlwork.functions.vectors import Embedding, trigram_embedding
 from trawlwork.operators.content import extract_links, parse_items, pick_response
@@ -26,13 +26,6 @@ from trawlwork.settings import DEPTH_LIMIT, SIMILARITY_THRESHOLD, TARGET_URL_KEY
 from trawlwork.sources.tables import result_columns
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """``(url, content_type, text)`` of stored pages, by crawl key: the input of the extraction prompts."""
-    return pages.select(
-        crawl_key_url(F.col("url")).alias("url"), F.lit("html").alias("content_type"), html_to_text(F.col("html")).alias("text")
-    )
-
-
 def build_trees(
     sites: DataFrame,
     pages: DataFrame,
@@ -46,7 +39,8 @@ def build_trees(
 
     ``sites(establishment_url)``, ``pages(url, html)``, ``responses(url, n, text)``. Each page is parsed
     once, into links that are written down; the crawl reads those and never the pages. Without a
-    ``relevance_threshold`` all links are followed.
+    ``relevance_threshold`` all links are followed. A page without any response has failed: its ``has_content`` is
+    false, as for a page that is not stored, and the roll-up leaves out all below it.
     """
     roots = sites.select(crawl_key_url(F.col("establishment_url")).alias("root")).distinct()
     links = cut(canonical_links(extract_links(pages)), "page-links")
@@ -57,10 +51,10 @@ def build_trees(
         relevant = scored.filter(F.col("score") > relevance_threshold)
         crawled = crawl_bfs_relevant(roots, links, relevant, depth_limit)
     # One row per page key with all that the nodes need of it; a book comes out of one response, in its row.
-    stored = pages.select(crawl_key_url(F.col("url")).alias("url")).distinct().withColumn("has_content", F.lit(True))
+    stored = pages.select(crawl_key_url(F.col("url")).alias("url")).distinct()
     answers = pick_response(responses.withColumn("url", crawl_key_url(F.col("url"))), "url")
     books = answers.select("url", F.map_from_entries(parse_items(clean_response(F.col("response")))).alias("scraped_items"))
-    known = cut(stored.join(books, "url", "left"), "known-pages")
+    known = cut(stored.join(books, "url").withColumn("has_content", F.lit(True)), "known-pages")
     empty = F.create_map().cast("map<string,array<string>>")
     return (
         lookup_join(cut(dedupe_visited_nodes(crawled), "crawled"), known, ["url"])

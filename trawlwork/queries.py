@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawlwork.functions import text as X
@@ -285,11 +285,24 @@ def read_places(spark: SparkSession, sf: str) -> DataFrame:
 def write_ranked_results(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked CSV of matched parts, read back with the row numbers the files hold them in."""
     results = match_rows(spark, sf).withColumn("ingredients", F.array_join("ingredients", ", "))
+    # Rounded before the ranking: the last bits of a sum must not decide between equal scores.
+    results = results.withColumn("combined_score", F.round("combined_score", 6))
     path = scratch_path(spark, "ranked")
     T.write_ranked_results(results, path, ["p_partkey"])
     schema = "p_partkey bigint, scraped_item string, ingredients string, combined_score double, attribute_scores string"
     read = spark.read.schema(schema).csv(path, header=True, escape='"')
-    return read.select(
+    # Numbered inside each file, whose totals say where the next one begins.
+    placed = read.select(
+        "*",
+        F.col("_metadata.file_name").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"),
+    )
+    files = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    begins = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return placed.withColumn("inside", inside).join(begins, "file").select(
+        (F.col("begin") + F.col("inside")).alias("place"),
         "p_partkey",
         "scraped_item",
         F.coalesce("ingredients", F.lit("")).alias("ingredients"),
@@ -894,7 +907,9 @@ def rank_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
     )
     pages = part.select(_menu_url(k).alias("url"), html.alias("html"))
     answer = F.concat(F.lit("```output\n"), F.initcap("p_name"), F.lit(": "), "p_type", F.lit("|"), "p_brand", F.lit("\n```"))
-    responses = part.select(_menu_url(k).alias("url"), F.posexplode(F.array(F.lit("none"), answer)).alias("n", "text"))
+    # Pages of one size have no response at all: they fail, and nothing below them is reached.
+    answered = part.filter(F.col("p_size") != 13)
+    responses = answered.select(_menu_url(k).alias("url"), F.posexplode(F.array(F.lit("none"), answer)).alias("n", "text"))
     supplier = _table(spark, sf, "supplier")
     sites = supplier.select(
         F.concat(F.lit("https://maps.example/?cid="), F.col("s_suppkey").cast("string")).alias("google_url"),

@@ -71,6 +71,12 @@ def _read_nested(documents: DataFrame) -> DataFrame:
         ).withColumn("path", F.array_append("parent_path", F.col("position")))
 
 
+def _only_missing(error: AnalysisException) -> None:
+    """A path that does not exist is an empty forest; any other error is one."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def read_site_trees(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of the forest at ``path``: a forest file, a folder of them, or a folder made by the writer.
 
@@ -84,12 +90,13 @@ def read_site_trees(spark: SparkSession, path: str) -> DataFrame:
     ):
         try:
             parts.append(read(folder))
-        except AnalysisException:
-            continue
+        except AnalysisException as error:
+            _only_missing(error)
     if not parts:
         try:
             parts.append(_read_nested(spark.read.text(path, wholetext=True)))
-        except AnalysisException:
+        except AnalysisException as error:
+            _only_missing(error)
             return empty
     for part in parts:
         empty = empty.unionByName(part.select(*empty.columns))
