@@ -6,6 +6,7 @@ counts one without any merging; only the others go through the library's merges.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words whose counts a Python worker remembers; beyond it the memory starts anew. Results do not depend on it.
 REMEMBERED = 300_000
+#: Characters of texts whose new words are counted together.
+CHUNK_CHARS = 1 << 20
 
 
 def whole_tokens(tokenizer, strings: list[str] | None = None) -> set[str]:
@@ -37,6 +40,13 @@ def _pre_token_pattern(tokenizer) -> str | None:
     return None
 
 
+def _keeps_letters(tokenizer) -> bool:
+    """Whether a-z reach the merges as they are, in one piece; their merges then need no preparation by the library."""
+    letters = string.ascii_lowercase
+    same = tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(letters) == letters
+    return same and tokenizer.pre_tokenizer is not None and [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(letters)] == [letters]
+
+
 class WordCounter:
     """Tokens of a word (a run without spaces), with what has been counted before kept at hand.
 
@@ -48,40 +58,52 @@ class WordCounter:
         pattern = _pre_token_pattern(tokenizer)
         self.split = regex.compile(pattern).findall if pattern else None
         self.marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.letters = bool(pattern) and _keeps_letters(tokenizer)
         self.known: dict[str, int] = {}
 
-    def _merge(self, strings: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+    def _merge(self, strings: list[str]) -> dict[str, int]:
+        letters = self.letters
+        merge = self.tokenizer.model.tokenize
+        merged = {s: len(merge(s)) for s in strings if letters and s.isascii() and s.isalpha() and s.islower()}
+        rest = [s for s in strings if s not in merged]
+        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        merged.update((s, len(e.ids)) for s, e in zip(rest, encoded, strict=True))
+        return merged
 
     def learn(self, new: list[str]) -> None:
-        rest: list[str] = []
+        """Counts of new words; all that needs merging goes to the library in one call, each string once."""
+        mixed: list[tuple[str, int, list[str]]] = []
         for word in new:
             # Plain ASCII is lower-cased as the tokenizer does it; anything else, and special strings, go to the library whole.
             if self.split and word.isascii() and not any(mark in word for mark in self.marks):
                 parts = self.split(word.lower())
                 hard = [p for p in parts if p not in self.whole]
-                if not hard:
-                    self.known[word] = len(parts)
-                    continue
-                if len(hard) < len(parts):
-                    self.known[word] = len(parts) - len(hard) + sum(self._merge(hard))
-                    continue
+                mixed.append((word, len(parts) - len(hard), hard))
             elif word in self.whole:
                 self.known[word] = 1
-                continue
-            rest.append(word)
-        self.known.update(zip(rest, self._merge(rest), strict=True))
-
-    def count(self, text: str) -> int:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            self.learn(list(new))
-        return sum(map(known.__getitem__, words))
+            else:
+                mixed.append((word, 0, [word]))
+        strings = list({part for _, _, hard in mixed for part in hard})
+        merged = self._merge(strings)
+        for word, easy, hard in mixed:
+            self.known[word] = easy + sum(merged[part] for part in hard)
+
+    def counts(self, texts: list[str | None]) -> Iterator[int]:
+        """Tokens of each text, whole texts of about ``CHUNK_CHARS`` together (a longer one by itself)."""
+        first = 0
+        while first < len(texts):
+            chunk, size = [], 0
+            while first < len(texts) and (not chunk or size + len(texts[first] or "") <= CHUNK_CHARS):
+                text = texts[first] or ""
+                size += len(text)
+                chunk.append([w for w in text.replace("\n", " ").split(" ") if w])
+                first += 1
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            known = self.known
+            self.learn(list({w for words in chunk for w in words if w not in known}))
+            for words in chunk:
+                yield sum(map(known.__getitem__, words))
 
 
 def token_counts(documents: DataFrame, tokenizer_file: str, limit: int = 2048) -> DataFrame:
@@ -105,7 +127,7 @@ def token_counts(documents: DataFrame, tokenizer_file: str, limit: int = 2048) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = WordCounter(Tokenizer.from_file(tokenizer_file), whole.value)
         for batch in batches:
-            counts = [counter.count(text) if text else 0 for text in batch.column(2).to_pylist()]
+            counts = list(counter.counts(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
