@@ -45,15 +45,27 @@ def test_read_and_nest_back(spark, tmp_path):
     assert nested(nodes) == {k: filled(v) for k, v in FOREST.items()}
 
 
-@pytest.mark.parametrize("limit", [1, 100])
-def test_write_round_trip(spark, tmp_path, limit):
+def test_write_round_trip(spark, tmp_path):
     path = tmp_path / "forest.json"
     path.write_text(json.dumps(FOREST))
-    out = str(tmp_path / "out")
-    trees.write_site_trees(trees.read_site_trees(spark, str(path)), out, limit)
-    assert nested(trees.read_site_trees(spark, out)) == {k: filled(v) for k, v in FOREST.items()}
-    flat = spark.read.parquet(f"{out}/flat").select("place_id").distinct().count()
-    assert flat == (1 if limit == 1 else 0)
+    nodes = trees.read_site_trees(spark, str(path))
+    out, lines = str(tmp_path / "out"), str(tmp_path / "lines")
+    trees.write_site_trees(nodes, out)
+    trees.export_nested_trees(nodes, lines)
+    for stored in (out, lines):
+        assert nested(trees.read_site_trees(spark, stored)) == {k: filled(v) for k, v in FOREST.items()}
+    assert spark.read.text(f"{out}/nodes").count() == 5
+
+
+def test_stored_rows_are_checked(spark, tmp_path):
+    row = {"place_id": "p", "path": [], "depth": 0, "position": 0}
+    for name, line in (("no-url", json.dumps(row)), ("broken", '{"place_id": ')):
+        (tmp_path / name / "nodes").mkdir(parents=True)
+        (tmp_path / name / "nodes" / "part.json").write_text(line + "\n")
+        with pytest.raises(Exception, match="without url|MALFORMED"):
+            trees.read_site_trees(spark, str(tmp_path / name)).collect()
+    trees.write_site_trees(spark.createDataFrame([], trees.NODE_SCHEMA), str(tmp_path / "none"))
+    assert trees.read_site_trees(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_missing_and_broken_files_are_empty(spark, tmp_path):

@@ -379,6 +379,18 @@ SELECT place_id, root_url || '/' || kind || '/' || k, root_url || '/' || kind, 2
        p_name || '=' || kind || ',size ' || p_size FROM site"""
 
 _ORACLES["write_site_trees"] = f"""
+WITH {_FOREST}, nodes AS (
+  SELECT DISTINCT place_id, '' AS path, CAST(NULL AS VARCHAR) AS parent_path, 0 AS depth, 0 AS position, root_url AS url,
+         CAST(NULL AS VARCHAR) AS parent_url, '' AS book FROM site
+  UNION ALL
+  SELECT DISTINCT place_id, CAST(n AS VARCHAR), '', 1, CAST(n AS INT), root_url || '/' || kind, root_url, '' FROM site
+  UNION ALL
+  SELECT place_id, n || '/' || k, CAST(n AS VARCHAR), 2, CAST(k AS INT), root_url || '/' || kind || '/' || k,
+         root_url || '/' || kind, p_name || '=' || kind || ',size ' || p_size FROM site)
+SELECT place_id, path, parent_path, depth, position, url, parent_url, url AS descriptor,
+       book AS scraped_items, book AS menu_book FROM nodes"""
+
+_ORACLES["nest_site_trees"] = f"""
 WITH {_FOREST}, nodes AS (
   SELECT DISTINCT place_id, '' AS u, -1 AS n, -1 AS k FROM site
   UNION ALL SELECT DISTINCT place_id, '/' || kind, n, -1 FROM site

@@ -213,7 +213,7 @@ def _cache_halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def read_site_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Forest of part pages, written as nested JSON and flattened again."""
     path = scratch_path(spark, "forest")
-    trees.write_site_trees(_forest(spark, sf), path)
+    trees.export_nested_trees(_forest(spark, sf), path)
     nodes = trees.read_site_trees(spark, path)
     items = F.transform(
         F.map_entries("scraped_items"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))
@@ -225,6 +225,25 @@ def read_site_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def write_site_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of the forest's nodes, through the writer and the reader; items stand as books too."""
+    path = scratch_path(spark, "stored-forest")
+    trees.write_site_trees(_forest(spark, sf).withColumn("menu_book", F.col("scraped_items")), path)
+
+    def shown(book: str) -> Column:
+        parts = F.transform(F.map_entries(book), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+        return F.array_join(parts, ";").alias(book)
+
+    def steps(path: str) -> Column:
+        return F.array_join(F.transform(path, lambda n: n.cast("string")), "/").alias(path)
+
+    return trees.read_site_trees(spark, path).select(
+        "place_id", steps("path"), steps("parent_path"), "depth", "position", "url", "parent_url", "descriptor",
+        shown("scraped_items"), shown("menu_book"),
+    )
+
+
+@query
+def nest_site_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Nested JSON of the forest: its size and its child order per place."""
     nested = trees.nest_site_trees(_forest(spark, sf))
     urls = F.regexp_extract_all("json", F.lit('"url":"([^"]*)"'), F.lit(1))

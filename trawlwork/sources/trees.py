@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlwork.plans.lineage import cut
-from trawlwork.settings import MAX_NESTED_NODES
 
 BOOK = "map<string,array<string>>"
 NODE_SCHEMA = (
@@ -28,17 +27,24 @@ _JSON_NODE = (
 )
 
 
+def _named(url: Column) -> Column:
+    """The url of a node; a node without one is an error."""
+    return F.when(F.coalesce(url, F.lit("")) != "", url).otherwise(
+        F.raise_error(F.concat(F.lit("a node without url in tree "), F.coalesce("place_id", F.lit("null")))).cast("string")
+    )
+
+
+def _given(book: Column) -> Column:
+    return F.coalesce(book, F.create_map().cast(BOOK))
+
+
 def _parse_level(level: DataFrame) -> DataFrame:
     parsed = level.withColumn("node", F.from_json("json", _JSON_NODE))
-    url = F.when(F.coalesce(F.col("node.url"), F.lit("")) != "", F.col("node.url")).otherwise(
-        F.raise_error(F.concat(F.lit("a node without url in tree "), F.col("place_id"))).cast("string")
-    )
-    empty = F.create_map().cast(BOOK)
     return parsed.select(
-        "place_id", "path", "parent_path", "depth", "position", url.alias("url"), "parent_url",
+        "place_id", "path", "parent_path", "depth", "position", _named(F.col("node.url")).alias("url"), "parent_url",
         F.col("node.descriptor").alias("descriptor"),
-        F.coalesce("node.scraped_items", empty).alias("scraped_items"),
-        F.coalesce("node.menu_book", empty).alias("menu_book"),
+        _given(F.col("node.scraped_items")).alias("scraped_items"),
+        _given(F.col("node.menu_book")).alias("menu_book"),
         "node.children",
     )
 
@@ -77,30 +83,28 @@ def _only_missing(error: AnalysisException) -> None:
         raise error
 
 
+def _node_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes as :func:`write_site_trees` stores them; a line that is no JSON is an error, and so is a node without ``url``."""
+    rows = spark.read.schema(NODE_SCHEMA).option("mode", "FAILFAST").json(path)
+    return rows.select(*[_given(F.col(c)).alias(c) if c in ("scraped_items", "menu_book") else _named(F.col(c)).alias(c) if c == "url" else c for c in NODE_COLUMNS])
+
+
 def read_site_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of the forest at ``path``: a forest file, a folder of them, or a folder made by the writer.
+    """Nodes of the forest at ``path``: a folder made by :func:`write_site_trees`, or nested JSON to import.
 
-    A missing file or broken JSON gives an empty forest; a node without ``url`` is an error.
+    Nested JSON is a forest file, a folder of them, or the lines of :func:`export_nested_trees`. A missing file or broken
+    nested JSON gives an empty forest; a node without ``url`` is an error.
     """
-    empty = spark.createDataFrame([], NODE_SCHEMA)
-    parts = []
-    for folder, read in (
+    for place, read in (
+        (f"{path}/nodes", lambda p: _node_rows(spark, p)),
         (f"{path}/nested", lambda p: _read_nested(spark.read.text(p))),
-        (f"{path}/flat", lambda p: spark.read.schema(NODE_SCHEMA).parquet(p)),
+        (path, lambda p: _read_nested(spark.read.text(p, wholetext=True))),
     ):
         try:
-            parts.append(read(folder))
-        except AnalysisException as error:
-            _only_missing(error)
-    if not parts:
-        try:
-            parts.append(_read_nested(spark.read.text(path, wholetext=True)))
+            return read(place).select(*NODE_COLUMNS)
         except AnalysisException as error:
             _only_missing(error)
-            return empty
-    for part in parts:
-        empty = empty.unionByName(part.select(*empty.columns))
-    return empty
+    return spark.createDataFrame([], NODE_SCHEMA)
 
 
 def _node_json(children: Column) -> Column:
@@ -147,22 +151,19 @@ def nest_site_trees(nodes: DataFrame) -> DataFrame:
     return below.select("place_id", "json")
 
 
-def write_site_trees(nodes: DataFrame, path: str, max_nested_nodes: int = MAX_NESTED_NODES) -> None:
-    """Write a forest: one line ``{place_id: tree}`` per place under ``nested``.
+def write_site_trees(nodes: DataFrame, path: str) -> None:
+    """Write a forest as node rows, one JSON line each, under ``nodes``: one format for trees of every size."""
+    nodes.select(*NODE_COLUMNS).write.mode("overwrite").json(f"{path}/nodes")
 
-    A tree of more than ``max_nested_nodes`` nodes would be one huge value; it is written whole as node
-    rows under ``flat`` instead. :func:`read_site_trees` reads both.
+
+def export_nested_trees(nodes: DataFrame, path: str) -> None:
+    """One line ``{place_id: tree}`` per place under ``nested``, for readers of that format.
+
+    A tree is one value there by its nature; :func:`write_site_trees` is what a run stores.
     """
-    nodes = nodes.select(*NODE_COLUMNS)
-    large = (
-        nodes.groupBy("place_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_nested_nodes).select("place_id")
-    )
-    large = cut(large, "large-trees")
-    trees = nest_site_trees(nodes.join(large, "place_id", "left_anti"))
     key = F.to_json(F.array("place_id"))
     line = F.concat(F.lit("{"), F.substring(key, 2, F.length(key) - 2), F.lit(":"), F.col("json"), F.lit("}"))
-    trees.select(line.alias("value")).write.mode("overwrite").text(f"{path}/nested")
-    nodes.join(large, "place_id", "left_semi").write.mode("overwrite").parquet(f"{path}/flat")
+    nest_site_trees(nodes.select(*NODE_COLUMNS)).select(line.alias("value")).write.mode("overwrite").text(f"{path}/nested")
 
 
 def merge_site_trees(old: DataFrame, new: DataFrame) -> DataFrame:
