@@ -83,9 +83,11 @@ def _slots(sources: DataFrame, block: int, shards: int, seed: int, epochs: int)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     owed = F.least(F.round(F.col("target") / block).cast("long"), blocks * epochs)
     asked = sources.withColumn("blocks", blocks).withColumn("owed", owed).filter("owed > 0").withColumn("ends", dealt("source_no", "owed"))
-    # A large source is cut into runs of slots first: no task makes all slots of one source.
+    # A large source is cut into runs of slots first: no task makes all slots of one source. The rows of runs are few and
+    # small, so that adaptive execution would put them all into one task; a stated number of partitions it leaves alone.
     runs = asked.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("owed") - 1) / SLOT_CHUNK))))
-    spread = runs.repartition("source_no", "run").withColumn(
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = runs.repartition(tasks, "source_no", "run").withColumn(
         "n", F.explode(F.sequence(F.col("run") * SLOT_CHUNK, F.least(F.col("owed"), (F.col("run") + 1) * SLOT_CHUNK) - 1))
     )
     shard = F.size(F.filter("ends", lambda e: e <= F.col("n")))
