@@ -275,6 +275,26 @@ def test_lm_scores(spark):
     assert lm_scoring.cross_entropy_difference(documents(spark, [(1, "a b")]), empty).first().n_words == 2
 
 
+def test_lm_scores_of_every_word(spark, monkeypatch):
+    """Without shares every word and bigram has its counts, whether it is looked up or joined; new bigrams are backed off."""
+    rows = [*some_rows(8), (700, "rare0 rare1 rare0 rare2"), (701, "rare1 rare0")]
+    good = [bool(d is not None and d % 3 == 0) for d, _ in rows]
+    texts = [t for _, t in rows]
+    docs = documents(spark, rows)
+    found = {}
+    for hot in (0.0, 1 / 300, 2.0):
+        monkeypatch.setattr(lm_scoring, "HOT_SHARE", hot)
+        models = lm_scoring.train_models(docs, F.col("doc_id") % 3 == 0)
+        assert models.units.filter("key <> 0").count() == len({w for t in texts for w in (t or "").split()})
+        out = lm_scoring.cross_entropy_difference(docs.unionByName(documents(spark, [(800, "w1 unseen rare2 w3 w3"), (801, "rare2")])), models).collect()
+        assert len(out) == len(rows) + 2
+        found[hot] = Counter(map(tuple, out))
+        for d, text in [*rows[5:20:5], *rows[-2:], (800, "w1 unseen rare2 w3 w3"), (801, "rare2")]:
+            r = next(x for x in out if x.doc_id == d)
+            assert (r.target_loss, r.background_loss) == pytest.approx(brute_losses(text, texts, good, 0, 0), abs=1e-6)
+    assert found[0.0] == found[1 / 300] == found[2.0]
+
+
 def labelled(seed=9, n=300):
     rng = np.random.default_rng(seed)
     rows, labels = [], []

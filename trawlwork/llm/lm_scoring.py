@@ -2,13 +2,14 @@
 
 Both models are word bigrams over one vocabulary, counted over all documents and over the target documents, with the same
 smoothing; background counts are scaled to the target's number of words, so that both models trust their counts alike.
-Words and bigrams enter by their share of all words. A share bounds how many there can be, at any size of the corpus: at most
-``1 / WORD_SHARE`` words and ``1 / BIGRAM_SHARE`` bigrams, so the models may travel to the tasks. Everything rarer is
-counted too, under the shape of the word and in the backed-off model.
+Every word and every bigram of the corpus has its counts, in written tables that grow with it. Documents meet them by a join
+over their distinct bigrams; the most frequent bigrams (a share of all words bounds how many there can be) are looked up in
+the tasks instead, so that the join has no hot keys.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,14 +20,17 @@ from pyspark.sql import functions as F
 
 from trawlwork.llm.common import broadcast_if_small, training_fold
 from trawlwork.plans.lineage import cut
+from trawlwork.plans.skew import lookup_join
 
-#: A word of its own has at least this share of all words of the corpus; a bigram of its own likewise.
-WORD_SHARE = 1 / 20_000
-BIGRAM_SHARE = 1 / 1_000_000
 #: Weight of the backed-off unigram model, in words.
 BACKOFF = 50.0
-#: Words whose numbers a Python worker remembers.
+#: Bigrams with at least this share of all words are looked up in the tasks: 500,000 rows at most. All others are joined.
+HOT_SHARE = 1 / 500_000
+#: Losses are summed in whole units of this many to a nat, so that the order of the sum never matters.
+UNITS = 1e9
+#: Words whose numbers a Python worker remembers, and words that it works on at a time (a longer text is taken alone).
 REMEMBERED = 300_000
+CHUNK_WORDS = 500_000
 
 
 def word_shape(word: str) -> str:
@@ -41,26 +45,54 @@ def word_shape(word: str) -> str:
 SHAPES = [f"\n{kind}{n}" for kind in ("upper", "title", "lower", "digit", "mixed", "sign") for n in range(5)]
 
 
-class Numbering:
-    """Word numbers of one vocabulary: 0 stands before the first word, then shapes, then words."""
+class WordKeys:
+    """Words as numbers of this worker, and the 64-bit keys they have everywhere: 0 stands before the first word."""
 
-    def __init__(self, words: list[str]):
-        self.numbers = {name: i + 1 for i, name in enumerate([*SHAPES, *words])}
-        self.size = len(self.numbers) + 1
+    def __init__(self, words: list[str] | None):
+        """``words``: those that are words of their own, all others go by their shape; None: all are."""
+        self.words = None if words is None else set(words)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.keys = [0]
 
     def ids(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        known, numbers = self.known, self.numbers
-        if len(known) > REMEMBERED:
-            known.clear()
+        known = self.known
         for w in set(words):
             if w not in known:
-                n = numbers.get(w)
-                known[w] = numbers[word_shape(w)] if n is None else n
+                name = w if self.words is None or w in self.words else word_shape(w)
+                known[w] = len(self.keys)
+                self.keys.append(int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
         return np.array([known[w] for w in words], dtype=np.int64)
 
 
+def _distinct_pairs(batches: Iterator[pa.RecordBatch], words: list[str] | None):
+    """``(rows, lengths, before, word, place)`` of consecutive rows with a ``text``: their words, the keys of their distinct
+    bigrams, and for every word the number of the bigram it ends."""
+    own = WordKeys(words)
+    for batch in batches:
+        first, held, parts = 0, 0, []
+        texts = batch.column(batch.schema.get_field_index("text"))
+        for i in range(len(texts)):
+            parts.append(own.ids(texts[i].as_py()))
+            held += len(parts[-1])
+            if held < CHUNK_WORDS and i + 1 < len(texts):
+                continue
+            lengths, word = np.array([len(x) for x in parts], dtype=np.int64), np.concatenate(parts)
+            before = np.r_[0, word[:-1]] if len(word) else word
+            starts = np.cumsum(lengths) - lengths
+            before[starts[lengths > 0]] = 0
+            keys = np.array(own.keys, dtype=np.int64)
+            # Equal keys are one bigram, also where a shape stands for several words.
+            codes, place = np.unique(before * len(keys) + word, return_inverse=True)
+            yield batch.slice(first, i + 1 - first), lengths, keys[codes // len(keys)], keys[codes % len(keys)], place
+            first, held, parts = i + 1, 0, []
+            if len(own.known) > REMEMBERED:
+                own.forget()
+
+
 def _word_counts(rows: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, counted in the tasks before the shuffle."""
 
@@ -75,78 +107,102 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigram_counts(rows: DataFrame, numbering) -> DataFrame:
-    """``(pair, n, n_target)``: pairs as ``before * size + word``."""
+def _bigram_counts(rows: DataFrame, words: list[str] | None) -> DataFrame:
+    """``(before, word, n, n_target)`` over all texts, counted in the tasks before the shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Numbering(numbering.value)
-        for batch in batches:
-            pairs, target = [], []
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = own.ids(text)
-                if len(ids):
-                    pairs.append(np.r_[0, ids[:-1]] * own.size + ids)
-                    target.append(np.full(len(ids), bool(chosen)))
-            if pairs:
-                values, place = np.unique(np.concatenate(pairs), return_inverse=True)
-                n, hit = np.bincount(place), np.bincount(place, np.concatenate(target))
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64))], names=["pair", "n", "n_target"])
+        for part, lengths, before, word, place in _distinct_pairs(batches, shared.value):
+            chosen = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
+            n, hit = np.bincount(place, minlength=len(word)), np.bincount(place, chosen, len(word))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (before, word, n, hit)], names=["before", "word", "n", "n_target"])
 
-    counted = rows.select("text", "target").mapInArrow(count, "pair long, n long, n_target long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    counted = rows.select("text", "target").mapInArrow(count, "before long, word long, n long, n_target long")
+    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
 class BigramModels:
-    """Log probabilities of target and background for every kept bigram, and the backed-off ones for all others."""
+    """Target and background as written tables: counts of every word, losses of every bigram.
 
-    def __init__(self, words: list[str], unigrams: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        """``unigrams`` and ``contexts``: (2, size) counts as words and as what stands before; ``counts``: (2, pairs).
-        Row 0 is the target, row 1 the background."""
-        self.words, self.size = words, unigrams.shape[1]
-        totals = unigrams.sum(axis=1, keepdims=True)
+    ``units(key, n, n_target, ahead, ahead_target)``: counts as word and as what stands before. ``pairs(before, word, n,
+    target, background)``: losses in ``UNITS``. Keys have 64 bits: among a hundred million words two share one with a chance
+    of 3 in 10,000, and a bigram has two of them.
+    """
+
+    def __init__(self, words: list[str] | None, counted: DataFrame, bigram_share: float):
+        self.words = words
+        as_word = counted.groupBy(F.col("word").alias("key")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+        as_before = counted.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("ahead"), F.sum("n_target").alias("ahead_target"))
+        self.units = cut(as_word.join(as_before, "key", "full").na.fill(0), "units")
+        self.total, self.target_total, own = self.units.agg(
+            F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
+        ).first()
+        self.size = (own if words is None else len(words)) + len(SHAPES) + 1
         # Both models as if they had seen as many words as the target.
-        scale = np.divide(totals[0, 0], totals, out=np.ones_like(totals), where=totals > 0)
-        unigram = (unigrams * scale + 1) / (totals * scale + self.size)
-        context = contexts * scale
-        self.word = np.log(unigram)
-        self.lack = np.log(BACKOFF / (context + BACKOFF))
-        before, word = pairs // self.size, pairs % self.size
-        self.pairs = pairs
-        self.pair = np.log((counts * scale + BACKOFF * unigram[:, word]) / (context[:, before] + BACKOFF))
-
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Summed negative log probabilities, target and background."""
-        before = np.r_[0, ids[:-1]]
-        wanted = before * self.size + ids
-        at = np.minimum(np.searchsorted(self.pairs, wanted), max(0, len(self.pairs) - 1))
-        found = self.pairs[at] == wanted if len(self.pairs) else np.zeros(len(ids), dtype=bool)
-        sums = []
-        for k in (0, 1):
-            values = self.lack[k][before] + self.word[k][ids]
-            if found.any():
-                values[found] = self.pair[k][at[found]]
-            sums.append(-float(values.sum()))
-        return sums[0], sums[1]
-
-
-def train_models(documents: DataFrame, target: Column, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> BigramModels:
-    """Models of ``documents(text)``; ``target`` says which of them the target model learns from (null: no)."""
-    spark = documents.sparkSession
+        self.scale = self.target_total / self.total if self.total else 1.0
+        known = F.col("n") >= F.lit(bigram_share * self.total)
+        seen = counted.select("before", "word", "n", *(F.when(known, F.col(c)).otherwise(0).alias(f"_{c}") for c in ("n", "n_target")))
+        losses = self.with_losses(seen, F.col("_n_target"), F.col("_n"))
+        self.pairs = cut(losses.select("before", "word", "n", "target", "background"), "pairs")
+
+    def with_losses(self, rows: DataFrame, n_target: Column | None = None, n: Column | None = None) -> DataFrame:
+        """``rows(before, word, ...)`` with ``target`` and ``background``, the losses of bigrams with these counts (none: 0)."""
+        as_word = self.units.select(F.col("key").alias("word"), F.col("n").alias("_w"), F.col("n_target").alias("_w_target"))
+        as_before = self.units.select(F.col("key").alias("before"), F.col("ahead").alias("_b"), F.col("ahead_target").alias("_b_target"))
+        joined = lookup_join(cut(lookup_join(rows, as_word, ["word"]), "with-words"), as_before, ["before"])
+        words = float(self.target_total + self.size)
+
+        def loss(pair: Column | None, word: str, before: str, scale: float) -> Column:
+            unigram = (F.coalesce(F.col(word), F.lit(0)) * scale + 1) / words
+            seen = F.lit(0.0) if pair is None else pair * F.lit(scale)
+            return F.round((F.log(F.coalesce(F.col(before), F.lit(0)) * scale + BACKOFF) - F.log(seen + BACKOFF * unigram)) * UNITS).cast("long")
+
+        target, background = loss(n_target, "_w_target", "_b_target", 1.0), loss(n, "_w", "_b", self.scale)
+        return joined.withColumn("target", target).withColumn("background", background)
+
+    def hot(self) -> HotPairs:
+        rows = self.pairs.filter(F.col("n") >= F.lit(HOT_SHARE * self.total)).toArrow()
+        return HotPairs(*(rows.column(c).to_numpy() for c in ("before", "word", "target", "background")))
+
+    def others(self) -> DataFrame:
+        return self.pairs.filter(F.col("n") < F.lit(HOT_SHARE * self.total)).drop("n")
+
+
+class HotPairs:
+    """Losses of the most frequent bigrams, found by both keys."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, target: np.ndarray, background: np.ndarray):
+        mixed = self.mixed(before, word)
+        order = np.argsort(mixed, kind="stable")
+        self.order, self.columns = mixed[order], [x[order] for x in (before, word, target, background)]
+
+    @staticmethod
+    def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
+
+    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(found, target, background)``; 0 where a bigram is not among them."""
+        if not len(self.order):
+            nothing = np.zeros(len(word), dtype=np.int64)
+            return nothing.astype(bool), nothing, nothing
+        at = np.minimum(np.searchsorted(self.order, self.mixed(before, word)), len(self.order) - 1)
+        found = (self.columns[0][at] == before) & (self.columns[1][at] == word)
+        return found, np.where(found, self.columns[2][at], 0), np.where(found, self.columns[3][at], 0)
+
+
+def train_models(documents: DataFrame, target: Column, word_share: float = 0.0, bigram_share: float = 0.0) -> BigramModels:
+    """Models of ``documents(text)``; ``target`` says which of them the target model learns from (null: no).
+
+    Every word and bigram counts. A share above 0 leaves words that are rarer to their shape and rarer bigrams to the
+    backed-off model; the words that stay, at most ``1 / word_share``, then travel to the tasks.
+    """
     rows = documents.select("text", F.coalesce(target, F.lit(False)).alias("target"))
-    counted = cut(_word_counts(rows), "words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = sorted(r["word"] for r in counted.filter(F.col("n") >= word_share * total).select("word").collect()) if total else []
-    numbering = spark.sparkContext.broadcast(words)
-    size = len(words) + len(SHAPES) + 1
-    pairs = cut(_bigram_counts(rows, numbering), "bigrams")
-    unigrams, contexts = np.zeros((2, size)), np.zeros((2, size))
-    for counts, key in ((unigrams, F.col("pair") % size), (contexts, F.floor(F.col("pair") / size))):
-        for r in pairs.groupBy(key.alias("k")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).collect():  # at most one row per word
-            counts[:, r["k"]] = r["n_target"], r["n"]
-    kept = pairs.filter((F.col("n") >= bigram_share * total) & (F.col("n") > 0)).toArrow()
-    order = np.argsort(kept.column("pair").to_numpy())
-    counts = np.array([kept.column("n_target").to_numpy()[order], kept.column("n").to_numpy()[order]], dtype=np.float64)
-    return BigramModels(words, unigrams, contexts, kept.column("pair").to_numpy()[order], counts)
+    words = None
+    if word_share > 0:
+        counted = cut(_word_counts(rows), "words")
+        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        words = sorted(r["word"] for r in counted.filter(F.col("n") >= word_share * total).select("word").collect())
+    return BigramModels(words, cut(_bigram_counts(rows, words), "bigrams"), bigram_share)
 
 
 def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> DataFrame:
@@ -156,23 +212,47 @@ def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> Data
     separated by white space as Python sees it. Null and empty texts: no words, losses and score 0. Null ids and repeated rows
     are scored like all others; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        numbering = Numbering(own.words)
-        for batch in batches:
-            counts, losses = [], []
-            for text in batch.column(1).to_pylist():
-                ids = numbering.ids(text)
-                counts.append(len(ids))
-                losses.append(tuple(x / len(ids) for x in own.losses(ids)) if len(ids) else (0.0, 0.0))
-            first, second = (np.array([x[k] for x in losses], dtype=np.float64) for k in (0, 1))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), *(pa.array(np.round(x, 9)) for x in (first, second, first - second))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    context = documents.sparkSession.sparkContext
+    hot, words = context.broadcast(models.hot()), context.broadcast(models.words)
+    names = ["row", "doc_id", "n_words", "summed_target", "summed_background", "before", "word", "times"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lengths, before, word, place in _distinct_pairs(batches, words.value):
+            found, *losses = hot.value.losses(before, word)
+            ends = np.cumsum(lengths)
+            sums = []
+            for values in losses:
+                running = np.r_[0, np.cumsum(values[place])]
+                sums.append(pa.array(running[ends] - running[ends - lengths]))
+            # One row for the text itself; its missing word matches nothing and the row's number spreads it.
+            row, none, zero = part.column(0), pa.nulls(len(lengths), pa.int64()), pa.array(np.zeros(len(lengths), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([row, part.column(1), pa.array(lengths), *sums, row, none, zero], names=names)
+            open_ = ~found[place]
+            pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[open_] * max(1, len(word)) + place[open_], return_counts=True)
+            text, pair = pairs // max(1, len(word)), pairs % max(1, len(word))
+            none, zero = pa.nulls(len(pairs), pa.int64()), pa.array(np.zeros(len(pairs), dtype=np.int64))
+            columns = [row.take(pa.array(text)), none, none, zero, zero, pa.array(before[pair]), pa.array(word[pair]), pa.array(times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = rows.mapInArrow(meet, ", ".join(f"{n} long" for n in names)).join(models.others(), ["before", "word"], "left")
+    unknown = F.col("word").isNotNull() & F.col("target").isNull()
+
+    def summed(kind: str) -> Column:
+        return F.sum(F.col(f"summed_{kind}") + F.col("times") * F.coalesce(kind, F.lit(0))).alias(f"summed_{kind}")
+
+    about = [F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), summed("target"), summed("background")]
+    keys = [F.when(unknown, F.col(c)).alias(c) for c in ("before", "word")]
+    sums = cut(met.groupBy("row", *keys).agg(*about, F.sum(F.when(unknown, F.col("times")).otherwise(0)).alias("times")), "sums")
+    # Bigrams that the models have not seen, in other documents than theirs.
+    new = sums.filter(F.col("word").isNotNull())
+    whole = sums.filter(F.col("word").isNull()).withColumn("target", F.lit(0).cast("long")).withColumn("background", F.lit(0).cast("long"))
+    if not new.isEmpty():
+        whole = whole.unionByName(models.with_losses(new).select(whole.columns))
+    scored = whole.groupBy("row").agg(*about)
+    first, second = (F.coalesce(F.try_divide(F.col(f"summed_{k}") / UNITS, F.col("n_words")), F.lit(0.0)) for k in ("target", "background"))
+    losses = [F.round(x, 9).alias(n) for x, n in ((first, "target_loss"), (second, "background_loss"), (first - second, "score"))]
+    return scored.select("doc_id", "n_words", *losses)
 
 
 def score_against_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
