@@ -366,6 +366,37 @@ def test_vectors(spark, monkeypatch, shard):
     assert vector_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def subgroups(groups, size=60, dimensions=64, seed=11):
+    """One family in which every pair is above 0.99, of tight subgroups larger than the pool of neighbours."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=dimensions)
+    base /= np.linalg.norm(base)
+    centers = base + 0.06 * (c := rng.normal(size=(groups, dimensions))) / np.linalg.norm(c, axis=1, keepdims=True)
+    noise = rng.normal(size=(groups, size, dimensions))
+    return (centers[:, None] + 0.002 * noise / np.linalg.norm(noise, axis=2, keepdims=True)).reshape(-1, dimensions)
+
+
+@pytest.mark.parametrize("groups", [2, 3, 5, 10])
+def test_vector_graph_of_tight_subgroups(groups):
+    assert 60 > vector_dedup.POOL
+    rows = subgroups(groups)
+    # The medoid lies among unlike vectors: it leads no query into the family.
+    rows = np.concatenate([rows, np.random.default_rng(12).normal(size=(100, 64))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    a, b = vector_dedup.range_search(rows, vector_dedup._both_ways(vector_dedup.build_graph(rows)), np.arange(len(rows)), 0.98)
+    want = (rows @ rows.T >= 0.98) & ~np.eye(len(rows), dtype=bool)
+    assert want.sum() == 60 * groups * (60 * groups - 1) and set(zip(a, b, strict=True)) == set(zip(*np.nonzero(want), strict=True))
+
+
+def test_vectors_of_tight_subgroups(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 300)
+    rows = subgroups(5)
+    rows = np.concatenate([rows, subgroups(16, seed=13)])  # the second family is compared in pairs of blocks
+    table = spark.createDataFrame([(i, v.tolist(), int(i >= 300)) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicate_vectors(table).collect()}
+    assert out == {i: (299, 0, i == 0) if i < 300 else (959, 300, i == 300) for i in range(len(rows))}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
