@@ -201,6 +201,30 @@ def test_mixing(spark):
     assert mixing.mix_documents(documents(spark, [])).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """With the production block, next to one hot source, sources at their limit give all of it and none is left out."""
+    sizes = [1, 2, 10, 31, 32, 40, 63, 64, 65, 127, 128, 129, 130, 200, 320, 641, 700]
+    rows = [(1000 * k + i, " ".join(["w"] * min(7, n - 7 * i)), f"t{k:02}") for k, n in enumerate(sizes) for i in range(-(-n // 7))]
+    rows += [(10**6 + i, "w " * 500, "s") for i in range(40)] + [(2 * 10**6, None, "u"), (2 * 10**6 + 1, " ", "u")]
+    docs = documents(spark, rows)
+    out = mixing.mix_documents(docs).collect()
+    assert len(out) == len(rows)
+    taken = Counter()
+    for r in out:
+        taken[r.doc_id // 1000 if r.doc_id < 10**6 else "s"] += r.taken
+        assert r.taken <= 3 * r.size
+    assert {k: taken[k] for k in range(len(sizes))} == {k: 3 * n for k, n in enumerate(sizes)}
+    assert abs(taken["s"] - next(r.target for r in out if r.doc_id == 10**6)) <= 64
+    # A target below half a block is one slot, and documents of every source stay in the mix.
+    tiny = documents(spark, [(0, "w " * 30, "a"), (1, "w " * 30, "b"), (2, "w " * 6400, "c")])
+    found = {r.doc_id: (r.target, r.taken) for r in mixing.mix_documents(tiny, weights=(1, 1, 1000)).collect()}
+    assert 0 < found[0][0] < 15 and found[0][1] == found[1][1] == 30
+    sources, slots, pieces = mixing.mix_plan(docs)
+    held = pieces.filter("size > 0").groupBy("source_no", "block").agg(F.sum("n_words").alias("n")).groupBy("source_no").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    assert all(r.high - r.low <= 1 and r.high <= 64 for r in held.collect())
+    assert {r.doc_id // 1000 for r in mixing.mixed_documents(docs).collect() if r.doc_id < 10**6} == set(range(len(sizes)))
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         out = mixing._permuted(np.arange(n), np.full(n, n), np.full(n, 12345, dtype=np.uint64))

@@ -1,6 +1,7 @@
 """Mixing sources to target weights, in blocks of words.
 
-The words of a source form one stream, packed into blocks of fixed length. A source owes a number of slots; slots are
+The words of a source form one stream, cut into the fewest blocks of at most a fixed length, which differ by a word at most.
+A source owes a number of slots; slots are
 dealt to output shards by multinomial counts, run through pseudorandom permutations of the source's block numbers (one
 for every round over the source), and blocks are joined by number.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlwork.llm.common import words
@@ -67,6 +68,23 @@ def _permuted(numbers: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.nd
     return out.astype(np.int64)
 
 
+def _blocks(size: Column, block: int) -> Column:
+    """Blocks of a source's stream; none without words."""
+    return F.ceil(size / block).cast("long")
+
+
+def _block_start(number: Column, size: Column, blocks: Column) -> Column:
+    """The place of a block's first word: the first ``size % blocks`` blocks hold a word more than the others."""
+    return number * F.floor(size / blocks) + F.least(number, size % blocks)
+
+
+def _block_at(place: Column, size: Column, blocks: Column) -> Column:
+    """The block that holds a place of the stream."""
+    short, longer = F.floor(size / blocks), size % blocks
+    edge = longer * (short + 1)
+    return F.when(place < edge, F.floor(place / (short + 1))).otherwise(longer + F.floor((place - edge) / short))
+
+
 def _slots(sources: DataFrame, block: int, shards: int, seed: int, epochs: int) -> DataFrame:
     """``(source_no, shard, slot, epoch, block)``: every slot that a source owes, and the block it takes."""
 
@@ -80,8 +98,10 @@ def _slots(sources: DataFrame, block: int, shards: int, seed: int, epochs: int)
         keys = (source_no.to_numpy().astype(np.uint64) * np.uint64(1_000_003) + epoch.to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
         return pd.Series(_permuted(place.to_numpy(), blocks.to_numpy(), keys))
 
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    owed = F.least(F.round(F.col("target") / block).cast("long"), blocks * epochs)
+    blocks = _blocks(F.col("source_size"), block)
+    # Slots are counted in the source's own block length; a source with a target is never left out.
+    nearest = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
+    owed = F.when(F.col("target") > 0, F.least(F.greatest(nearest, F.lit(1)), blocks * epochs)).otherwise(0)
     asked = sources.withColumn("blocks", blocks).withColumn("owed", owed).filter("owed > 0").withColumn("ends", dealt("source_no", "owed"))
     # A large source is cut into runs of slots first: no task makes all slots of one source. The rows of runs are few and
     # small, so that adaptive execution would put them all into one task; a stated number of partitions it leaves alone.
@@ -129,16 +149,18 @@ def mix_plan(
     parts = rows.groupBy("source", "bucket").agg(F.sum(volume).alias("n"))
     parts = parts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # One row per source and bucket, matched null to null.
-    parts = parts.join(sources.select(F.col("source").alias("_s"), "source_no"), F.col("source").eqNullSafe(F.col("_s")))
-    parts = parts.select("source_no", F.col("source").alias("_s"), F.col("bucket").alias("_b"), "begin")
+    parts = parts.join(sources.select(F.col("source").alias("_s"), "source_no", "source_size"), F.col("source").eqNullSafe(F.col("_s")))
+    parts = parts.select("source_no", F.col("source").alias("_s"), F.col("bucket").alias("_b"), "begin", "source_size")
     ahead = rows.withColumn("ahead", F.sum(volume).over(part) - volume)
     laid = ahead.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).withColumn(
         "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     )
     laid = laid.withColumn("begin", F.col("begin") + F.col("ahead") + F.col("copy") * F.col("size")).withColumn("end", F.col("begin") + F.col("size"))
-    touched = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))
+    stream, blocks = F.col("source_size"), _blocks(F.col("source_size"), block)
+    touched = F.sequence(_block_at(F.col("begin"), stream, blocks), _block_at(F.col("end") - 1, stream, blocks))
     pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, touched)))
-    n_words = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+    starts, ends = (_block_start(F.col("block") + k, stream, blocks) for k in (0, 1))
+    n_words = F.when(F.col("block").isNotNull(), F.least(F.col("end"), ends) - F.greatest(F.col("begin"), starts))
     return sources, slots, pieces.select("doc_id", "source", "size", "mark", "copy", "source_no", "block", F.coalesce(n_words, F.lit(0)).alias("n_words"))
 
 
