@@ -68,6 +68,20 @@ def test_document_text(spark):
     assert [(r.url, r.part_no, r.text) for r in parts] == [("d", 0, "ab"), ("d", 1, "z")]
 
 
+def test_long_document_text_is_whole(spark, tmp_path):
+    from trawlwork import queries
+
+    pages = [(1, n, "user", f"{n},") for n in range(2500)] + [(2, 1000, "user", "a"), (2, 999, "user", "b")]
+    table = spark.createDataFrame(pages, "conv_id long, turn int, role string, text string")
+    want = {1: "".join(f"{n}," for n in range(2500)), 2: "ba"}
+    out = K.pages_to_document_text(table, "conv_id", "turn").collect()
+    assert sorted((r.conv_id, r.part_no, r.text) for r in out) == [(i, 0, t) for i, t in want.items()]
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "http://a", "<p>x</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = [(r.id, r.text) for r in queries.dispatch_content(spark, str(tmp_path)).collect() if r.id.startswith("conv")]
+    assert sorted(found) == [(f"conv-{i}", t) for i, t in want.items()]
+
+
 def test_dispatch(column):
     rows = [("html", "<p>a</p>", "b"), ("pdf", "<p>a</p>", "b"), ("png", "x", "y"), ("pdf", "x", None)]
     assert column(K.dispatch_content, rows, "t string, h string, p string") == ["a", "b", None, None]

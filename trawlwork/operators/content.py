@@ -13,7 +13,6 @@ from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
 from trawlwork.settings import (
     PACKING_SHARDS,
-    PAGES_PER_PART,
     PROMPT_HTML_EXTRACT,
     PROMPT_PDF_EXTRACT,
     TOKEN_LIMIT,
@@ -54,15 +53,16 @@ def find_menu_link(html: Column) -> Column:
 
 
 def pages_to_document_text(
-    pages: DataFrame, key: str, page_no: str, text: str = "text", pages_per_part: int = PAGES_PER_PART
+    pages: DataFrame, key: str, page_no: str, text: str = "text", pages_per_part: int | None = None
 ) -> DataFrame:
     """``(key, part_no, text)``: page texts joined in page order without separator, blank pages skipped.
 
-    A document of up to ``pages_per_part`` pages is one row. A longer one is consecutive rows, whole when
-    put together, so no task ever holds a document of unbounded length.
+    A document is one row with part 0, whatever its length. With ``pages_per_part`` it is consecutive rows, whole
+    when put together; whoever asks for parts carries ``part_no`` on.
     """
     filled = pages.filter(F.coalesce(F.col(text) != "", F.lit(False)))
-    part = F.floor(F.col(page_no) / pages_per_part).alias("part_no")
+    number = F.lit(0).cast("bigint") if pages_per_part is None else F.floor(F.col(page_no) / pages_per_part)
+    part = number.alias("part_no")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(page_no), F.col(text).alias("text"))))
     joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "")
     return filled.groupBy(key, part).agg(joined.alias("text"))
