@@ -356,6 +356,16 @@ def test_classifiers(spark, kind):
         assert {r.doc_id for r in left.collect()} == {r.doc_id for r in out if r.score < 0.7}
 
 
+@pytest.mark.parametrize("size, caught", [("sf0.001", 2), ("sf0.01", 13)])
+def test_toxic_rows_of_small_tables(spark, size, caught):
+    """With 51 and 279 rows to learn from, held-out toxic rows are told apart and some pass the threshold."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.toxicity_scores(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    toxic, other = ([r for r in out if r.toxic == k] for k in (1, 0))
+    assert sum(r.predicted for r in toxic) >= caught and sum(r.predicted for r in other) <= 0.05 * len(other)
+    assert np.mean([a.score > b.score for a in toxic for b in other]) > 0.85
+
+
 @pytest.mark.parametrize("shard", [768, 12])
 def test_vectors(spark, monkeypatch, shard):
     monkeypatch.setattr(vector_dedup, "SHARD", shard)

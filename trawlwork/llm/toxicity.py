@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,12 @@ EPOCHS = 60
 SAMPLE_ROWS = 4000
 SAMPLE_TEXT_BYTES = 12_000
 THRESHOLD = 0.7
-#: A subword takes part if the shares of documents that hold it, toxic and not, differ by so many standard errors. All
-#: others keep a zero vector: with few labels they would learn single documents by heart.
-SIGNIFICANT = 6.0
+#: A subword's vector is shrunk by how many standard errors lie between the shares of documents that hold it, toxic and not:
+#: to a half at ``HALF``, to next to nothing where chance would do, else with few labels single documents are learned by
+#: heart. There is no cut that a small table could not reach. What would be shrunk below ``LEAST`` is not trained.
+HALF, LEAST = 4.0, 0.05
+#: Rows that the folds of the calibration train on in all, about: 2 folds at least, 8 at most.
+FOLD_ROWS = 2000
 #: Words whose values a Python worker remembers.
 REMEMBERED = 300_000
 
@@ -42,6 +46,10 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
+def _pieces(word: str) -> np.ndarray:
+    return np.array(subwords(word))
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -69,6 +77,22 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return running[edges[1:]] - running[edges[:-1]]
 
 
+def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a balanced logistic fit; targets are drawn in by the number of rows, so that it stays finite."""
+    counts = np.bincount(label, minlength=2)
+    wanted = np.where(label == 1, (counts[1] + 1) / (counts[1] + 2), 1 / (counts[0] + 2))
+    weight = 0.5 / counts[label]
+    spread = margin.std() or 1.0
+    rows = np.stack([margin / spread, np.ones(len(margin))], axis=1)
+    fit = np.zeros(2)
+    for _ in range(50):
+        odds = 1 / (1 + np.exp(-np.clip(rows @ fit, -30, 30)))
+        slope = rows.T @ (weight * (odds - wanted)) + 1e-3 * fit
+        curve = (rows * (weight * odds * (1 - odds))[:, None]).T @ rows + 1e-3 * np.eye(2)
+        fit -= np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return max(float(fit[0]), 0.0) / spread, float(fit[1])
+
+
 class SubwordModel:
     """Trained in numpy; afterwards a word's weight is the mean over its subwords of what the softmax makes of their vectors."""
 
@@ -76,7 +100,8 @@ class SubwordModel:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def train(cls, sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 20260102) -> SubwordModel:
+    def train(cls, sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 20260102, pieces_of=None) -> SubwordModel:
+        """``pieces_of``: :func:`subwords` as an array, if its results are remembered for several models."""
         rng = np.random.default_rng(seed)
         vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
         output = rng.normal(0, 0.5, (DIMENSIONS, 2))
@@ -93,7 +118,7 @@ class SubwordModel:
         share = np.array([n / sum(b.values()) for b in bags for n in b.values()])
         edges = np.cumsum([0, *map(len, bags)])
         doc = np.repeat(np.arange(len(bags)), np.diff(edges))
-        pieces = [np.array(subwords(w)) for w in numbers]
+        pieces = [*map(pieces_of or _pieces, numbers)]
         holding = np.zeros((2, BUCKETS))
         for i, label in enumerate(target):
             seen = np.zeros(BUCKETS, dtype=bool)
@@ -102,16 +127,18 @@ class SubwordModel:
         rows = np.bincount(target, minlength=2)[:, None]
         overall = holding.sum(axis=0) / rows.sum()
         error = np.sqrt(overall * (1 - overall) * (1 / rows).sum() + 1e-12)
-        used = np.abs(holding[1] / rows[1] - holding[0] / rows[0]) >= SIGNIFICANT * error
+        strength = (np.abs(holding[1] / rows[1] - holding[0] / rows[0]) / (HALF * error)) ** 4
+        shrunk = strength / (strength + 1)
+        used = shrunk >= LEAST
         per_word = 1 / np.array([len(p) for p in pieces])  # the mean is over all subwords
         pieces = [p[used[p]] for p in pieces]
         piece, piece_edges = np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
         word = np.repeat(np.arange(len(pieces)), np.diff(piece_edges))
-        vectors[~used] = 0
+        shrunk = np.where(used, shrunk, 0)[:, None]
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())) / len(target)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, output, bias)]
         for step in range(1, epochs + 1):
-            word_vectors = _sums(vectors[piece], piece_edges) * per_word[:, None]
+            word_vectors = _sums((shrunk * vectors)[piece], piece_edges) * per_word[:, None]
             means = _sums(word_vectors[at] * share[:, None], edges)
             scores = means @ output + bias
             odds = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -120,31 +147,60 @@ class SubwordModel:
             delta *= weight[:, None]
             back = (delta @ output.T)[doc] * share[:, None]
             to_word = np.stack([np.bincount(at, back[:, d], len(pieces)) for d in range(DIMENSIONS)], axis=1) * per_word[:, None]
-            to_vectors = np.stack([np.bincount(piece, to_word[word, d], BUCKETS) for d in range(DIMENSIONS)], axis=1)
+            to_vectors = shrunk * np.stack([np.bincount(piece, to_word[word, d], BUCKETS) for d in range(DIMENSIONS)], axis=1)
             for values, slope, (first, second) in zip((vectors, output, bias), (to_vectors, means.T @ delta, delta.sum(axis=0)), moments, strict=True):
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope * slope - second)
                 values -= 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        return cls((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+        return cls((shrunk * vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+
+    @classmethod
+    def calibrated(cls, sample: list[tuple[str, int]]) -> SubwordModel:
+        """:meth:`train`, with slope and bias fitted on the margins of rows that the model which scores them has not seen.
+
+        The fewer rows, the more a model's margins on its own rows promise more than new texts keep, and a fixed threshold
+        would then let all of them pass.
+        """
+        sample = [(text, label) for text, label in sample if words_of(text)]
+        pieces_of = lru_cache(maxsize=None)(_pieces)  # as many as the sample has words
+        model = cls.train(sample, pieces_of=pieces_of)
+        label = np.array([y for _, y in sample], dtype=np.int64)
+        positives = int(label.sum())
+        folds = min(positives, len(label) - positives, min(8, max(2, FOLD_ROWS // max(1, len(label)))))
+        if folds < 2:
+            return model
+        place = np.where(label == 1, np.cumsum(label), np.cumsum(1 - label)) % folds
+        margin = np.zeros(len(label))
+        for k in range(folds):
+            margin_of = cls.train([sample[i] for i in np.flatnonzero(place != k)], pieces_of=pieces_of).margins(pieces_of)
+            for i in np.flatnonzero(place == k):
+                margin[i] = margin_of(sample[i][0])
+        slope, bias = _logistic(margin, label)
+        return cls((model.weights * slope).astype(np.float32), model.bias * slope + bias)
 
     def word(self, word: str) -> float:
         return float(self.weights[subwords(word)].mean())
 
-    def scorer(self):
-        """A function from a text to its score; it remembers the words it has met."""
+    def margins(self, pieces_of=None):
+        """A function from a text to its log odds; it remembers the words it has met."""
         known: dict[str, float] = {}
 
-        def score(text: str | None) -> float:
+        def margin(text: str | None) -> float:
             words = words_of(text or "")
             if len(known) > REMEMBERED:
                 known.clear()
             for w in set(words):
                 if w not in known:
-                    known[w] = self.word(w)
-            mean = sum(map(known.__getitem__, words)) / len(words) if words else 0.0
-            return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
+                    known[w] = self.word(w) if pieces_of is None else float(self.weights[pieces_of(w)].mean())
+            return (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) + self.bias
+
+        return margin
+
+    def scorer(self):
+        """A function from a text to its score."""
+        margin = self.margins()
 
-        return score
+        return lambda text: 1 / (1 + np.exp(-np.clip(margin(text), -500, 500)))
 
 
 def scored(documents: DataFrame, model, threshold: float) -> DataFrame:
@@ -164,7 +220,7 @@ def scored(documents: DataFrame, model, threshold: float) -> DataFrame:
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame) -> SubwordModel:
-    return SubwordModel.train(labelled_sample(documents, labels, "toxic", SAMPLE_ROWS, SAMPLE_TEXT_BYTES))
+    return SubwordModel.calibrated(labelled_sample(documents, labels, "toxic", SAMPLE_ROWS, SAMPLE_TEXT_BYTES))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
