@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trawlwork.llm import oracles
 from trawlwork.llm.common import read_table
+from trawlwork.llm.conversations import damaged, repair_conversations
 from trawlwork.llm.decontamination import contaminated_pairs
 from trawlwork.llm.lm_scoring import score_against_labels
 from trawlwork.llm.minhash import near_duplicates
@@ -68,6 +69,10 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
