@@ -20,6 +20,7 @@ from trawlwork.llm.sharding import shard_manifest
 from trawlwork.llm.token_counts import token_counts
 from trawlwork.llm.toxicity import toxicity_scores
 from trawlwork.llm.vector_dedup import near_duplicate_vectors
+from trawlwork.llm.whitening import whiten
 
 #: Bounds of the registered queries that are not defaults of their operators.
 SHARDS = 16
@@ -69,6 +70,10 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
 
