@@ -140,5 +140,17 @@ repaired AS (
 SELECT n.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated,
        coalesce(s.illegal, 0)::BIGINT AS illegal, b.b.c::BIGINT AS cost, b.b.a AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, k FROM named) n JOIN best b ON b.k = n.k LEFT JOIN summary s ON s.k = n.k LEFT JOIN repaired r ON r.k = n.k
+""",
+    # The given pages mark their articles; the model, which knows of no mark, has to find the same text.
+    "op13_html_main_text": r"""
+WITH marked AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|\z)', 1, 's') AS body FROM pages),
+pieces AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(body, '<[^>]*\z', ''), '</?(?:p|div|h[1-6]|ul|ol|li)(?:\s[^>]*)?>') AS p FROM marked),
+blocks AS (
+  SELECT page_id, url, list_filter([trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+           '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '\s+', ' ', 'g')) FOR x IN p], lambda b: b <> '') AS b
+  FROM pieces
+),
+texts AS (SELECT page_id, url, regexp_replace(array_to_string(b, chr(10) || chr(10)), '&amp;?', '&', 'g') AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
 """,
 }

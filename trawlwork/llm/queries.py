@@ -12,6 +12,7 @@ from trawlwork.llm.common import read_table
 from trawlwork.llm.conversations import damaged, repair_conversations
 from trawlwork.llm.decontamination import contaminated_pairs
 from trawlwork.llm.lm_scoring import score_against_labels
+from trawlwork.llm.main_text import main_texts
 from trawlwork.llm.minhash import near_duplicates
 from trawlwork.llm.mixing import mix_documents
 from trawlwork.llm.quality import quality_scores
@@ -78,6 +79,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
