@@ -114,6 +114,101 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), 2).collect()} == label
 
 
+def test_near_duplicates_in_blocks_of_few_shingles(spark, monkeypatch):
+    """A family of long documents is cut by what they hold, not by their number."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 3000)
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(1000)]
+    rows = []
+    for d in range(30):
+        w = list(base)
+        for i in rng.choice(1000, int(rng.integers(0, 80)), replace=False):
+            w[i] = f"n{d}-{i}"
+        rows.append((d, " ".join(w)))
+    sets = [(d, shingle_set(t, 2)) for d, t in rows]
+    label = roots(range(30), [(a, b) for a, s in sets for b, t in sets if a < b and 100 * len(s & t) >= 80 * len(s | t)])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), 2).collect()} == label
+
+
+def test_short_items_in_long_documents(spark):
+    items = [(1, "secret short item"), (2, "One"), (3, "a b c d e f g"), (4, "two words")]
+    rows = [(1, "x " * 50 + "Secret  short ITEM" + " y" * 50), (2, "secret short"), (3, "one"), (4, "z one z"), (5, "secret short item"), (6, "a b c d e f g two  words"), (7, "short item secret"), (8, None)]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated_pairs(documents(spark, rows), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (5, 1), (3, 2), (4, 2), (6, 3), (6, 4)}
+    assert [r.doc_id for r in decontamination.clean_documents(documents(spark, rows), items).collect()] == [2, 7, 8]
+
+
+def test_clashing_names(spark):
+    rows = some_rows(7, 30)
+    clashing = documents(spark, rows).selectExpr("*", "77 AS _n", "78 AS _again", "79 AS _text_mark", "80 AS _id", "81 AS _mark", "82 AS _times", "83 AS row", "84 AS id", "85 AS times", "86 AS _good")
+    plain = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(documents(spark, rows)).collect())
+    out = mixing.mixed_documents(clashing).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == plain
+    assert {tuple(r)[8:] for r in out} == {(77, 78, 79, 80, 81, 82, 83, 84, 85, 86)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert lm_scoring.score_against_labels(clashing, labels).count() == len(rows)
+
+
+def plain_subword_model(rows, epochs):
+    """The same model, one text and one word at a time."""
+    bags = [(toxicity.words_of(t), y) for t, y in rows if toxicity.words_of(t)]
+    rng = np.random.default_rng(20260102)
+    vectors, output, bias = rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIMENSIONS)), rng.normal(0, 0.5, (toxicity.DIMENSIONS, 2)), np.zeros(2)
+    n = [sum(y == k for _, y in bags) for k in (0, 1)]
+    holding = np.zeros((2, toxicity.BUCKETS))
+    for words, y in bags:
+        holding[y, sorted({p for w in words for p in toxicity.subwords(w)})] += 1
+    share = holding.sum(axis=0) / sum(n)
+    error = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    strength = (np.abs(holding[1] / n[1] - holding[0] / n[0]) / (toxicity.HALF * error)) ** 4
+    shrunk = strength / (strength + 1)
+    shrunk[shrunk < toxicity.LEAST] = 0
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, output, bias)]
+    for step in range(1, epochs + 1):
+        slopes = [np.zeros_like(p) for p in (vectors, output, bias)]
+        for words, y in bags:
+            mean = np.mean([np.mean([shrunk[p] * vectors[p] for p in toxicity.subwords(w)], axis=0) for w in words], axis=0)
+            scores = mean @ output + bias
+            delta = np.exp(scores) / np.exp(scores).sum() - np.eye(2)[y]
+            delta *= 0.5 / n[y]
+            slopes[1] += np.outer(mean, delta)
+            slopes[2] += delta
+            for w in words:
+                pieces = toxicity.subwords(w)
+                for p in pieces:
+                    slopes[0][p] += shrunk[p] * (output @ delta) / len(words) / len(pieces)
+        for values, slope, (first, second) in zip((vectors, output, bias), slopes, state, strict=True):
+            first += 0.1 * (slope - first)
+            second += 0.01 * (slope * slope - second)
+            values -= 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+
+    def margin(text):
+        words = toxicity.words_of(text)
+        return bias[1] - bias[0] + (np.mean([np.mean([shrunk[p] * vectors[p] @ (output[:, 1] - output[:, 0]) for p in toxicity.subwords(w)]) for w in words]) if words else 0)
+
+    return margin
+
+
+def test_toxicity_training_equals_plain_loops(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(rng.choice(WORDS, int(rng.integers(3, 15)))) + (" vile rotten filth" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(40)] + [("", 1), (" ,", 0)]
+    want = plain_subword_model(rows, 6)
+    texts = ["vile words", "w1 w2", "", "filthy rotting w3"]
+    for at_once in (1 << 19, 7):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        margin = toxicity.SubwordModel.train(rows, epochs=6).margins()
+        assert [margin(t) for t in texts] == pytest.approx([want(t) for t in texts], abs=1e-5)
+
+
+def test_labelled_sample_is_the_same_again(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(5, "another"), (5, "text 5"), (7, None), (8, "x" * 999)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, 1), (None, 1)], "doc_id long, toxic int")
+    one = toxicity.labelled_sample(documents(spark, rows), labels, "toxic", 40, 100)
+    two = toxicity.labelled_sample(documents(spark, rows[::-1]).repartition(7), labels, "toxic", 40, 100)
+    assert one == two and Counter(y for _, y in one) == {0: 40, 1: 40}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
@@ -241,8 +336,9 @@ def test_decontamination(spark):
         words[-1] = "other"
         rows.append((500 + d, " ".join([*rng.choice(WORDS, 300), *words, "tail"])))
         rows.append((600 + d, text))
-    sets = {i: shingle_set(t, 5) for i, t in items if i is not None}
-    want = {(d, i, len(s), len(s & (t := shingle_set(text, 5)))) for d, text in rows if d is not None for i, s in sets.items() if s and len(s & shingle_set(text, 5)) * 100 >= 80 * len(s)}
+    sets = {i: (shingle_set(t, 5), max(1, min(5, len(split_words(t))))) for i, t in items if i is not None}  # short items by shingles of their own length
+    held = ((d, i, s, s & shingle_set(text, n)) for d, text in rows if d is not None for i, (s, n) in sets.items())
+    want = {(d, i, len(s), len(both)) for d, i, s, both in held if s and len(both) * 100 >= 80 * len(s)}
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = decontamination.contaminated_pairs(documents(spark, rows), benchmark).collect()
     assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)

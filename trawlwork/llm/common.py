@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: The bytes that separate words, and the bytes A-Z lower-cased.
@@ -20,6 +21,8 @@ LOWER[0x41:0x5B] += 0x20
 CHUNK_BYTES = 1 << 20
 #: Rows of a narrow table that may travel to every task: about 16 MB.
 BROADCAST_ROWS = 500_000
+#: Bytes of its texts at most.
+BROADCAST_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +60,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if its counted rows (of a few numbers each) are within the bound; else joined by a shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its counted rows, and the bytes of its texts, are within the bounds; else joined by a shuffle."""
+    wide = [F.octet_length(f"`{f.name}`") for f in table.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    held = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("long")
+    n, size = table.select(held.alias("held")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and size <= text_bytes else table
 
 
 def grouped_tables(batches, keys: list[str]):

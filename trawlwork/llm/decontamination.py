@@ -6,6 +6,8 @@ nothing; what counts is the share of an item's shingles that a document holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def _windows(listed: Column, size: int, value, short: Column) -> Column:
 
 
 def _sized(items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``(item_id, shingles, n_shingles, need)``: distinct shingles, and how many of them make a hit."""
+    """``(item_id, shingles, n_shingles, need)``: distinct shingles, and how many of them make a hit. Of an item of fewer than
+    ``size`` words all words are one shingle."""
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array_distinct(shingles(F.col("text"), size))).alias("s"))
     return (
         listed.groupBy("item_id")
@@ -70,20 +73,28 @@ def contaminated_pairs(documents: DataFrame, items: DataFrame, size: int = 5, th
     distinct word shingles of an item.
 
     ``documents(doc_id, text)``, ``items(item_id, text)``; other columns are ignored. Texts that are null or hold no
-    word, and rows without an id, hit nothing. An item of fewer than ``size`` words is one shingle and is found only in
-    a document that consists of those words. Rows that share an id count as one document (or item). No rows on either
-    side give no rows.
+    word, and rows without an id, hit nothing. An item of fewer than ``size`` words is one shingle of as many words and is
+    found wherever these words follow each other. Texts of any length are searched whole. Rows that share an id count as one
+    document (or item). No rows on either side give no rows.
     """
     found = _sized(items.filter(F.col("item_id").isNotNull()), size, threshold)
     known = cut(found, "items")
     full = known.select("item_id", "n_shingles", "need", F.explode("shingles").alias("s"))
     rows = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = rows.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("h"))
-    posted = sketches(known, threshold).withColumn("h", F.explode(shingle_hashes(F.col("s"), size))).select("h", "item_id").distinct()
+    # Documents are cut into shingles of the asked size, and of the lengths of shorter items where there are any.
+    lengths = [size, *sorted(r["n"] for r in full.select(F.size(F.split("s", " ")).alias("n")).filter(F.col("n") < size).distinct().collect())]
+
+    def cut_up(one: Callable[[Column, int], Column], text: Column) -> Column:
+        return one(text, size) if len(lengths) == 1 else F.flatten(F.array(*[F.coalesce(one(text, n), F.array().cast(f"array<{'long' if one is shingle_hashes else 'string'}>")) for n in lengths]))
+
+    hashed = rows.select("doc_id", F.explode(cut_up(shingle_hashes, F.col("text"))).alias("h"))
+    # A sketch's shingle is hashed as the documents' shingles of its own length are.
+    own = F.coalesce(*[F.when(F.size(F.split("s", " ")) == n, shingle_hashes(F.col("s"), n)) for n in lengths])
+    posted = sketches(known, threshold).withColumn("h", F.explode(own)).select("h", "item_id").distinct()
     candidates = cut(hashed.join(broadcast_if_small(posted), "h").select("doc_id", "item_id").distinct(), "candidates")
     # The exact check reads the candidates' texts again; only their shingles that some item has go on.
     suspects = candidates.select("doc_id").distinct()
-    exact = rows.join(broadcast_if_small(suspects), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), size))).alias("s"))
+    exact = rows.join(broadcast_if_small(suspects), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(cut_up(shingles, F.col("text")))).alias("s"))
     counted = (
         exact.join(broadcast_if_small(full), "s")
         .groupBy("doc_id", "item_id", "n_shingles", "need")

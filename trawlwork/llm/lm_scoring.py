@@ -259,5 +259,6 @@ def score_against_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """:func:`cross_entropy_difference` with the good labelled documents (quality 1, not toxic, training fold) as target."""
     good = labels.filter(training_fold(F.col("doc_id")) & (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
     good = cut(good.select(F.col("doc_id").cast("long").alias("_good")).distinct(), "target-ids")
-    marked = documents.join(broadcast_if_small(good), documents["doc_id"].cast("long") == good["_good"], "left")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = own.join(broadcast_if_small(good), own["doc_id"] == good["_good"], "left")
     return cross_entropy_difference(documents, train_models(marked, F.col("_good").isNotNull()))

@@ -249,8 +249,11 @@ class MainTextModel:
 
 def train_main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, layouts: int = LAYOUTS) -> MainTextModel:
     """From ``sample_pages`` of ``pages(html)`` at most, of at most ``sample_bytes`` each, the first by a hash: what the driver holds."""
-    rows = pages.select("html").filter(F.octet_length("html") <= sample_bytes).orderBy(F.xxhash64("html"), "html").limit(sample_pages)
-    return MainTextModel.trained([r["html"] for r in rows.collect()], layouts)
+    rows = pages.select("html", F.xxhash64("html").alias("mark")).filter(F.octet_length("html") <= sample_bytes)
+    # Only hashes are sorted; the chosen pages, one for each hash, are read after that.
+    chosen = [r["mark"] for r in rows.select("mark").distinct().orderBy("mark").limit(sample_pages).collect()]
+    found = rows.filter(F.col("mark").isin(chosen)).groupBy("mark").agg(F.min("html").alias("html")).collect() if chosen else []
+    return MainTextModel.trained([r["html"] for r in sorted(found, key=lambda r: r["mark"])], layouts)
 
 
 def main_texts(pages: DataFrame, model: MainTextModel | None = None) -> DataFrame:

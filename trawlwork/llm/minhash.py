@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.llm.common import IS_SPACE, LOWER, broadcast_if_small, grouped_tables, release, text_chunks
@@ -26,8 +26,9 @@ from trawlwork.plans.lineage import cut
 #: Documents whose similarity is 0.8 agree in 51.2 of 64 coordinates on average; below 36 with a chance of 3 in a million.
 COORDINATES = 64
 MATCHES = 36
-#: Members of a block: two blocks meet in one task.
+#: Members of a block, and shingles of all its members together, about: two blocks meet in one task.
 BLOCK = 256
+BLOCK_SHINGLES = 400_000
 _SEEDS = np.random.default_rng(20260104)
 _FACTORS = _SEEDS.integers(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _SEEDS.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -68,29 +69,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
-def _set_key(shingles: np.ndarray) -> int:
-    """64 bits that stand for a whole set."""
+def _set_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two keys of 64 bits each, made independently, that together stand for a whole set."""
     place = np.arange(1, len(shingles) + 1, dtype=np.uint64)
-    return int(np.bitwise_xor.reduce(mix(shingles ^ mix(place))).view(np.int64))
+    first = np.bitwise_xor.reduce(mix(shingles ^ mix(place)))
+    second = np.add.reduce(mix(mix(shingles + np.uint64(0x9E3779B97F4A7C15)) * (place * np.uint64(2) + np.uint64(1))))
+    return int(first.view(np.int64)), int(second.view(np.int64))
 
 
 def _signed(documents: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n_shingles, class_key, sig)`` per row; equal sets have equal class keys, empty sets none."""
+    """``(doc_id, n_shingles, class_key, class_mark, sig)`` per row; equal sets have equal keys and marks, empty sets none."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, keys, sigs = [], [], []
+            counts, keys, marks, sigs = [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 counts.append(len(s))
-                keys.append(_set_key(s) if len(s) else None)
+                key, mark = _set_keys(s) if len(s) else (None, None)
+                keys.append(key)
+                marks.append(mark)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "class_key", "sig"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (counts, keys, marks)), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "class_key", "class_mark", "sig"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, class_key long, sig binary")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, class_key long, class_mark long, sig binary")
 
 
 def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -133,28 +138,35 @@ def _alike(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
 def _block_pairs(members: DataFrame, group: str) -> DataFrame:
     """``(group, x, y, id, label)``: the members of every group that has several labels, in tasks of two blocks at most.
 
-    ``members(group, id, label)``. The rows of a group's largest label need not meet each other, only all the others.
+    ``members(group, id, label, weight)``, where ``weight`` is what a member holds: blocks are bounded in both. The rows of a group's largest label need not meet each other, only all the others.
     Rows find their block by a hash of the id, so that no group is ever gathered to number it.
     """
-    counted = members.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = counted.groupBy(group).agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    groups = groups.filter("labels > 1").select(group, "all", F.col("major.label").alias("major"), F.col("major.n").alias("n"))
+    counted = members.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    groups = counted.groupBy(group).agg(
+        F.sum("n").alias("all"), F.sum("w").alias("weights"), F.max(F.struct("n", "label", "w")).alias("major"), F.count(F.lit(1)).alias("labels")
+    )
+    groups = groups.filter("labels > 1").select(group, "all", "weights", F.col("major.label").alias("major"), F.col("major.n").alias("n"), F.col("major.w").alias("w"))
     rows = members.join(groups, group)
-    others = F.ceil((F.col("all") - F.col("n")) / BLOCK)
-    majors = F.ceil(F.col("n") / BLOCK)
+    others = _blocks(F.col("all") - F.col("n"), F.col("weights") - F.col("w"))
+    majors = _blocks(F.col("n"), F.col("w"))
+    single = _blocks(F.col("all"), F.col("weights")) == 1
     mark = F.xxhash64("id")
-    block = F.when(F.col("all") <= BLOCK, 0).when(F.col("label") == F.col("major"), others + F.pmod(mark, majors)).otherwise(F.pmod(mark, others))
-    last = F.when(F.col("all") <= BLOCK, 0).when(F.col("label") == F.col("major"), others - 1).otherwise(others + majors - 1)
+    block = F.when(single, 0).when(F.col("label") == F.col("major"), others + F.pmod(mark, majors)).otherwise(F.pmod(mark, others))
+    last = F.when(single, 0).when(F.col("label") == F.col("major"), others - 1).otherwise(others + majors - 1)
     met = rows.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     return met.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "label")
 
 
+def _blocks(members: Column, weight: Column) -> Column:
+    """Blocks that so many members with so many shingles make."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1))
+
+
 def _first_blocks(members: DataFrame, group: str) -> DataFrame:
     """As :func:`_block_pairs`, but every block meets itself and the first block only."""
-    groups = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(groups, group).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    own = F.when(F.col("block") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    groups = members.groupBy(group).agg(_blocks(F.count(F.lit(1)), F.sum("weight")).cast("int").alias("blocks"))
+    rows = members.join(groups, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    own = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     met = rows.withColumn("y", F.explode(own))
     return met.select(group, F.when(F.col("y") == F.col("block"), F.col("y")).otherwise(F.lit(0)).alias("x"), F.greatest("y", "block").alias("y"), "id", "label")
 
@@ -259,15 +271,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     ``component_id`` is the smallest id that links lead to, itself included, and ``kept`` marks that document. Every link
     is confirmed on the full sets. Null and empty texts, and texts without words, have no shingles and no links. Rows
     that share an id are one document with several texts. A null id is a row without links: its component is null and
-    it is kept. Equal sets are one class from the start, however many documents have them. Other columns are ignored.
+    it is kept. Equal sets are one class from the start, however many documents have them. Texts of any length are taken
+    whole; blocks are bounded by the shingles they hold. Other columns are ignored.
     """
     spark = documents.sparkSession
     signed = cut(_signed(documents, size), "signed")
     with_id = signed.filter("doc_id is not null and class_key is not null")
     classes = cut(
-        with_id.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes"
+        with_id.groupBy("class_key", "class_mark").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes"
     )
-    same = with_id.join(classes.select("class_key", "id"), "class_key").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    same = with_id.join(classes.select("class_key", "class_mark", "id"), ["class_key", "class_mark"]).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     # Two different sets of which one has fewer than 4 elements can't be 80% alike; more generally:
     least = max(1, percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
     searched = classes.filter(F.col("n") >= least).select("id", "sig")
@@ -279,7 +292,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     coarse = cut(_alike(pairs, searched, matches), "alike")
     labels = cut(connected_components(coarse), "coarse")
     # Members of one list that are still apart meet in blocks.
-    labelled = lists.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    labelled = lists.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"), F.lit(0).alias("weight"))
     more = cut(_coarse_edges(labelled, searched, matches), "more-alike")
     families = cut(connected_components(coarse.unionByName(more)), "families")
     release(spark)
@@ -287,12 +300,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     heads_too = families.select("id").unionByName(families.select(F.col("component").alias("id"))).distinct()
     sets = cut(_family_sets(documents, heads_too, size), "family-sets")
     release(spark)
-    members = heads_too.join(families, "id", "left").select("id", F.coalesce("component", "id").alias("family"))
+    members = heads_too.join(families, "id", "left").join(classes.select("id", F.col("n").alias("weight")), "id")
+    members = members.select("id", F.coalesce("component", "id").alias("family"), "weight")
     links = cut(_exact_edges(_first_blocks(members.withColumn("label", F.col("id")), "family"), sets, percent), "links")
     now = cut(connected_components(links), "labels")
-    rest = members.join(now, "id", "left").select("id", "family", F.coalesce("component", "id").alias("label"))
+    rest = members.join(now, "id", "left").select("id", "family", F.coalesce("component", "id").alias("label"), "weight")
     # A family that fitted into one block is settled.
-    large = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("family")
+    large = members.groupBy("family").agg(_blocks(F.count(F.lit(1)), F.sum("weight")).alias("blocks")).filter("blocks > 1").select("family")
     met = _block_pairs(rest.join(large, "family", "left_semi"), "family")
     links = links.unionByName(cut(_exact_edges(met, sets, percent), "more-links"))
     found = connected_components(links.unionByName(same))

@@ -186,14 +186,17 @@ def mixed_documents(documents: DataFrame, seed: int = SEED, **parameters) -> Dat
     """The mix as whole documents, with the columns of ``documents``: each row as often as the mix takes its words.
 
     A row comes ``taken / size`` times; the fraction is settled by a hash of id and text, so that reruns agree and a
-    source's words still come near its target. Rows without words have no share in the mix and stay as they are.
+    source's words still come near its target. Rows without words (null, empty and blank texts) have no share in the mix and
+    stay as they are, null ids and sources count like all others, repeated rows come as often each, texts of any length stay
+    whole, and an empty table gives an empty one.
     """
     counts = mix_documents(documents, seed=seed, **parameters).filter("size > 0")
     # Equal rows share one total.
     totals = counts.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg((F.sum("taken") / F.sum("size")).alias("_times"))
-    marked = documents.withColumn("_text_mark", F.xxhash64("text"))
-    joined = marked.join(totals, marked["doc_id"].cast("long").eqNullSafe(totals["_id"]) & (marked["_text_mark"] == totals["_mark"]), "left")
+    # The input's own columns travel as one, whatever their names are.
+    packed = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    joined = packed.join(totals, packed["id"].eqNullSafe(totals["_id"]) & (packed["mark"] == totals["_mark"]), "left")
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("_id"), F.col("_mark")), F.lit(1 << 30)) / float(1 << 30)
     times = F.coalesce(F.floor(F.col("_times") + chance).cast("int"), F.lit(1))
-    repeated = joined.withColumn("_n", times).filter("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in documents.columns])
+    repeated = joined.withColumn("times", times).filter("times > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

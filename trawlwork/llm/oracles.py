@@ -80,14 +80,14 @@ WITH w AS (
   UNION ALL
   SELECT 'b', item_id, {_WORDS.format(_LOWER.format("text"))} FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ),
+lengths AS (SELECT 5 AS n UNION SELECT len(w) FROM w WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4),
 s AS (
-  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
-                                        ELSE [array_to_string(w, ' ')] END) AS s
-  FROM w WHERE len(w) > 0
+  SELECT DISTINCT kind, id, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS s
+  FROM w, lengths WHERE kind = 'd' OR n = least(len(w), 5)
 ),
 n AS (SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE kind = 'b' GROUP BY 1)
 SELECT d.id AS doc_id, n.item_id, n.n_shingles, count(*) AS n_found, count(*) / n.n_shingles AS containment
-FROM s d JOIN s b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' JOIN n ON n.item_id = b.id
+FROM s d JOIN s b ON d.s = b.s AND d.n = b.n AND d.kind = 'd' AND b.kind = 'b' JOIN n ON n.item_id = b.id
 GROUP BY 1, 2, 3 HAVING count(*) * 100 >= 80 * n.n_shingles
 """,
     "op12_conversation_repair": f"""

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.llm.common import training_fold
+from trawlwork.plans.lineage import cut
 
 BUCKETS = 1 << 17
 DIMENSIONS = 4
@@ -33,8 +34,10 @@ THRESHOLD = 0.7
 HALF, LEAST = 4.0, 0.05
 #: Rows that the folds of the calibration train on in all, about: 2 folds at least, 8 at most.
 FOLD_ROWS = 2000
-#: Words whose values a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose values a Python worker remembers; longer ones are worked out each time, so that this bounds bytes too.
+REMEMBERED, LONG_WORD = 200_000, 64
+#: Entries of the sample's tables that training works on at a time.
+AT_ONCE = 1 << 19
 
 _WORD = re.compile(r"\w+")
 
@@ -46,35 +49,105 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
-def _pieces(word: str) -> np.ndarray:
-    return np.array(subwords(word))
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int) -> list[tuple[str, int]]:
-    """``(text, label)`` of at most ``rows`` rows of each class, from the training fold only, for the driver.
+    """``(text, label)`` of the first ``rows`` rows of each class, from the training fold only, for the driver.
 
-    Chosen by a hash of the id; labels that are null or neither 0 nor 1 teach nothing. An id that is labelled more than once
-    counts with its highest label.
+    Taken in the order of a hash of the id and one of the text, among the labelled documents of at most ``text_bytes`` bytes: reruns
+    learn from the same rows. Labels that are null or neither 0 nor 1 teach nothing. An id that is labelled more than once counts
+    with its highest label. Only ids and hashes are joined and sorted; the chosen rows' texts are read after that.
     """
     known = labels.filter(training_fold(F.col("doc_id")) & F.col(label).isin(0, 1))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # Texts beyond the bound are left out of learning only, so a few more ids than needed are tried.
-    chosen = known.filter("label = 1").orderBy(*order).limit(rows).unionByName(known.filter("label = 0").orderBy(*order).limit(rows))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= text_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(4 * rows).collect()
+    short = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.octet_length("text") <= text_bytes)
+    there = short.select("doc_id", "mark").join(known, "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
+    chosen = cut(reduce(DataFrame.unionByName, (there.filter(F.col("label") == k).orderBy(*order).limit(rows) for k in (0, 1))), "labelled-sample")
+    found = short.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of consecutive slices of rows; empty slices are zero."""
-    running = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=running[1:])
-    return running[edges[1:]] - running[edges[:-1]]
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + count - 1`` of every pair, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _slices(edges: np.ndarray) -> list[tuple[int, int, slice]]:
+    """Runs of consecutive groups that hold at most ``AT_ONCE`` entries together, or one group, and where their entries are."""
+    first, found = 0, []
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + AT_ONCE, side="right")) - 1)
+        found.append((first, last, slice(int(edges[first]), int(edges[last]))))
+        first = last
+    return found
+
+
+def _sums(values: np.ndarray, source: np.ndarray, edges: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``values[:, source]`` over consecutive groups of entries, none empty; a bounded number of entries at a time."""
+    out = np.zeros((len(values), len(edges) - 1))
+    for first, last, at in _slices(edges):
+        own, starts, factor = source[at], edges[first:last] - at.start, 1 if scale is None else scale[at]
+        for d, row in enumerate(values):
+            out[d, first:last] = np.add.reduceat(row[own] * factor, starts)
+    return out
+
+
+def _spread(values: np.ndarray, source: np.ndarray, index: np.ndarray, width: int, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``values[:, source]`` by ``index``."""
+    out = np.zeros((len(values), width))
+    for first in range(0, len(index), AT_ONCE):
+        own, to = source[first : first + AT_ONCE], index[first : first + AT_ONCE]
+        factor = 1 if scale is None else scale[first : first + AT_ONCE]
+        for d, row in enumerate(values):
+            out[d] += np.bincount(to, row[own] * factor, width)
+    return out
+
+
+class Sample:
+    """Labelled texts as numbers: their words with shares, and the words' subwords, told once for all models trained on them."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        numbers: dict[str, int] = {}
+        words, shares, labels = [], [], []
+        for text, label in rows:
+            found = words_of(text)
+            if found:
+                own, n = np.unique(np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int32), return_counts=True)
+                words.append(own)
+                shares.append((n / len(found)).astype(np.float32))
+                labels.append(label)
+        self.label = np.array(labels, dtype=np.int64)
+        self.edges = np.cumsum([0, *map(len, words)])
+        self.word = np.concatenate([np.zeros(0, dtype=np.int32), *words])
+        self.share = np.concatenate([np.zeros(0, dtype=np.float32), *shares])
+        pieces = array("i")
+        counts = []
+        for w in numbers:
+            own = subwords(w)
+            pieces.extend(own)
+            counts.append(len(own))
+        self.piece = np.frombuffer(pieces, dtype=np.int32) if len(pieces) else np.zeros(0, dtype=np.int32)
+        self.piece_count = np.array(counts, dtype=np.int64)
+        self.piece_start = np.cumsum(self.piece_count) - self.piece_count
+
+    def holding(self, docs: np.ndarray) -> np.ndarray:
+        """How many of these texts hold each subword."""
+        count = np.zeros(BUCKETS, dtype=np.int64)
+        for i in docs:
+            own = self.word[self.edges[i] : self.edges[i + 1]]
+            seen = np.zeros(BUCKETS, dtype=bool)
+            seen[self.piece[_ranges(self.piece_start[own], self.piece_count[own])]] = True
+            count += seen
+        return count
+
+    def margins(self, model: SubwordModel, docs: np.ndarray) -> np.ndarray:
+        """Log odds of these texts, as :meth:`SubwordModel.margins` finds them."""
+        value = _sums(model.weights[None, :], self.piece, np.r_[self.piece_start, len(self.piece)])[0] / np.maximum(self.piece_count, 1)
+        return np.array([self.share[self.edges[i] : self.edges[i + 1]] @ value[self.word[self.edges[i] : self.edges[i + 1]]] for i in docs]) + model.bias
 
 
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -100,71 +173,70 @@ class SubwordModel:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def train(cls, sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 20260102, pieces_of=None) -> SubwordModel:
-        """``pieces_of``: :func:`subwords` as an array, if its results are remembered for several models."""
+    def train(cls, sample: Sample | list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 20260102, docs: np.ndarray | None = None) -> SubwordModel:
+        """``docs``: the texts of the sample that are learned from, all without it. The gradient is that of all of them; what is
+        held of words and texts at a time is bounded."""
+        sample = sample if isinstance(sample, Sample) else Sample(sample)
+        docs = np.arange(len(sample.label)) if docs is None else docs
         rng = np.random.default_rng(seed)
         vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
         output = rng.normal(0, 0.5, (DIMENSIONS, 2))
         bias = np.zeros(2)
-        bags = [Counter(words_of(text)) for text, _ in sample]
-        target = np.array([label for _, label in sample])
-        full = np.array([bool(b) for b in bags], dtype=bool)
-        bags, target = [b for b in bags if b], target[full]
-        if not len(bags) or target.min() == target.max():  # nothing to tell apart
+        target = sample.label[docs]
+        if not len(target) or target.min() == target.max():  # nothing to tell apart
             share = (target.sum() + 0.5) / (len(target) + 1) if len(target) else 0.0
             return cls(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))) if share else -20.0)
-        numbers: dict[str, int] = {}
-        at = np.array([numbers.setdefault(w, len(numbers)) for b in bags for w in b])
-        share = np.array([n / sum(b.values()) for b in bags for n in b.values()])
-        edges = np.cumsum([0, *map(len, bags)])
-        doc = np.repeat(np.arange(len(bags)), np.diff(edges))
-        pieces = [*map(pieces_of or _pieces, numbers)]
-        holding = np.zeros((2, BUCKETS))
-        for i, label in enumerate(target):
-            seen = np.zeros(BUCKETS, dtype=bool)
-            seen[np.concatenate([pieces[k] for k in at[edges[i] : edges[i + 1]]])] = True
-            holding[label] += seen
         rows = np.bincount(target, minlength=2)[:, None]
+        holding = np.stack([sample.holding(docs[target == k]) for k in (0, 1)])
         overall = holding.sum(axis=0) / rows.sum()
         error = np.sqrt(overall * (1 - overall) * (1 / rows).sum() + 1e-12)
         strength = (np.abs(holding[1] / rows[1] - holding[0] / rows[0]) / (HALF * error)) ** 4
         shrunk = strength / (strength + 1)
         used = shrunk >= LEAST
-        per_word = 1 / np.array([len(p) for p in pieces])  # the mean is over all subwords
-        pieces = [p[used[p]] for p in pieces]
-        piece, piece_edges = np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
-        word = np.repeat(np.arange(len(pieces)), np.diff(piece_edges))
         shrunk = np.where(used, shrunk, 0)[:, None]
+        # Words of these texts with a subword that counts, numbered anew; the mean is over all subwords of a word.
+        counts = np.diff(sample.edges)[docs]
+        word, share = (x[_ranges(sample.edges[docs], counts)] for x in (sample.word, sample.share))
+        kept = _sums(used[None, :], sample.piece, np.r_[sample.piece_start, len(sample.piece)])[0] > 0
+        here = np.unique(word[kept[word]])
+        piece = sample.piece[_ranges(sample.piece_start[here], sample.piece_count[here])]
+        of_piece = np.repeat(np.arange(len(here)), sample.piece_count[here])
+        per_word = 1 / sample.piece_count[here]
+        piece, of_piece = piece[used[piece]], of_piece[used[piece]]
+        piece_edges = np.searchsorted(of_piece, np.arange(len(here) + 1))
+        doc = np.repeat(np.arange(len(docs)), counts)[kept[word]]
+        word, share = np.searchsorted(here, word[kept[word]]), share[kept[word]]
+        filled, doc = np.unique(doc, return_inverse=True)  # the other texts have no such word: their mean is zero
+        edges = np.searchsorted(doc, np.arange(len(filled) + 1))
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())) / len(target)
+        vectors, shrunk = vectors.T.copy(), shrunk.T
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, output, bias)]
+        means = np.zeros((DIMENSIONS, len(docs)))
         for step in range(1, epochs + 1):
-            word_vectors = _sums((shrunk * vectors)[piece], piece_edges) * per_word[:, None]
-            means = _sums(word_vectors[at] * share[:, None], edges)
-            scores = means @ output + bias
+            word_vectors = _sums(shrunk * vectors, piece, piece_edges) * per_word
+            means[:, filled] = _sums(word_vectors, word, edges, share)
+            scores = means.T @ output + bias
             odds = np.exp(scores - scores.max(axis=1, keepdims=True))
             delta = odds / odds.sum(axis=1, keepdims=True)
             delta[np.arange(len(target)), target] -= 1
             delta *= weight[:, None]
-            back = (delta @ output.T)[doc] * share[:, None]
-            to_word = np.stack([np.bincount(at, back[:, d], len(pieces)) for d in range(DIMENSIONS)], axis=1) * per_word[:, None]
-            to_vectors = shrunk * np.stack([np.bincount(piece, to_word[word, d], BUCKETS) for d in range(DIMENSIONS)], axis=1)
-            for values, slope, (first, second) in zip((vectors, output, bias), (to_vectors, means.T @ delta, delta.sum(axis=0)), moments, strict=True):
+            to_word = _spread((output @ delta.T)[:, filled], doc, word, len(here), share) * per_word
+            to_vectors = shrunk * _spread(to_word, of_piece, piece, BUCKETS)
+            for values, slope, (first, second) in zip((vectors, output, bias), (to_vectors, means @ delta, delta.sum(axis=0)), moments, strict=True):
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope * slope - second)
                 values -= 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        return cls((shrunk * vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+        return cls(((shrunk * vectors).T @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
     @classmethod
-    def calibrated(cls, sample: list[tuple[str, int]]) -> SubwordModel:
+    def calibrated(cls, rows: list[tuple[str, int]]) -> SubwordModel:
         """:meth:`train`, with slope and bias fitted on the margins of rows that the model which scores them has not seen.
 
         The fewer rows, the more a model's margins on its own rows promise more than new texts keep, and a fixed threshold
         would then let all of them pass.
         """
-        sample = [(text, label) for text, label in sample if words_of(text)]
-        pieces_of = lru_cache(maxsize=None)(_pieces)  # as many as the sample has words
-        model = cls.train(sample, pieces_of=pieces_of)
-        label = np.array([y for _, y in sample], dtype=np.int64)
+        sample = Sample(rows)
+        model, label = cls.train(sample), sample.label
         positives = int(label.sum())
         folds = min(positives, len(label) - positives, min(8, max(2, FOLD_ROWS // max(1, len(label)))))
         if folds < 2:
@@ -172,16 +244,15 @@ class SubwordModel:
         place = np.where(label == 1, np.cumsum(label), np.cumsum(1 - label)) % folds
         margin = np.zeros(len(label))
         for k in range(folds):
-            margin_of = cls.train([sample[i] for i in np.flatnonzero(place != k)], pieces_of=pieces_of).margins(pieces_of)
-            for i in np.flatnonzero(place == k):
-                margin[i] = margin_of(sample[i][0])
+            own = np.flatnonzero(place == k)
+            margin[own] = sample.margins(cls.train(sample, docs=np.flatnonzero(place != k)), own)
         slope, bias = _logistic(margin, label)
         return cls((model.weights * slope).astype(np.float32), model.bias * slope + bias)
 
     def word(self, word: str) -> float:
         return float(self.weights[subwords(word)].mean())
 
-    def margins(self, pieces_of=None):
+    def margins(self):
         """A function from a text to its log odds; it remembers the words it has met."""
         known: dict[str, float] = {}
 
@@ -189,9 +260,12 @@ class SubwordModel:
             words = words_of(text or "")
             if len(known) > REMEMBERED:
                 known.clear()
+            own = {}
             for w in set(words):
                 if w not in known:
-                    known[w] = self.word(w) if pieces_of is None else float(self.weights[pieces_of(w)].mean())
+                    (known if len(w) <= LONG_WORD else own)[w] = self.word(w)
+            if own:
+                return sum(known[w] if w in known else own[w] for w in words) / len(words) + self.bias
             return (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) + self.bias
 
         return margin
