@@ -184,7 +184,7 @@ def _in_tasks(rows: DataFrame, group: str, compare) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, group, "x", "y").sortWithinPartitions(group, "x", "y", "id")
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -280,7 +280,6 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     classes = cut(
         with_id.groupBy("class_key", "class_mark").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes"
     )
-    same = with_id.join(classes.select("class_key", "class_mark", "id"), ["class_key", "class_mark"]).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     # Two different sets of which one has fewer than 4 elements can't be 80% alike; more generally:
     least = max(1, percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
     searched = classes.filter(F.col("n") >= least).select("id", "sig")
@@ -290,7 +289,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     heads = lists.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = lists.join(heads.select("key", "a"), "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     coarse = cut(_alike(pairs, searched, matches), "alike")
-    labels = cut(connected_components(coarse), "coarse")
+    # Documents alike to one and the same third are held together by it: two steps towards the smallest one do for a label.
+    nearest = coarse.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near"))
+    further = nearest.select(F.col("id").alias("near"), F.col("near").alias("far"))
+    labels = nearest.join(further, "near", "left").select("id", F.coalesce("far", "near").alias("component"))
     # Members of one list that are still apart meet in blocks.
     labelled = lists.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"), F.lit(0).alias("weight"))
     more = cut(_coarse_edges(labelled, searched, matches), "more-alike")
@@ -308,9 +310,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, coor
     # A family that fitted into one block is settled.
     large = members.groupBy("family").agg(_blocks(F.count(F.lit(1)), F.sum("weight")).alias("blocks")).filter("blocks > 1").select("family")
     met = _block_pairs(rest.join(large, "family", "left_semi"), "family")
-    links = links.unionByName(cut(_exact_edges(met, sets, percent), "more-links"))
-    found = connected_components(links.unionByName(same))
-    out = signed.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    more = cut(_exact_edges(met, sets, percent), "more-links")
+    found = now if more.isEmpty() else connected_components(now.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    # A class has the smallest id of its documents, so the smallest class of a component has the smallest id of all.
+    named = classes.select("class_key", "class_mark", "id").join(found, "id", "left").select("class_key", "class_mark", F.coalesce("component", "id").alias("component"))
+    out = signed.withColumn("known", F.when(F.col("doc_id").isNotNull(), F.col("class_key"))).join(
+        named.withColumnRenamed("class_key", "known"), ["known", "class_mark"], "left"
+    )
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
