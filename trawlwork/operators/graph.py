@@ -7,16 +7,15 @@ no global sort, and all ancestors of a node are the prefixes of its path, so a r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.urls import canonical_url, content_route, crawl_key_url, path_has_repeat
-from trawlwork.plans.lineage import cut
-from trawlwork.plans.skew import hot_keys, lookup_join
-from trawlwork.settings import DEPTH_LIMIT, HOT_KEY_ROWS
-
-# Tasks that share the links of one hub page.
-_HUB_SHARES = 64
+from trawlwork.plans.lineage import cut, scratch_path
+from trawlwork.plans.skew import bounded_broadcast, lookup_join
+from trawlwork.settings import DEPTH_LIMIT, HOT_KEY_ROWS, SHARE_LINKS
 
 
 def frontier_step(candidates: DataFrame, visited: DataFrame, depth: int, depth_limit: int = DEPTH_LIMIT) -> DataFrame:
@@ -25,12 +24,15 @@ def frontier_step(candidates: DataFrame, visited: DataFrame, depth: int, depth_l
     ``candidates(root, url, parent_url, position, path)`` are discovered links, ``path`` ending in the
     link's position; ``visited(root, url)`` is per root. Beyond the depth limit nothing is kept. Of several
     discoverers the first in queue order becomes the parent. Every returned row counts as visited; only
-    ``admitted`` rows (no repeated path segment) are nodes.
+    ``admitted`` rows (no repeated path segment) are nodes. Further columns of the candidates, which follow from
+    the URL, are kept.
     """
+    known = ["root", "url", "parent_url", "position", "path"]
+    more = [c for c in candidates.columns if c not in known]
     if depth > depth_limit:
         candidates = candidates.limit(0)
     first = candidates.groupBy("root", "url").agg(
-        F.min(F.struct("path", "parent_url", "position")).alias("found")
+        F.min(F.struct("path", "parent_url", "position", *more)).alias("found")
     )
     fresh = first.join(visited.select("root", "url"), ["root", "url"], "left_anti")
     return fresh.select(
@@ -41,60 +43,129 @@ def frontier_step(candidates: DataFrame, visited: DataFrame, depth: int, depth_l
         F.col("found.position").alias("position"),
         F.col("found.path").alias("path"),
         (~path_has_repeat(F.col("url"))).alias("admitted"),
+        *(F.col(f"found.{c}").alias(c) for c in more),
     )
 
 
-def _follow(frontier: DataFrame, links: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Links of the frontier's pages. The links of a hub page are shared out over many tasks."""
-    hub = F.broadcast(hubs.withColumn("_hub", F.lit(True)))
-    share = F.when(F.col("_hub"), F.pmod(F.xxhash64("link"), F.lit(_HUB_SHARES))).otherwise(F.lit(0))
-    shares = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(_HUB_SHARES - 1))).otherwise(F.array(F.lit(0)))
-    shares = shares.cast("array<bigint>")
-    parents = (
-        frontier.select("root", F.col("url").alias("parent_url"), "path")
-        .join(hub.withColumnRenamed("url", "parent_url"), "parent_url", "left")
-        .withColumn("_share", F.explode(shares))
-        .drop("_hub")
-    )
-    children = (
-        links.join(hub, "url", "left")
-        .select(F.col("url").alias("parent_url"), F.col("link").alias("url"), "position", share.cast("bigint").alias("_share"))
-    )
-    return parents.join(children, ["parent_url", "_share"]).select(
-        "root", "url", "parent_url", "position", F.array_append("path", F.col("position")).alias("path")
+class LinkStore:
+    """The links of all pages, shuffled and written once for all levels of a crawl.
+
+    ``(url, share, link, position, final_url, next, next_shares)``: a page's links in shares of about ``share_links``, in buckets
+    of (page, share), and with each link what the crawl needs to know of its target: the URL it ends at, the page whose links
+    come next (null if there is none to read), and in how many shares these lie. So no level looks anything up.
+    """
+
+    def __init__(self, links: DataFrame, targets: DataFrame | None, share_links: int = SHARE_LINKS):
+        """``links(url, link, position)``, ``targets(url, final_url, expands)`` with one row per URL, see :func:`crawl_bfs`."""
+        self.spark, self.share_links = links.sparkSession, share_links
+        links = links.filter(content_route(F.col("url")) == "html").select("url", "link", F.col("position").cast("int").alias("position"))
+        # Most pages lie in one share; those that do not are counted here, however many they are.
+        counts = links.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share_links)
+        self.shares = cut(counts.select("url", F.ceil(F.col("n") / share_links).cast("int").alias("shares")), "link-shares")
+        self.targets = None if targets is None else targets.select("url", "final_url", "expands")
+        aimed = self.aimed(links, "link")
+        split = lookup_join(cut(aimed, "aimed-links"), self.shares.withColumnRenamed("shares", "_shares"), ["url"])
+        share = F.pmod(F.xxhash64("link"), F.coalesce("_shares", F.lit(1))).cast("int")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"crawl_links_{uuid.uuid4().hex}"
+        rows = split.withColumn("share", share).drop("_shares")
+        # One task writes one bucket, so that there is one file a bucket; the columns of the buckets are those of the joins.
+        rows.repartition(buckets, "url", "share").write.option("path", scratch_path(self.spark, "links")).bucketBy(buckets, "url", "share").sortBy(
+            "url", "share"
+        ).saveAsTable(self.table)
+        self.links = self.spark.table(self.table)
+
+    def aimed(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with where the URL in ``column`` leads."""
+        if self.targets is None:
+            known = rows.withColumn("final_url", F.col(column))
+            known = known.withColumn("next", F.when(content_route(F.col(column)) == "html", F.col(column)))
+        else:
+            found = lookup_join(cut(rows, "links-to-aim"), self.targets.withColumnRenamed("url", column), [column])
+            known = found.withColumn("next", F.when(F.col("expands"), F.col("final_url"))).drop("expands")
+            known = known.withColumn("final_url", F.coalesce("final_url", F.col(column)))
+        shares = self.shares.select(F.col("url").alias("next"), F.col("shares").alias("next_shares"))
+        joined = lookup_join(cut(known, "links-with-targets"), shares, ["next"])
+        return joined.withColumn("next_shares", F.coalesce("next_shares", F.lit(1)))
+
+    def follow(self, frontier: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+        """Candidates of the next level: the links of every frontier row's page.
+
+        A row meets every share of its page. Pages that very many rows stand on (one page under many roots) are split on that
+        side too: their links, and no others, are copied to as many tasks as their rows need.
+        """
+        parents = frontier.filter(F.col("next").isNotNull()).select("root", F.col("next").alias("url"), F.col("path").alias("_path"), "next_shares")
+        counts = parents.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+        hot = cut(counts.select("url", F.ceil(F.col("n") / hot_rows).cast("int").alias("_splits")), "hot-pages")
+        spread = parents.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("next_shares") - 1))).drop("next_shares")
+        keys = ["url", "share"]
+        if hot.isEmpty():
+            return _candidates(spread.join(self.links, keys))
+        few = bounded_broadcast(hot)
+        usual = _candidates(spread.join(few, "url", "left_anti").join(self.links, keys))
+        rows = spread.join(few, "url").withColumn("_split", F.pmod(F.xxhash64("root"), "_splits").cast("int")).drop("_splits")
+        copies = self.links.join(few, "url").withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
+        return usual.unionByName(_candidates(rows.join(copies, [*keys, "_split"])))
+
+    def drop(self) -> None:
+        """Forget the table's name; its files go with the run's folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def _candidates(joined: DataFrame) -> DataFrame:
+    return joined.select(
+        "root",
+        F.col("link").alias("url"),
+        F.col("url").alias("parent_url"),
+        "position",
+        F.array_append("_path", F.col("position")).alias("path"),
+        "final_url",
+        "next",
+        "next_shares",
     )
 
 
 def crawl_bfs(
-    roots: DataFrame, links: DataFrame, depth_limit: int = DEPTH_LIMIT, hub_rows: int = HOT_KEY_ROWS
+    roots: DataFrame,
+    links: DataFrame,
+    depth_limit: int = DEPTH_LIMIT,
+    hub_rows: int = HOT_KEY_ROWS,
+    targets: DataFrame | None = None,
+    share_links: int = SHARE_LINKS,
 ) -> DataFrame:
     """``(root, url, parent_url, depth, position, path)``: breadth-first crawl over ``links(url, link, position)``.
 
     ``roots(root)`` and the links hold crawl keys. All roots advance together, one written table per level.
-    A page without links stays as a leaf; PDFs are not expanded.
+    A page without links stays as a leaf; PDFs are not expanded. With ``targets(url, final_url, expands)`` every node has
+    its ``final_url`` too: a request that is redirected goes on with the links of the page it ends at, if ``expands``, and a
+    URL that is not in the table leads nowhere. Visited are requested URLs: two nodes of a tree may end at one page, and
+    the first in queue order has all its children (:func:`dedupe_visited_nodes`). A page's redirect is followed once, so
+    cycles of redirects end.
     """
-    start = roots.select("root").distinct().select(
+    store = LinkStore(links, targets, share_links)
+    start = store.aimed(roots.select("root").distinct().withColumn("url", F.col("root")), "url").select(
         "root",
-        F.col("root").alias("url"),
+        "url",
         F.lit(None).cast("string").alias("parent_url"),
         F.lit(0).alias("depth"),
         F.lit(0).alias("position"),
         F.array().cast("array<int>").alias("path"),
         F.lit(True).alias("admitted"),
+        "final_url",
+        "next",
+        "next_shares",
     )
-    links = links.filter(content_route(F.col("url")) == "html").select(
-        "url", "link", F.col("position").cast("int").alias("position")
-    )
-    hubs = cut(hot_keys(links, ["url"], hub_rows), "hubs")
     levels = [cut(start, "level-0")]
     for depth in range(1, depth_limit + 1):
         visited = _union([level.select("root", "url") for level in levels])
         frontier = levels[-1].filter("admitted")
-        level = cut(frontier_step(_follow(frontier, links, hubs), visited, depth, depth_limit), f"level-{depth}")
+        level = cut(frontier_step(store.follow(frontier, hub_rows), visited, depth, depth_limit), f"level-{depth}")
         if level.isEmpty():
             break
         levels.append(level)
-    return _union(levels).filter("admitted").drop("admitted")
+    store.drop()
+    found = _union(levels).filter("admitted")
+    return found.select("root", "url", "parent_url", "depth", "position", "path", *([] if targets is None else ["final_url"]))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -119,7 +190,12 @@ def link_table(page_links: DataFrame) -> DataFrame:
 
 
 def crawl_bfs_relevant(
-    roots: DataFrame, page_links: DataFrame, relevant: DataFrame, depth_limit: int = DEPTH_LIMIT, hub_rows: int = HOT_KEY_ROWS
+    roots: DataFrame,
+    page_links: DataFrame,
+    relevant: DataFrame,
+    depth_limit: int = DEPTH_LIMIT,
+    hub_rows: int = HOT_KEY_ROWS,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`crawl_bfs` along the :func:`canonical_links` that are in ``relevant(url)``, one row per URL.
 
@@ -127,14 +203,17 @@ def crawl_bfs_relevant(
     """
     # Some link, such as a home page, is on very many pages.
     kept = lookup_join(page_links, relevant.select(F.col("url").alias("link")), ["link"], "inner")
-    return crawl_bfs(roots, cut(link_table(kept.select("url", "link", "position")), "links"), depth_limit, hub_rows)
+    return crawl_bfs(roots, cut(link_table(kept.select("url", "link", "position")), "links"), depth_limit, hub_rows, targets)
+
 
+def dedupe_visited_nodes(nodes: DataFrame, tree: str = "root", url: str = "url") -> DataFrame:
+    """One node per tree and ``url`` (name ``final_url`` where requests were redirected), the first by depth and queue order.
 
-def dedupe_visited_nodes(nodes: DataFrame, tree: str = "root") -> DataFrame:
-    """One node per tree and URL, the first by depth and queue order (redirects can make nodes equal)."""
-    others = [c for c in nodes.columns if c not in (tree, "url")]
+    What goes has no children: the first of several nodes that end at one page is read first, and takes all its links.
+    """
+    others = [c for c in nodes.columns if c not in (tree, url)]
     first = F.min_by(F.struct(*others), F.struct("depth", "path")).alias("node")
-    return nodes.groupBy(tree, "url").agg(first).select(tree, "url", "node.*").select(*nodes.columns)
+    return nodes.groupBy(tree, url).agg(first).select(tree, url, "node.*").select(*nodes.columns)
 
 
 def _prefixes(path: Column, include_self: bool = True) -> Column:

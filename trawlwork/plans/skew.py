@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from trawlwork.plans.lineage import cut
-from trawlwork.settings import HOT_KEY_ROWS, MAX_HOT_KEYS, MAX_HOT_PARTNER_BYTES
+from trawlwork.settings import BROADCAST_ROWS, HOT_KEY_ROWS, MAX_HOT_KEYS, MAX_HOT_PARTNER_BYTES
 
 
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -49,6 +49,11 @@ def lookup_join(
     return usual.unionByName(busy)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if its counted rows are within the bound; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Rows of a table whose size is checked: more than ``limit`` rows are an error, not a cut."""
     rows = df.limit(limit + 1).collect()
