@@ -46,6 +46,75 @@ def test_crawl_equals_a_queue(spark):
             assert len(nodes) == len(want)
 
 
+def crawl_with_redirects(root, links, targets, limit):
+    """The definition: every request is mapped once, links come from the page it ends at, visited are requests."""
+    seen, out, queue = {root}, [], deque([(root, None, 0)])
+    while queue:
+        url, parent, depth = queue.popleft()
+        final, expands = targets.get(url, (url, False))
+        out.append((root, url, final, parent, depth))
+        for link in links.get(final, []) if expands else []:
+            if depth + 1 > limit or link in seen:
+                continue
+            seen.add(link)
+            if not repeated(link):
+                queue.append((link, final, depth + 1))
+    return out
+
+
+def test_crawl_with_redirects(spark):
+    rng = random.Random(11)
+    names = [f"{BASE}/n{i}" for i in range(40)]
+    links = {n: list(dict.fromkeys(rng.choices(names, k=rng.randint(0, 5)))) for n in names[:35]}
+    targets = {n: (n, True) for n in names[:30]} | {names[31]: (names[31], False)}
+    targets |= {names[0]: (names[5], True), names[6]: (names[7], True), names[8]: (names[7], True)}  # a root, two to one
+    targets |= {names[1]: (names[2], True), names[2]: (names[1], True), names[3]: (names[3], True)}  # a cycle
+    links[names[5]] = [names[5], names[6], names[8], names[0], names[1], names[2]]
+    table = spark.createDataFrame([(u, x, i) for u, ls in links.items() for i, x in enumerate(ls)], "url string, link string, position int")
+    aims = spark.createDataFrame([(u, f, e) for u, (f, e) in targets.items()], "url string, final_url string, expands boolean")
+    start = spark.createDataFrame([(r,) for r in names[:4] + names[36:]], "root string")
+    want = [row for r in names[:4] + names[36:] for row in crawl_with_redirects(r, links, targets, 3)]
+    for hot, share in ((10**6, 10**6), (3, 2)):
+        nodes = G.crawl_bfs(start, table, 3, hot, aims, share).collect()
+        assert sorted((n.root, n.url, n.final_url, n.parent_url or "", n.depth) for n in nodes) == sorted((r, u, f, p or "", d) for r, u, f, p, d in want)
+    # The redirected root comes again under its final address; only what has no children goes.
+    all_nodes = G.crawl_bfs(start, table, 3, targets=aims)
+    kept = G.dedupe_visited_nodes(all_nodes, url="final_url").collect()
+    assert len(kept) < len(nodes) and len({(n.root, n.final_url) for n in kept}) == len(kept)
+    paths = {(n.root, tuple(n.path)) for n in kept}
+    assert all(not n.path or (n.root, tuple(n.path[:-1])) in paths for n in nodes)
+    assert [n.url for n in kept if n.root == names[0] and n.final_url == names[5]] == [names[0]]
+
+
+def test_one_page_under_many_roots_and_many_hubs(spark):
+    """A page that all roots link to, and more pages with many links than any broadcast of names would take."""
+    roots = [f"{BASE}/root{i}" for i in range(300)]
+    links = {r: [f"{BASE}/home"] for r in roots} | {f"{BASE}/home": [f"{BASE}/hub{i}" for i in range(40)]}
+    links |= {f"{BASE}/hub{i}": [f"{BASE}/leaf{i}-{k}" for k in range(30)] for i in range(40)}
+    table = spark.createDataFrame([(u, x, i) for u, ls in links.items() for i, x in enumerate(ls)], "url string, link string, position int")
+    start = spark.createDataFrame([(r,) for r in roots[:50]], "root string")
+    nodes = G.crawl_bfs(start, table, 3, hub_rows=20, share_links=8)
+    counts = {(r.depth): r["count"] for r in nodes.groupBy("depth").count().collect()}
+    assert counts == {0: 50, 1: 50, 2: 2000, 3: 60_000}
+    want = {row for row in crawl_by_queue(roots[0], links, 3)}
+    assert {(n.root, n.url, n.parent_url, n.depth) for n in nodes.filter(nodes.root == roots[0]).collect()} == want
+
+
+def test_links_are_shuffled_once(spark):
+    """With the broadcast of small sides off, a level shuffles its frontier to the links' buckets and leaves the links where they are."""
+    table = spark.createDataFrame([(f"{BASE}/{i}", f"{BASE}/{3 * i + k}", k) for i in range(50) for k in range(3)], "url string, link string, position int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store = G.LinkStore(table, None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = spark.createDataFrame([("r", f"{BASE}/{i}", [0], 1) for i in range(20)], "root string, next string, path array<int>, next_shares int")
+        plan = store.follow(frontier)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(url") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        store.drop()
+
+
 def test_relevant_crawl(spark):
     links = spark.createDataFrame(
         [(BASE, f"{BASE}/menu?b=2&a=1", 0), (BASE, f"{BASE}/about", 1), (f"{BASE}/menu", f"{BASE}/menu/soup#x", 0)],

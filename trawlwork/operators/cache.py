@@ -6,12 +6,16 @@ own folder only, so a replayed batch changes nothing, and no write rewrites the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import lookup_join
+from trawlwork.settings import CACHE_BUCKETS
 
 _UNIT_SEPARATOR = "\u001f"
 
@@ -87,6 +91,107 @@ def cache_read_through(
     return known, compute(missing)
 
 
+class KeyedTable:
+    """A cache table of versions: what a commit writes is seen whole, by readers that start after it, or not at all.
+
+    Rows lie in folders ``data/<commit>/bucket=<n>`` by a hash of their key. ``versions/v=<n>`` names the commits that make up version
+    ``n``; a version is one small file, written last, so an open reader keeps its own version and a failed commit leaves none. One
+    writer commits at a time: a second one that builds on the same version finds its number taken and fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, value_type: str, buckets: int = CACHE_BUCKETS):
+        self.spark, self.path, self.value_type, self.buckets = spark, path.rstrip("/"), value_type, buckets
+
+    def version(self) -> tuple[int, list[str]]:
+        """The newest version and its commits, oldest first; 0 without any."""
+        try:
+            rows = self.spark.read.schema("commits array<string>, buckets int, v bigint").json(f"{self.path}/versions")
+            newest = rows.orderBy(F.desc("v")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None
+        if newest is None:
+            return 0, []
+        if newest["buckets"] != self.buckets:
+            raise ValueError(f"the table has {newest['buckets']} buckets")
+        return newest["v"], newest["commits"]
+
+    def _rows(self, commits: list[str]) -> DataFrame:
+        schema = f"key_hash string, key string, value {self.value_type}, updated_at timestamp, bucket int"
+        rows = self.spark.createDataFrame([], f"{schema}, number int")
+        for number, commit in enumerate(commits):
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/data/{commit}").withColumn("number", F.lit(number)))
+        return rows
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key_hash"), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame:
+        """``(key_hash, key, value, updated_at)``: the newest row of every key in the newest version."""
+        rows = self._rows(self.version()[1])
+        return latest(rows, ["number", "updated_at"]).select("key_hash", "key", "value", "updated_at")
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """``(key_hash, key, value)`` of those of the distinct ``keys(key)`` that the table holds.
+
+        Only the buckets that these keys fall in are opened, and no row of another key is shuffled.
+        """
+        wanted = _hashed(keys.select("key")).select("key_hash", self._bucket().alias("bucket"))
+        asked = sorted(r["bucket"] for r in wanted.select("bucket").distinct().collect())  # as many as there are buckets at most
+        rows = self._rows(self.version()[1]).filter(F.col("bucket").isin(asked) if len(asked) < self.buckets else F.lit(True))
+        found = rows.join(wanted.select("key_hash"), "key_hash", "left_semi")
+        return latest(found, ["number", "updated_at"]).select("key_hash", "key", "value")
+
+    def commit(self, rows: DataFrame) -> DataFrame:
+        """Add or replace the keys of ``rows(key, value)`` (``updated_at`` decides between rows of one key, now without it).
+
+        ``rows`` is computed once; what comes back reads the rows as they are stored.
+        """
+        version, commits = self.version()
+        stamped = rows if "updated_at" in rows.columns else rows.withColumn("updated_at", F.current_timestamp())
+        kept = latest(_hashed(stamped), ["updated_at"]).select("key_hash", "key", "value", "updated_at", self._bucket().alias("bucket"))
+        return self._write(kept, version, commits)
+
+    def _write(self, rows: DataFrame, version: int, commits: list[str]) -> DataFrame:
+        name = f"{version + 1:012d}-{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "key_hash").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        manifest = self.spark.createDataFrame([([*commits, name], self.buckets)], "commits array<string>, buckets int")
+        manifest.coalesce(1).write.mode("error").json(f"{self.path}/versions/v={version + 1}")
+        return self._rows([name]).select("key_hash", "key", "value")
+
+    def compact(self) -> None:
+        """Rewrite the newest version as one commit; older ones stay for their readers."""
+        version, commits = self.version()
+        if len(commits) > 1:
+            rows = latest(self._rows(commits), ["number", "updated_at"])
+            self._write(rows.select("key_hash", "key", "value", "updated_at", "bucket"), version, [])
+
+    def read_through(
+        self, requests: DataFrame, compute: Callable[[DataFrame], DataFrame], observation: Observation | None = None
+    ) -> DataFrame:
+        """``(key, value)`` of the distinct keys of ``requests(key)``: stored ones, and the misses computed and stored.
+
+        ``compute`` maps ``(key)`` to ``(key, value)`` and sees every miss once; a key it gives no row for has none here. A
+        following run finds the values. ``observation`` gets ``requests``, ``distinct_keys`` and ``hits`` on the way, without
+        a pass of its own.
+        """
+        counted = _hashed(requests.select("key")).groupBy("key_hash").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("n"))
+        wanted = cut(counted, "wanted-keys")
+        found = wanted.join(self.lookup(wanted).select("key_hash", "value", F.lit(True).alias("hit")), "key_hash", "left")
+        if observation is not None:
+            hit = F.coalesce(F.col("hit"), F.lit(False))
+            found = found.observe(
+                observation, F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.count(F.lit(1)).alias("distinct_keys"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("hits")
+            )
+        looked_up = cut(found, "looked-up")
+        known = looked_up.filter("hit").select("key", "value")
+        missing = looked_up.filter("hit is null").select("key")
+        if missing.isEmpty():
+            return known
+        return known.unionByName(self.commit(compute(missing).select("key", "value")).select("key", "value"))
+
+
 def cache_hit_report(requests: DataFrame, caches: DataFrame) -> DataFrame:
     """``(namespace, hits, misses, distinct_keys)`` for ``requests(namespace, key)``.
 

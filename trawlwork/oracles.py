@@ -725,6 +725,70 @@ SELECT '''https://maps.example/?cid=' || root || '''' AS google_url,
        item AS scraped_item, array_to_string(ingredients, ', ') AS ingredients, round(combined, 6) AS combined_score
 FROM combined"""
 
+_GOES = "CASE WHEN {0} % 50 = 6 THEN {0} + 1 WHEN {0} % 50 = 7 THEN {0} - 1 WHEN {0} % 10 = 4 THEN {0} // 2 END"
+
+
+def _redirected_levels(depth: int, children: str, admitted: str = "true") -> str:
+    """Levels over page numbers; ``aim(k, f, expands)`` says where a request ends, ``children`` lists ``(position, link)`` of page f."""
+    ctes = ["l0 AS (SELECT root, root AS k, NULL::BIGINT AS parent, 0 AS depth, 0 AS position, CAST([] AS BIGINT[]) AS path FROM roots)"]
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT root, k FROM l{i}" for i in range(d))
+        ctes.append(f"""
+l{d} AS (
+  SELECT root, k, parent, {d} AS depth, position, path
+  FROM (SELECT l.root, c.link AS k, a.f AS parent, c.position, list_append(l.path, c.position) AS path,
+               row_number() OVER (PARTITION BY l.root, c.link ORDER BY list_append(l.path, c.position)) AS rn
+        FROM l{d - 1} l JOIN aim a ON a.k = l.k AND a.expands, LATERAL (SELECT unnest({children}, recursive := true)) c)
+  WHERE rn = 1 AND (root, k) NOT IN ({seen}))""")
+    return ", ".join(ctes) + ", met AS (" + " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1)) + ")"
+
+
+_RUN = f"""
+page AS (SELECT p_partkey AS k, p_partkey % 7 <> 3 AS has_html, p_size <> 13 AS answered, p_name, p_type, p_brand FROM part),
+aim AS (
+  SELECT p.k, f.k AS f, f.has_html AS expands, f.answered FROM page p
+  JOIN page f ON f.k = CASE WHEN {_GOES.format("p.k")} IN (SELECT k FROM page) THEN {_GOES.format("p.k")} WHEN NOT starts_with(p.k::VARCHAR, '9') THEN p.k END),
+roots AS (SELECT s_suppkey AS root FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0),
+{_redirected_levels(3, "[{'position': 0, 'link': a.f * 3 + 1}, {'position': 1, 'link': a.f * 3 + 2}]")},
+nodes AS (SELECT m.*, a.f, coalesce(a.f, m.k) AS final, coalesce(a.answered, false) AS has_content FROM met m LEFT JOIN aim a ON a.k = m.k),
+lost AS (SELECT DISTINCT n.root, n.path FROM nodes n JOIN nodes x ON x.root = n.root AND NOT x.has_content AND n.path[1:len(x.path)] = x.path),
+read AS (SELECT * FROM nodes n WHERE NOT EXISTS (FROM lost x WHERE x.root = n.root AND x.path = n.path)
+         QUALIFY row_number() OVER (PARTITION BY root, f ORDER BY depth, path) = 1),
+own AS (
+  SELECT r.root, r.path, lower(p_name) || CASE WHEN has_html AND p.k % 9 <> 2 THEN '' ELSE ' sheet' END AS item,
+         CASE WHEN has_html AND p.k % 9 <> 2 THEN [lower(p_type), lower(p_brand)] ELSE [lower(p_brand)] END AS ingredients
+  FROM read r JOIN page p ON p.k = r.f)"""
+
+_ORACLES["run_establishments"] = f"""
+WITH {_RUN},
+entries AS (SELECT DISTINCT root, item, unnest(ingredients) AS ingredient FROM own),
+books AS (SELECT root, item, list(ingredient ORDER BY ingredient) AS ingredients FROM entries GROUP BY ALL),
+items AS (SELECT row_number() OVER () AS p_partkey, root, item, ingredients FROM books),
+{_combined(0.5).replace(_ITEMS + ",", "", 1).replace("i.item, i.ingredients", "i.root, i.item, i.ingredients")}
+SELECT '''https://maps.example/?cid=' || root || '''' AS google_url,
+       '''https://shop.example/menu/item-' || root || '?utm=maps''' AS establishment_url,
+       item AS scraped_item, array_to_string(ingredients, ', ') AS ingredients, round(combined, 6) AS combined_score
+FROM combined"""
+
+_ORACLES["run_forest"] = f"""
+WITH {_RUN},
+counted AS (SELECT root, path, count(DISTINCT item) AS n FROM own GROUP BY ALL),
+below AS (SELECT n.root, n.path, count(DISTINCT o.item) AS n FROM nodes n JOIN own o ON o.root = n.root AND o.path[1:len(n.path)] = n.path GROUP BY ALL)
+SELECT n.root::VARCHAR AS place_id, array_to_string(n.path, '/') AS path, n.depth, 'https://shop.example/menu/item-' || n.final AS url,
+       coalesce(c.n, 0)::INT AS n_items, coalesce(b.n, 0)::INT AS n_book
+FROM nodes n LEFT JOIN counted c ON c.root = n.root AND c.path = n.path LEFT JOIN below b ON b.root = n.root AND b.path = n.path"""
+
+_ORACLES["crawl_redirected"] = f"""
+WITH roots AS (SELECT p_partkey AS root FROM part),
+aim AS (SELECT p_partkey AS k, coalesce({_GOES.format("p_partkey")}, p_partkey) AS f, p_partkey % 7 <> 3 AS expands FROM part),
+has_links AS (SELECT p_partkey AS k FROM part),
+{_redirected_levels(3, "CASE WHEN a.f IN (SELECT k FROM has_links) THEN [{'position': 0, 'link': a.f * 3 + 1}, {'position': 1, 'link': a.f * 3 + 2}, {'position': 2, 'link': a.f * 3 + 3}, {'position': 3, 'link': a.f // 2}] ELSE [] END")},
+first AS (SELECT m.*, coalesce(a.f, m.k) AS f FROM met m LEFT JOIN aim a ON a.k = m.k
+          QUALIFY row_number() OVER (PARTITION BY root, coalesce(a.f, m.k) ORDER BY depth, path) = 1)
+SELECT 'https://shop.example/p/' || root AS root, 'https://shop.example/p/' || k AS url, 'https://shop.example/p/' || parent AS parent_url, depth, position,
+       'https://shop.example/p/' || f AS final_url
+FROM first"""
+
 # ---- streams --------------------------------------------------------------------------------------
 
 _ORACLES["stream_visited_dedup"] = "SELECT DISTINCT user_id FROM events"

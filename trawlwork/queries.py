@@ -19,6 +19,7 @@ from trawlwork.operators import scoring as S
 from trawlwork.operators import vectors as W
 from trawlwork.plans.lineage import cut, scratch_path
 from trawlwork.plans.rank import rank_establishments
+from trawlwork.plans.run import ITEMS, Run, RunCaches, StoredCrawl, run_establishments
 from trawlwork.sources import tables as T
 from trawlwork.sources import trees
 from trawlwork.sources.profile import load_profile
@@ -941,6 +942,67 @@ def rank_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _run(spark: SparkSession, sf: str) -> Run:
+    """Suppliers as places, parts as pages: some PDFs, some redirects (two to one, cycles, roots), a robots rule, failures."""
+    part, supplier = _table(spark, sf, "part"), _table(spark, sf, "supplier")
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    google = F.concat(F.lit("https://maps.example/?cid="), s.cast("string"))
+    listing = F.when(
+        s % 13 != 0, F.concat(F.lit('<a data-tooltip="Open menu link" data-item-id="menu" href="'), _menu_url(s), F.lit('?utm=maps">menu</a>'))
+    ).otherwise("<p>no link</p>")
+    html = F.concat(
+        F.lit("<a href='/menu/item-"), (k * 3 + 1).cast("string"), F.lit("'>a</a><a href=\"../menu/item-"), (k * 3 + 2).cast("string"),
+        F.lit('?from=list#top">b</a><a href="/imprint">c</a>'),
+    )
+    pages = part.select(_menu_url(k).alias("url"), F.when(k % 7 != 3, html).alias("html"))
+    sheets = part.filter((k % 7 == 3) | (k % 9 == 2)).select(_menu_url(k).alias("url"), F.lit(1).alias("page_no"), F.col("p_name").alias("text"))
+    goes = F.when(k % 50 == 6, k + 1).when(k % 50 == 7, k - 1).when(k % 10 == 4, F.floor(k / 2))
+    redirects = part.filter(goes.isNotNull()).select(_menu_url(k).alias("url"), _menu_url(goes).alias("final_url"))
+    rules = spark.createDataFrame([("shop.example", "*", 1, False, "/menu/item-9")], "domain string, agent string, rule_no int, allow boolean, prefix string")
+    menu = F.when(k % 9 == 2, F.lit("No menu items found")).otherwise(F.concat(F.initcap("p_name"), F.lit(": "), "p_type", F.lit("|"), "p_brand"))
+    answered = part.filter(F.col("p_size") != 13)
+    responses = answered.filter(k % 7 != 3).select(_menu_url(k).alias("url"), F.lit("html").alias("content_type"), F.posexplode(F.array(F.lit("none"), menu)).alias("n", "text"))
+    sheet = F.concat("p_name", F.lit(" sheet:"), "p_brand")
+    responses = responses.unionByName(
+        answered.filter((k % 7 == 3) | (k % 9 == 2)).select(_menu_url(k).alias("url"), F.lit("pdf").alias("content_type"), F.posexplode(F.array(sheet)).alias("n", "text"))
+    )
+    crawl = StoredCrawl(
+        places=supplier.select(s.alias("place_id")),
+        details=supplier.filter(s % 11 != 0).select(s.alias("place_id"), google.alias("google_url")),
+        listings=supplier.select(google.alias("google_url"), listing.alias("html")),
+        pages=pages, responses=responses, pdf_pages=sheets, redirects=redirects, rules=rules,
+    )
+    kinds = {"vectors": "array<float>", "relevance": "double", "items": ITEMS}
+    caches = RunCaches(**{name: C.KeyedTable(spark, scratch_path(spark, name), kind, buckets=8) for name, kind in kinds.items()})
+    return run_establishments(crawl, _part_profile(spark), caches, agent=AGENT)
+
+
+@query
+def run_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking of the whole run, with caches that start empty."""
+    return _run(spark, sf).results.select(
+        "google_url", "establishment_url", "scraped_item", "ingredients", F.round("combined_score", 6).alias("combined_score")
+    )
+
+
+@query
+def run_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest that the whole run stores: every request of every tree, where it ended, and how many items it has."""
+    forest = _run(spark, sf).forest
+    path = F.concat_ws("/", F.transform("path", lambda n: n.cast("string"))).alias("path")
+    return forest.select("place_id", path, "depth", "url", F.size("scraped_items").alias("n_items"), F.size("menu_book").alias("n_book"))
+
+
+@query
+def crawl_redirected(spark: SparkSession, sf: str) -> DataFrame:
+    """The part crawl where some pages redirect: roots, two URLs to one page, cycles; every final page once per tree."""
+    k = F.col("p_partkey")
+    goes = F.when(k % 50 == 6, k + 1).when(k % 50 == 7, k - 1).when(k % 10 == 4, F.floor(k / 2)).otherwise(k)
+    targets = _table(spark, sf, "part").select(_shop(k).alias("url"), _shop(goes).alias("final_url"), (k % 7 != 3).alias("expands"))
+    nodes = G.crawl_bfs(_part_roots(spark, sf), _part_links(spark, sf), targets=targets)
+    return G.dedupe_visited_nodes(nodes, url="final_url").select(*_NODE, "final_url")
+
+
 # ---- streams --------------------------------------------------------------------------------------
 
 
