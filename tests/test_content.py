@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,8 +119,48 @@ def test_packing(spark):
     for row, size in zip(packed, sizes, strict=True):
         totals[row.batch_no] = totals.get(row.batch_no, 0) + size
     assert max(totals.values()) <= 10
-    spread = K.token_budget_batches(texts, "id", limit=10)
-    assert spread.select("id", "chunk_no").distinct().count() == len(sizes)
+    assert K.token_budget_batches(texts, "id", limit=10).orderBy("id", "chunk_no").collect() == packed  # one run over all texts
+    assert K.token_budget_batches(texts.limit(0), "id").count() == 0
+
+
+def test_packing_by_ranges(spark):
+    """Cut into ranges anywhere, the batches are those of the greedy loop; shards begin anew wherever they begin."""
+    rng = np.random.default_rng(4)
+    counts = [int(n) for n in rng.choice([0, 0, 1, 2, 3, 5, 8, 11, 24], 400)]
+    texts = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(counts)], "id bigint, text string").repartition(5)
+    entries = [(i, s) for i, n in enumerate(counts) for s in ([10] * (n // 10) + ([n % 10] if n % 10 or not n else []))]
+    for part_rows in (9, 60):
+        packed = K.token_budget_batches(texts, "id", limit=10, part_rows=part_rows).orderBy("id", "chunk_no").collect()
+        assert [r.batch_no for r in packed] == greedy([s for _, s in entries], 10)
+        sharded = K.token_budget_batches(texts, "id", limit=10, shard=F.floor(F.col("id") / 37), part_rows=part_rows).orderBy("id", "chunk_no").collect()
+        want = [b for shard in range(11) for b in greedy([s for i, s in entries if i // 37 == shard], 10)]
+        assert [r.batch_no for r in sharded] == want
+
+
+def test_packing_of_one_key(spark):
+    """A key that nearly all rows have is cut into ranges too; null keys come first."""
+    rows = [(7, "w w w")] * 200 + [(None, "w w")] * 5 + [(9, "w")]
+    packed = K.token_budget_batches(spark.createDataFrame(rows, "id bigint, text string"), "id", limit=10, part_rows=20).collect()
+    assert len(packed) == 206 and sorted(r.batch_no for r in packed) == greedy([2] * 5 + [3] * 200 + [1], 10)
+
+
+def test_range_steps_equal_the_loop():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n, limit = int(rng.integers(1, 12)), 10
+        sizes = rng.integers(0, 11, n)
+        shards = np.sort(rng.integers(0, 2, n)) if rng.random() < 0.3 else np.zeros(n, dtype=int)
+        steps = K.range_steps(pd.DataFrame({"part": 3, "shard": shards, "n": sizes}), limit)
+        for fill in range(limit + 2):
+            full, opened, now = fill, 0, shards[0]
+            for size, shard in zip(sizes, shards, strict=True):
+                if shard != now:
+                    full, opened, now = limit + 1, 0, shard
+                if full + size > limit:
+                    full, opened = 0, opened + 1
+                full += size
+            step = steps[steps["least"] <= fill].iloc[-1]
+            assert (step["fill"], step["opened"]) == (full, opened)
 
 
 def test_responses(spark):
@@ -216,3 +258,26 @@ def test_robots_first_group_by_product(spark):
     pages = spark.createDataFrame([(f"http://h/{p}",) for p in "abc"], "url string")
     got = {r.url[-1]: r.allowed for r in K.robots_filter(pages, rules, "trawlerbot/1.0").collect()}
     assert got == {"a": False, "b": True, "c": True}
+
+
+def test_robots_of_any_size(spark):
+    """Very many rules on one domain, by path prefixes, decide as the first matching one in file order does."""
+    rng = np.random.default_rng(12)
+    rules = [("big.example", "*", i, bool(rng.random() < 0.5), f"/{'abc'[int(rng.integers(0, 3))]}{i % 977}{'/x' * int(rng.integers(0, 4))}") for i in range(20_000)]
+    rules += [("small.example", "*", 1, False, "/a"), ("named.example", "*", 1, False, "*"), ("named.example", "Trawl", 5, True, "/b"), ("named.example", "trawl", 6, False, "/")]
+    paths = [f"/{'abc'[int(rng.integers(0, 3))]}{int(rng.integers(0, 1100))}{'/x' * int(rng.integers(0, 5))}" for _ in range(300)]
+    urls = [f"https://{d}.example{p}" for p in paths for d in ("big", "small", "named", "none")] + ["https://big.example", "https://maps.google.com/a"]
+    df = spark.createDataFrame(rules, "domain string, agent string, rule_no int, allow boolean, prefix string")
+    out = K.robots_filter(spark.createDataFrame([(u,) for u in urls], "url string"), df, "trawler/1.0")
+    got = {r.url: r.allowed for r in out.collect()}
+
+    def allowed(url):
+        domain, _, path = url.removeprefix("https://").partition("/")
+        mine = [r for r in rules if r[0] == domain]
+        named = [r for r in mine if r[1].lower() != "*"]
+        for _, _, _, allow, prefix in named or mine:
+            if prefix == "*" or ("/" + path).startswith(prefix):
+                return allow
+        return True
+
+    assert got == {u: "google.com" in u or allowed(u) for u in urls} and set(got.values()) == {True, False}

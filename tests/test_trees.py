@@ -84,3 +84,26 @@ def test_merge_replaces_whole_places(spark):
     old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "place_id string, n int")
     new = spark.createDataFrame([("a", 9), ("c", 4)], "place_id string, n int")
     assert sorted(tuple(r) for r in trees.merge_site_trees(old, new).collect()) == [("a", 9), ("b", 3), ("c", 4)]
+
+
+def test_deep_and_broken_trees(spark, tmp_path):
+    import json
+    import time
+
+    def deep(levels):
+        node = {"url": f"u{levels}", "children": None}
+        for i in range(levels - 1, -1, -1):
+            node = {"url": f"u{i}", "descriptor": None, "scraped_items": {"i": ["a", 1, None]}, "menu_book": None, "children": [node, {"url": f"leaf{i}"}]}
+        return node
+
+    (tmp_path / "deep.json").write_text(json.dumps({"p": deep(200), "q": "no tree"}))
+    start = time.time()
+    nodes = trees.read_site_trees(spark, str(tmp_path / "deep.json")).collect()
+    assert time.time() - start < 30
+    assert len(nodes) == 401 and max(n.depth for n in nodes) == 200
+    by_url = {n.url: n for n in nodes}
+    assert by_url["leaf7"].path == [0] * 7 + [1] and by_url["leaf7"].parent_path == [0] * 7 and by_url["leaf7"].parent_url == "u7"
+    assert by_url["u0"].scraped_items == {"i": ["a", "1", None]} and by_url["u0"].menu_book == {} and by_url["u0"].parent_path is None
+    assert list(trees.flat_trees("[1]")) == list(trees.flat_trees("{")) == list(trees.flat_trees(None)) == []
+    with pytest.raises(ValueError, match="without url"):
+        list(trees.flat_trees('{"p": {"url": ""}}'))

@@ -253,6 +253,8 @@ packed AS (
   FROM packed p JOIN entries e ON e.shard = p.shard AND e.r = p.r + 1)
 SELECT shard, batch_no, doc_id, chunk_no FROM packed"""
 
+_ORACLES["token_budget_batches_in_order"] = _ORACLES["token_budget_batches"].replace(f"doc_id // {SHARD_DOCS}", "CAST(0 AS BIGINT)")
+
 _ORACLES["pick_response"] = """
 SELECT conv_id, lower(arg_max(text, turn)) AS response FROM conversations GROUP BY conv_id"""
 

@@ -485,6 +485,12 @@ def token_budget_batches(spark: SparkSession, sf: str) -> DataFrame:
     return K.token_budget_batches(docs, "doc_id", shard=F.floor(F.col("doc_id") / SHARD_DOCS))
 
 
+@query
+def token_budget_batches_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """One run of batches over all documents."""
+    return K.token_budget_batches(_table(spark, sf, "documents"), "doc_id", part_rows=200)
+
+
 @query
 def pick_response(spark: SparkSession, sf: str) -> DataFrame:
     return K.pick_response(_table(spark, sf, "conversations"), "conv_id", "turn")

@@ -7,6 +7,11 @@ Trees nest without limit and Spark has no recursive type, so a forest is held as
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +27,6 @@ NODE_COLUMNS = [
     "place_id", "path", "parent_path", "depth", "position", "url", "parent_url", "descriptor",
     "scraped_items", "menu_book",
 ]
-_JSON_NODE = (
-    f"url string, descriptor string, scraped_items {BOOK}, menu_book {BOOK}, children array<string>"
-)
 
 
 def _named(url: Column) -> Column:
@@ -38,43 +40,54 @@ def _given(book: Column) -> Column:
     return F.coalesce(book, F.create_map().cast(BOOK))
 
 
-def _parse_level(level: DataFrame) -> DataFrame:
-    parsed = level.withColumn("node", F.from_json("json", _JSON_NODE))
-    return parsed.select(
-        "place_id", "path", "parent_path", "depth", "position", _named(F.col("node.url")).alias("url"), "parent_url",
-        F.col("node.descriptor").alias("descriptor"),
-        _given(F.col("node.scraped_items")).alias("scraped_items"),
-        _given(F.col("node.menu_book")).alias("menu_book"),
-        "node.children",
-    )
+def _strings(value) -> list[str] | None:
+    """A JSON list as strings; what is no list gives null."""
+    return [v if v is None or isinstance(v, str) else json.dumps(v) for v in value] if isinstance(value, list) else None
+
+
+def _book(value) -> list[tuple]:
+    return [(k, _strings(v)) for k, v in value.items()] if isinstance(value, dict) else []
+
+
+def flat_trees(document: str | None) -> Iterator[tuple]:
+    """The nodes of a JSON object of trees as rows of ``NODE_COLUMNS``, each after its parent: one pass, of any depth.
+
+    A document that is no JSON object has none, and neither has a tree that is no object.
+    """
+    try:
+        trees = json.loads(document or "")
+    except (ValueError, RecursionError):
+        return
+    open_ = [(place, (), 0, None, tree) for place, tree in reversed(trees.items())] if isinstance(trees, dict) else []
+    while open_:
+        place, path, position, above, node = open_.pop()
+        if not isinstance(node, dict):
+            continue
+        url, descriptor = node.get("url"), node.get("descriptor")
+        if not url:
+            raise ValueError(f"a node without url in tree {place}")
+        yield place, list(path), list(path[:-1]) if path else None, len(path), position, url, above, descriptor, _book(node.get("scraped_items")), _book(node.get("menu_book"))
+        children = node.get("children")
+        if isinstance(children, list):
+            open_ += [(place, (*path, i), i, url, children[i]) for i in range(len(children) - 1, -1, -1)]
 
 
 def _read_nested(documents: DataFrame) -> DataFrame:
-    """Flatten ``documents(value)``, each a JSON object of trees; one pass per tree level."""
-    trees = documents.select(F.explode(F.from_json("value", "map<string,string>")).alias("place_id", "json"))
-    level = trees.select(
-        "place_id",
-        F.array().cast("array<int>").alias("path"),
-        F.lit(None).cast("array<int>").alias("parent_path"),
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("position"),
-        F.lit(None).cast("string").alias("parent_url"),
-        "json",
+    """Flatten ``documents(value)``, each a JSON object of trees, in the task that reads it."""
+    kinds = pa.schema(
+        [("place_id", pa.string()), ("path", pa.list_(pa.int32())), ("parent_path", pa.list_(pa.int32())), ("depth", pa.int32()), ("position", pa.int32())]
+        + [(c, pa.string()) for c in ("url", "parent_url", "descriptor")]
+        + [(c, pa.map_(pa.string(), pa.list_(pa.string()))) for c in ("scraped_items", "menu_book")]
     )
-    nodes = None
-    while True:
-        parsed = cut(_parse_level(level), "tree-level")
-        if nodes is not None and parsed.isEmpty():
-            return nodes
-        flat = parsed.drop("children")
-        nodes = flat if nodes is None else nodes.unionByName(flat)
-        level = parsed.select(
-            "place_id",
-            F.col("path").alias("parent_path"),
-            (F.col("depth") + 1).alias("depth"),
-            F.col("url").alias("parent_url"),
-            F.posexplode("children").alias("position", "json"),
-        ).withColumn("path", F.array_append("parent_path", F.col("position")))
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document in batch.column(0):
+                rows = flat_trees(document.as_py())
+                while part := list(islice(rows, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return cut(documents.select("value").mapInArrow(flatten, NODE_SCHEMA), "trees")
 
 
 def _only_missing(error: AnalysisException) -> None:
