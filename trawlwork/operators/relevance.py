@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawlwork.functions.urls import canonical_url, url_segments
 from trawlwork.functions.vectors import Embedding, trigram_embedding, with_best_similarity
 from trawlwork.operators.cache import cache_read_through
-from trawlwork.operators.scoring import _best_from_table
+from trawlwork.operators.scoring import _best_from_table, _best_from_tiles
 from trawlwork.settings import MAX_TARGET_PHRASES, SIMILARITY_THRESHOLD, TARGET_URL_KEYWORDS
 
 
@@ -24,18 +24,20 @@ def url_relevance(
     keywords: list[str] = TARGET_URL_KEYWORDS,
     embed: Embedding = trigram_embedding,
     vectors: DataFrame | None = None,
+    limit: int = MAX_TARGET_PHRASES,
 ) -> DataFrame:
     """``(url, score)`` for every distinct URL: best similarity of a segment to a keyword, 0 without any.
 
     With an embedding function the segments are scored where the URL is, without a join. With a table of
-    vectors each distinct segment is scored once.
+    vectors, or more than ``limit`` keywords, each distinct segment is scored once.
     """
-    if len(keywords) > MAX_TARGET_PHRASES:
-        raise ValueError(f"more than {MAX_TARGET_PHRASES} keywords")
     distinct = urls.select("url").distinct()
     groups = {"keyword": list(keywords)}
     segments = url_segments(F.col("url"))
-    if vectors is None:
+    if len(keywords) > limit:
+        table = urls.sparkSession.createDataFrame([("keyword", k) for k in keywords], "attribute string, phrase string").distinct()
+        scored = distinct.join(_best_from_tiles(distinct, ["url"], segments, ["keyword"], table, embed, vectors), "url", "left")
+    elif vectors is None:
         scored = with_best_similarity(distinct, segments, groups, embed, "best")
     else:
         scored = distinct.join(_best_from_table(distinct, ["url"], segments, groups, vectors), "url", "left")

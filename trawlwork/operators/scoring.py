@@ -17,10 +17,12 @@ from trawlwork.functions.text import normalize_phrase, word_ngrams
 from trawlwork.functions.vectors import (
     Embedding,
     Targets,
+    embed_rows,
     score_vectors,
     trigram_embedding,
     with_best_similarity,
 )
+from trawlwork.operators.vectors import best_by_group
 from trawlwork.plans.lineage import cut
 from trawlwork.plans.skew import bounded_rows, lookup_join
 from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES, NAME_ATTRIBUTE, NAME_WEIGHT
@@ -70,13 +72,36 @@ def _with_best(
     embed: Embedding,
     vectors: DataFrame | None,
     name: str,
+    table: DataFrame | None = None,
 ) -> DataFrame:
+    if table is not None:
+        best = _best_from_tiles(items, keys, phrases, list(groups), table, embed, vectors).withColumnRenamed("best", name)
+        return items.join(best, keys, "left")
     if vectors is None:
         return with_best_similarity(items, phrases, groups, embed, name)
     best = _best_from_table(items, keys, phrases, groups, vectors).withColumnRenamed("best", name)
     return items.join(best, keys, "left")
 
 
+def _best_from_tiles(
+    items: DataFrame, keys: list[str], phrases: Column, groups: list[str], table: DataFrame, embed: Embedding, vectors: DataFrame | None
+) -> DataFrame:
+    """``(keys, best)`` for targets of any number, ``table(attribute, phrase)``: distinct phrases meet them tile by tile."""
+    pieces = cut(items.select(*keys, F.explode(F.array_distinct(phrases)).alias("phrase")), "phrases")
+    targets = table.filter(F.col("attribute").isin(groups))
+    if vectors is None:
+        known = cut(embed_rows(pieces.select("phrase").distinct(), embed), "phrase-vectors")
+        aims = embed_rows(targets.select("phrase").distinct(), embed)
+    else:
+        known = vectors.join(pieces.select("phrase").distinct(), "phrase", "left_semi")
+        aims = vectors
+    aimed = targets.join(aims, "phrase").select(F.col("attribute").alias("group"), "embedding")
+    scored = cut(best_by_group(known, aimed), "phrase-scores")
+    joined = lookup_join(pieces, scored, ["phrase"], "inner")
+    maxima = [F.max(F.col("best")[g]).alias(f"_b{i}") for i, g in enumerate(groups)]
+    return joined.groupBy(*keys).agg(*maxima).select(*keys, F.array(*[F.col(f"_b{i}") for i in range(len(groups))]).alias("best"))
+
+
 def attribute_similarity(
     items: DataFrame,
     profile: DataFrame | Profile,
@@ -91,7 +116,7 @@ def attribute_similarity(
     """
     profile = profile if isinstance(profile, Profile) else collect_profile(profile)
     grams = word_ngrams(F.col("ingredients"), max_n)
-    scored = _with_best(items, keys, grams, profile.phrases, embed, vectors, "_best")
+    scored = _with_best(items, keys, grams, profile.phrases, embed, vectors, "_best", profile.table)
     return scored.withColumn("attribute_scores", _as_scores(F.col("_best"), list(profile.phrases))).drop("_best")
 
 
@@ -106,7 +131,7 @@ def name_similarity(
     profile = profile if isinstance(profile, Profile) else collect_profile(profile)
     names = {NAME_ATTRIBUTE: profile.phrases.get(NAME_ATTRIBUTE, [])}
     phrase = F.array(normalize_phrase(F.col("item")))
-    scored = _with_best(items, keys, phrase, names, embed, vectors, "_best")
+    scored = _with_best(items, keys, phrase, names, embed, vectors, "_best", profile.table)
     return scored.withColumn("name_score", _floor(F.col("_best")[0])).drop("_best")
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlwork.functions.text import normalize_phrase, word_ngrams
 from trawlwork.functions.urls import NOT_BLANK
 from trawlwork.functions.vectors import Embedding, as_matrix, embed_rows, trigram_embedding, unit_rows
-from trawlwork.plans.skew import bounded_rows
-from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES
+from trawlwork.plans.lineage import cut
+from trawlwork.plans.skew import numbered
+from trawlwork.settings import MAX_NGRAM, MAX_TARGET_PHRASES, TILE_BLOCK_ROWS
 
 # Left vectors of one comparison task when both sides are large.
 _TASK_ROWS = 20_000
@@ -38,13 +39,20 @@ def embed_phrases(phrases: DataFrame, embed: Embedding = trigram_embedding) -> D
     return embed_rows(phrases, embed)
 
 
-def pairwise_similarity(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
-    """The similarity matrix of ``left(key, embedding)`` with a small ``right(right_key, embedding)``.
+def pairwise_similarity(left: DataFrame, right: DataFrame, key: str, right_key: str, limit: int = MAX_TARGET_PHRASES) -> DataFrame:
+    """The similarity matrix of ``left(key, embedding)`` with ``right(right_key, embedding)``.
 
-    One row per left vector: ``scores`` holds its similarity to every right vector, in ``right_key`` order.
-    The right side is the set of target phrases and its size is checked.
+    One row per left vector: ``scores`` holds its similarity to every right vector, in ``right_key`` order. Up to ``limit`` right
+    vectors ride along with the tasks; more are met tile by tile (:func:`similarity_tiles`) and put together per row.
     """
-    rows = bounded_rows(right.select(right_key, "embedding").orderBy(right_key), MAX_TARGET_PHRASES, "right side")
+    rows = right.select(right_key, "embedding").limit(limit + 1).collect()
+    if len(rows) > limit:
+        own = cut(left.select(F.col(key).alias("_key"), "embedding", F.monotonically_increasing_id().alias("_row")), "left-vectors")
+        tiles = similarity_tiles(own.select("_row", "embedding"), right, "_row", right_key, limit)
+        joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("tile", "scores"))), lambda t: t["scores"]))
+        whole = tiles.groupBy("_row").agg(joined.alias("scores"))
+        return own.join(whole, "_row").select(F.col("_key").alias(key), "scores")
+    rows = right.select(right_key, "embedding").orderBy(right_key).collect()
     targets = unit_rows(as_matrix([r["embedding"] for r in rows], None))
 
     @F.pandas_udf("array<double>")
@@ -54,6 +62,69 @@ def pairwise_similarity(left: DataFrame, right: DataFrame, key: str, right_key:
     return left.select(key, score("embedding").alias("scores"))
 
 
+def _blocks_by_tiles(left: DataFrame, right: DataFrame, tile_rows: int, block_rows: int, compare, schema: str) -> DataFrame:
+    """``compare(block, tile)`` for every block of ``left`` and tile of the numbered ``right``: one task each, of bounded rows.
+
+    A left row goes to every tile once and a right row to every block; what they give is a row a pair, or its maxima.
+    """
+    tiles = max(1, -(-right.count() // tile_rows))
+    blocks = max(1, -(-left.count() // block_rows))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    lefts = left.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).withColumn("tile", every(tiles))
+    rights = right.withColumn("tile", F.floor(F.col("number") / tile_rows).cast("int")).withColumn("block", every(blocks))
+
+    def meet(some_left: pd.DataFrame, some_right: pd.DataFrame) -> pd.DataFrame:
+        return compare(some_left, some_right.sort_values("number"))
+
+    return lefts.groupBy("tile", "block").cogroup(rights.groupBy("tile", "block")).applyInPandas(meet, schema)
+
+
+def similarity_tiles(left: DataFrame, right: DataFrame, key: str, right_key: str, tile_rows: int = MAX_TARGET_PHRASES, block_rows: int = TILE_BLOCK_ROWS) -> DataFrame:
+    """``(key, tile, scores)``: the similarity matrix in pieces; tile ``t`` holds the scores of the right vectors ``t * tile_rows`` and
+    following, in ``right_key`` order. Neither side nor a row of the matrix is ever in one place."""
+    placed = cut(numbered(right.select(right_key, "embedding"), [right_key]), "numbered-right")
+    first = placed.filter("number = 0").select("embedding").first()
+    width = len(first[0]) if first and first[0] is not None else None
+    kind = left.schema[key].dataType.simpleString()
+
+    def compare(some_left: pd.DataFrame, some_right: pd.DataFrame) -> pd.DataFrame:
+        if not len(some_left) or not len(some_right):
+            return pd.DataFrame({key: [], "tile": [], "scores": []})
+        targets = unit_rows(as_matrix(some_right["embedding"].tolist(), width))
+        scores = unit_rows(as_matrix(some_left["embedding"].tolist(), targets.shape[1])) @ targets.T
+        return pd.DataFrame({key: some_left[key], "tile": some_right["tile"].iloc[0], "scores": list(scores)})
+
+    return _blocks_by_tiles(left.select(key, "embedding"), placed.select("number", "embedding"), tile_rows, block_rows, compare, f"{key} {kind}, tile int, scores array<double>")
+
+
+def best_by_group(vectors: DataFrame, targets: DataFrame, tile_rows: int = MAX_TARGET_PHRASES, block_rows: int = TILE_BLOCK_ROWS) -> DataFrame:
+    """``(phrase, best)``: for ``vectors(phrase, embedding)``, distinct by phrase, the greatest similarity to a target of every group.
+
+    ``targets(group, embedding)`` may be of any number: they are met tile by tile, and a task gives one row per phrase and group of
+    its tile. ``best`` maps groups to scores; null targets and those with nulls have no say, null vectors no row.
+    """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    placed = cut(numbered(targets.select("group", "embedding").filter(whole), ["group"]), "numbered-targets")
+    first = placed.filter("number = 0").select("embedding").first()
+    width = len(first[0]) if first else 1
+
+    def compare(some_left: pd.DataFrame, some_right: pd.DataFrame) -> pd.DataFrame:
+        if not len(some_left) or not len(some_right):
+            return pd.DataFrame({"phrase": [], "group": [], "score": []})
+        scores = unit_rows(as_matrix(some_left["embedding"].tolist(), width)) @ unit_rows(as_matrix(some_right["embedding"].tolist(), width)).T
+        groups = some_right["group"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        best = np.maximum.reduceat(scores, edges, axis=1)
+        return pd.DataFrame({"phrase": np.repeat(some_left["phrase"].to_numpy(), len(edges)), "group": np.tile(groups[edges], len(some_left)), "score": best.reshape(-1)})
+
+    pairs = _blocks_by_tiles(vectors.filter("embedding is not null").select("phrase", "embedding"), placed, tile_rows, block_rows, compare, "phrase string, group string, score double")
+    maxima = pairs.groupBy("phrase", "group").agg(F.max("score").alias("score"))
+    return maxima.groupBy("phrase").agg(F.map_from_entries(F.collect_list(F.struct("group", "score"))).alias("best"))
+
+
 def max_similarity(left: DataFrame, right: DataFrame, key: str, limit: int = MAX_TARGET_PHRASES) -> DataFrame:
     """Per left vector the highest similarity to any right vector.
 

@@ -36,10 +36,12 @@ def load_profile(
 
 @dataclass(frozen=True)
 class Profile:
-    """A profile small enough to travel with every task (its size is checked)."""
+    """Attributes with weights, and their phrases: few enough to travel with every task, or as a table."""
 
     phrases: dict[str, list[str]]
     weights: dict[str, float | None]
+    #: ``(attribute, phrase)`` of a profile with too many phrases to carry; ``phrases`` then holds the attributes only.
+    table: DataFrame | None = None
 
     @property
     def total_weight(self) -> float:
@@ -51,10 +53,20 @@ class Profile:
         return all(self.weights.get(a) is not None for a in self.phrases if a != NAME_ATTRIBUTE)
 
 
-def collect_profile(profile: DataFrame) -> Profile:
+def collect_profile(profile: DataFrame, limit: int = MAX_TARGET_PHRASES) -> Profile:
+    """A profile of up to ``limit`` phrases as it is; a larger one keeps its phrases in a table, and its attributes, which become
+    columns of scores, are ``limit`` at most."""
     phrases: dict[str, list[str]] = {}
     weights: dict[str, float | None] = {}
-    for row in bounded_rows(profile, MAX_TARGET_PHRASES, "profile"):
+    rows = profile.limit(limit + 1).collect()
+    if len(rows) > limit:
+        named = profile.groupBy("attribute").agg(F.first("weight").alias("weight"), F.max("scored").alias("scored"))
+        for row in sorted(bounded_rows(named, limit, "list of attributes"), key=lambda r: r["attribute"]):
+            weights[row["attribute"]] = row["weight"]
+            if row["scored"]:
+                phrases[row["attribute"]] = []
+        return Profile(phrases, weights, profile.filter("scored and phrase <> ''").select("attribute", "phrase").distinct())
+    for row in rows:
         weights[row["attribute"]] = row["weight"]
         if row["scored"]:
             known = phrases.setdefault(row["attribute"], [])
