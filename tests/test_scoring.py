@@ -9,7 +9,7 @@ from trawlwork.functions import vectors as V
 from trawlwork.operators import relevance as R
 from trawlwork.operators import scoring as S
 from trawlwork.operators import vectors as W
-from trawlwork.sources.profile import load_profile
+from trawlwork.sources.profile import collect_profile, load_profile
 
 PLANE = {"soup": [1, 0], "borsch": [1, 1], "beet": [0, 2], "red beet": [0, 1], "salt": [-1, 0], "zero": [0, 0], "short": [1]}
 
@@ -136,10 +136,41 @@ def test_max_similarity_edges(spark, limit):
     assert len(none) == 7 and all(r.score is None for r in none)
 
 
-def test_target_size_is_checked(spark):
-    profile = load_profile(spark, {"name": [f"p{i}" for i in range(4097)]})
-    with pytest.raises(ValueError, match="more than"):
-        S.name_similarity(items(spark, (1, "x", [])), profile, ["id"])
+def test_similarity_tiles(spark):
+    rng = np.random.default_rng(5)
+    left, right = rng.normal(size=(30, 4)), rng.normal(size=(23, 4))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    matrix = unit(left) @ unit(right).T
+    rows = lambda m, name: spark.createDataFrame([(i // 2 if name == "id" else i, r.tolist()) for i, r in enumerate(m)], f"{name} int, embedding array<double>")
+    lefts, rights = rows(left, "id"), rows(right, "r")
+    tiles = W.similarity_tiles(lefts, rights, "id", "r", tile_rows=7, block_rows=9).collect()
+    assert len(tiles) == 30 * 4 and {(t.tile, len(t.scores)) for t in tiles} == {(0, 7), (1, 7), (2, 7), (3, 2)}
+    for t in tiles:
+        own = matrix[2 * t.id : 2 * t.id + 2, 7 * t.tile : 7 * t.tile + 7]
+        assert np.abs(own - np.array(t.scores)).max(axis=1).min() < 1e-12
+    whole = W.pairwise_similarity(lefts, rights, "id", "r", limit=7).collect()  # repeated keys keep rows of their own
+    assert np.allclose(sorted(r.scores for r in whole), sorted(matrix.tolist()))
+
+
+def test_profiles_of_any_size(spark):
+    """Profiles and keyword lists too large to carry score as carried ones do, with a function and with a table of vectors."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefg"), 5))
+    wanted = {"name": [word() for _ in range(30)], "main": [word() for _ in range(40)], "side": ["beet"], "none": []}
+    some = items(spark, *[(i, word(), [f"{word()} {word()}" for _ in range(i % 4)]) for i in range(40)], (40, "", []), (41, "beet", ["beet"]))
+    profile = load_profile(spark, wanted, {"main": 2.0, "side": 1.0, "none": 0.5})
+    large = collect_profile(profile, limit=10)
+    assert large.table is not None and set(large.phrases) == set(wanted) and large.total_weight == 3.5
+    show = lambda df: {r.id: (round(r.combined_score, 9), {k: round(v, 9) for k, v in r.attribute_scores.items()}) for r in df.collect()}
+    carried = show(S.match_items(some, profile, ["id", "item"]))
+    assert len(carried) == 42 and show(S.match_items(some, large, ["id", "item"])) == carried
+    table = W.embed_phrases(W.phrase_universe(some).unionByName(profile.select("phrase").filter("phrase <> ''")).distinct())
+    assert show(S.match_items(some, large, ["id", "item"], vectors=table)) == carried
+    many = load_profile(spark, {"name": [f"p{i}" for i in range(4097)]})
+    assert S.name_similarity(items(spark, (1, "p77", [])), many, ["id"]).first().name_score == pytest.approx(1)
+    urls = spark.createDataFrame([(u,) for u in URLS], "url string")
+    few = {r.url: round(r.score, 9) for r in R.url_relevance(urls).collect()}
+    assert {r.url: round(r.score, 9) for r in R.url_relevance(urls, limit=3).collect()} == few
 
 
 URLS = ["http://h/menu", "http://h/x/y", "http://h", "http://h/zzz?menu&q", "http://h/menu"]

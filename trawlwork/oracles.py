@@ -8,6 +8,7 @@ from trawlwork.queries import (
     CHUNK_LIMIT,
     PART_PROFILE,
     SHARD_DOCS,
+    TILE_ROWS,
 )
 from trawlwork.settings import (
     PROMPT_HTML_EXTRACT,
@@ -526,6 +527,12 @@ WITH {_MEANS}
 SELECT vec_id, string_agg(printf('%.4f', list_cosine_similarity(embedding::DOUBLE[], m)), ' ' ORDER BY means.label) AS scores
 FROM embeddings, means GROUP BY vec_id"""
 
+_ORACLES["pairwise_similarity_tiles"] = f"""
+WITH numbered AS (SELECT vec_id AS right_id, embedding AS e, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
+SELECT vec_id, (n // {TILE_ROWS})::INT AS tile,
+       string_agg(printf('%.4f', list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[])), ' ' ORDER BY n) AS scores
+FROM embeddings, numbered GROUP BY vec_id, n // {TILE_ROWS}"""
+
 _ORACLES["max_similarity"] = f"""
 WITH {_MEANS}
 SELECT vec_id, round(max(list_cosine_similarity(embedding::DOUBLE[], m)), 6) AS score
@@ -609,6 +616,14 @@ _ORACLES["attribute_similarity_from_vectors"] = _ORACLES["attribute_similarity"]
 _ORACLES["name_similarity"] = f"""
 WITH {_attribute_scores()} SELECT p_partkey, round(score, 6) AS name_score FROM names"""
 
+_LARGE = _attribute_scores().replace(
+    _ITEMS, "items AS (SELECT s_suppkey AS p_partkey, lower(s_name) AS item, ['promo', lower(s_name)] AS ingredients FROM supplier)"
+).replace(_PROFILE, "profile AS (SELECT 'name' AS attribute, lower(p_name) AS phrase FROM part UNION SELECT 'kind', lower(p_type) FROM part)")
+_ORACLES["match_items_large_profile"] = f"""
+WITH {_LARGE}
+SELECT n.p_partkey AS s_suppkey, round(n.score, 6) AS name_score, round(k.score, 6) AS kind_score, round(i.score, 6) AS name_on_ingredients
+FROM names n JOIN scores k ON k.p_partkey = n.p_partkey AND k.attribute = 'kind' JOIN scores i ON i.p_partkey = n.p_partkey AND i.attribute = 'name'"""
+
 _ORACLES["threshold_gate"] = f"""
 WITH {_attribute_scores()}
 SELECT p_partkey, any_value(len(ingredients)) > 0 AND count(*) FILTER (score >= 0.9) = 0 AS gated,

@@ -22,7 +22,7 @@ from trawlwork.plans.rank import rank_establishments
 from trawlwork.plans.run import ITEMS, Run, RunCaches, StoredCrawl, run_establishments
 from trawlwork.sources import tables as T
 from trawlwork.sources import trees
-from trawlwork.sources.profile import load_profile
+from trawlwork.sources.profile import collect_profile, load_profile
 from trawlwork.streaming import streams
 
 # Parameters shared with the SQL in oracles.py.
@@ -36,6 +36,7 @@ CENTER = (29.76, -95.37)
 CACHE_SPLIT = "2024-01-15"
 CHUNK_LIMIT = 128
 SHARD_DOCS = 250
+TILE_ROWS = 128
 AGENT = "trawler/1.0"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -730,6 +731,27 @@ def pairwise_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.select("vec_id", F.array_join(shown, " ").alias("scores"))
 
 
+@query
+def pairwise_similarity_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors with all vectors, in tiles."""
+    vectors = _table(spark, sf, "embeddings")
+    tiles = W.similarity_tiles(vectors, vectors.withColumnRenamed("vec_id", "right_id"), "vec_id", "right_id", TILE_ROWS)
+    shown = F.transform("scores", lambda s: F.format_string("%.4f", s))
+    return tiles.select("vec_id", "tile", F.array_join(shown, " ").alias("scores"))
+
+
+@query
+def match_items_large_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names and types against a profile of all part names, met tile by tile."""
+    names = _table(spark, sf, "part").select(F.lit("name").alias("attribute"), F.lower("p_name").alias("phrase"), F.lit(None).cast("double").alias("weight"), F.lit(True).alias("scored"))
+    kinds = _table(spark, sf, "part").select(F.lit("kind").alias("attribute"), F.lower("p_type").alias("phrase"), F.lit(1.0).alias("weight"), F.lit(True).alias("scored"))
+    profile = collect_profile(names.unionByName(kinds), limit=64)
+    items = _table(spark, sf, "supplier").select("s_suppkey", F.lower("s_name").alias("item"), F.array(F.lit("promo"), F.lower("s_name")).alias("ingredients"))
+    scored = S.name_similarity(S.attribute_similarity(items, profile, ["s_suppkey"]), profile, ["s_suppkey"])
+    attribute = F.map_from_entries("attribute_scores")
+    return scored.select("s_suppkey", F.round("name_score", 6).alias("name_score"), F.round(attribute["kind"], 6).alias("kind_score"), F.round(attribute["name"], 6).alias("name_on_ingredients"))
+
+
 @query
 def max_similarity(spark: SparkSession, sf: str) -> DataFrame:
     best = W.max_similarity(_table(spark, sf, "embeddings"), _label_means(spark, sf), "vec_id")
