@@ -810,6 +810,12 @@ FROM first"""
 
 _ORACLES["stream_visited_dedup"] = "SELECT DISTINCT user_id FROM events"
 
+_ORACLES["stream_visited_by_crawl"] = """
+WITH numbered AS (
+  SELECT user_id, event_type, ts, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts) AS ended FROM events)
+SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS admitted_at
+FROM numbered WHERE event_type <> 'purchase' GROUP BY user_id, event_type, ended"""
+
 _ORACLES["stream_cache_upsert"] = """
 SELECT md5(CAST(user_id AS VARCHAR)) AS key_hash, CAST(user_id AS VARCHAR) AS key,
        arg_max(value, (ts, event_id)) AS value

@@ -1048,6 +1048,24 @@ def stream_visited_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("user_id bigint").parquet(f"{path}/out")
 
 
+@query
+def stream_visited_by_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as crawls that end with every purchase: each kind of event once between two ends."""
+    events = _event_stream(spark, sf).withColumn("ends", F.col("event_type") == "purchase")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        admitted = streams.stream_visited_by_crawl(events, "user_id", "event_type", "ts", "ends", shares=2)
+        path = scratch_path(spark, "stream-crawls")
+        streams.write_stream(admitted, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    out = spark.read.schema("crawl bigint, url string, ts timestamp").parquet(f"{path}/out")
+    shown = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return out.select(F.col("crawl").alias("user_id"), F.col("url").alias("event_type"), shown.alias("admitted_at"))
+
+
 @query
 def stream_cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The last value per user, kept by a stream in a table that has the first half of the events already."""
