@@ -107,6 +107,9 @@ def contaminated_pairs(documents: DataFrame, items: DataFrame, size: int = 5, th
 
 
 def clean_documents(documents: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that hold no item, with all their columns. Rows without an id stay."""
+    """The documents that hold no item, with all their columns. Rows without an id stay, and so do null and blank texts.
+
+    Rows that share an id go together. Texts of any length are searched whole; without items all stay.
+    """
     hits = cut(contaminated_pairs(documents, items, size, threshold).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
     return documents.join(hits, documents["doc_id"].cast("long") == hits["_hit"], "left_anti")

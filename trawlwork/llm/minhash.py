@@ -337,7 +337,8 @@ def _family_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns.
 
-    Rows without an id stay. Rows that share a kept id stay together.
+    Rows without an id stay, and so do texts that are null or without words. Rows that share a kept id stay together. No rows
+    give no rows; a text of any length is compared whole.
     """
     found = cut(near_duplicates(documents, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return documents.join(found, documents["doc_id"].cast("long") == found["_gone"], "left_anti")

@@ -308,7 +308,10 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
 
 
 def drop_toxic(documents: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns; learned from ``labelled`` documents."""
+    """The documents that score below the threshold, with all their columns; learned from ``labelled`` documents.
+
+    Nulls, empty texts, repeated rows and missing labels count as in :func:`toxicity_scores`; no rows give no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(train_toxicity(labelled, labels))
     at = documents.columns.index("text")
 
