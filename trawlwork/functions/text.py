@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,68 +120,6 @@ def html_to_text(html: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
-class _TextNodes(HTMLParser):
-    """Collects stripped text nodes; the slow, tolerant alternative to :func:`html_to_text`."""
-
-    HIDDEN = {"script", "style", "template"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
-        self.buffer: list[str] = []
-        self.hidden = 0
-
-    def _flush(self) -> None:
-        text = "".join(self.buffer).strip()
-        self.buffer.clear()
-        if text and not self.hidden:
-            self.nodes.append(text)
-
-    def handle_starttag(self, tag, attrs):
-        self._flush()
-        self.hidden += tag in self.HIDDEN
-
-    def handle_startendtag(self, tag, attrs):
-        self._flush()
-
-    def handle_endtag(self, tag):
-        self._flush()
-        if tag in self.HIDDEN and self.hidden:
-            self.hidden -= 1
-
-    def handle_comment(self, data):
-        self._flush()
-
-    def handle_decl(self, decl):
-        self._flush()
-
-    def handle_pi(self, data):
-        self._flush()
-
-    def handle_data(self, data):
-        self.buffer.append(data)
-
-
-def _parse_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _TextNodes()
-    parser.feed(html)
-    parser.close()
-    parser._flush()
-    return " ".join(parser.nodes)
-
-
-def html_to_text_tolerant(html: Column) -> Column:
-    """Same result through a markup parser, for badly broken pages (Arrow batches)."""
-
-    @F.pandas_udf("string")
-    def parse(batch: pd.Series) -> pd.Series:
-        return batch.map(_parse_text)
-
-    return parse(html)
-
-
 def anchor_attributes(html: Column) -> Column:
     """Attribute text of every ``<a>`` tag outside comments, scripts and styles, in page order."""
     visible = F.regexp_replace(html, f"(?i)<(?:{_DEAD})", " ")

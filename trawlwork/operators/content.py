@@ -123,6 +123,17 @@ def token_budget_batches(
     entries = cut(sized.withColumn("row", F.monotonically_increasing_id()), "packing-entries")
     parts = max(1, -(-entries.count() // part_rows))
     order = ["shard", key, "chunk_no", "row"]
+    key_type = texts.schema[key].dataType.simpleString()
+    schema = f"shard bigint, batch_no bigint, {key} {key_type}, chunk_no int"
+
+    def packed_range(group: pd.DataFrame, fill: int, opened: int) -> pd.DataFrame:
+        group = group.sort_values(order, na_position="first")
+        numbers = pack_range(group["n"].to_numpy(), group["shard"].to_numpy(), limit, fill, opened)
+        return group.assign(batch_no=numbers)[["shard", "batch_no", key, "chunk_no"]]
+
+    if parts == 1:
+        whole = entries.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda group: packed_range(group, limit + 1, 0), schema)
+        return whole.withColumn("shard", F.nullif("shard", F.lit(_NO_SHARD)))
     placed = cut(entries.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "packing-ranges")
     steps = placed.groupBy("part").applyInPandas(
         lambda group: range_steps(group.sort_values(order, na_position="first"), limit),
@@ -144,13 +155,9 @@ def token_budget_batches(
     starts = cut(steps.repartition(1).sortWithinPartitions("part", "least").mapInArrow(chain, "part int, fill bigint, opened bigint"), "packing-starts")
 
     def pack(group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, na_position="first")
-        fill, opened = (int(start[c].iloc[0]) for c in ("fill", "opened"))
-        numbers = pack_range(group["n"].to_numpy(), group["shard"].to_numpy(), limit, fill, opened)
-        return group.assign(batch_no=numbers)[["shard", "batch_no", key, "chunk_no"]]
+        return packed_range(group, *(int(start[c].iloc[0]) for c in ("fill", "opened")))
 
-    key_type = texts.schema[key].dataType.simpleString()
-    packed = placed.groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(pack, f"shard bigint, batch_no bigint, {key} {key_type}, chunk_no int")
+    packed = placed.groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(pack, schema)
     return packed.withColumn("shard", F.nullif("shard", F.lit(_NO_SHARD)))
 
 

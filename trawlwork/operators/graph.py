@@ -62,10 +62,14 @@ class LinkStore:
         # Most pages lie in one share; those that do not are counted here, however many they are.
         counts = links.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share_links)
         self.shares = cut(counts.select("url", F.ceil(F.col("n") / share_links).cast("int").alias("shares")), "link-shares")
+        self.divided = not self.shares.isEmpty()
         self.targets = None if targets is None else targets.select("url", "final_url", "expands")
         aimed = self.aimed(links, "link")
-        split = lookup_join(cut(aimed, "aimed-links"), self.shares.withColumnRenamed("shares", "_shares"), ["url"])
-        share = F.pmod(F.xxhash64("link"), F.coalesce("_shares", F.lit(1))).cast("int")
+        if self.divided:
+            split = lookup_join(cut(aimed, "aimed-links"), self.shares.withColumnRenamed("shares", "_shares"), ["url"])
+            share = F.pmod(F.xxhash64("link"), F.coalesce("_shares", F.lit(1))).cast("int")
+        else:
+            split, share = aimed, F.lit(0)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"crawl_links_{uuid.uuid4().hex}"
         rows = split.withColumn("share", share).drop("_shares")
@@ -84,6 +88,8 @@ class LinkStore:
             found = lookup_join(cut(rows, "links-to-aim"), self.targets.withColumnRenamed("url", column), [column])
             known = found.withColumn("next", F.when(F.col("expands"), F.col("final_url"))).drop("expands")
             known = known.withColumn("final_url", F.coalesce("final_url", F.col(column)))
+        if not self.divided:
+            return known.withColumn("next_shares", F.lit(1))
         shares = self.shares.select(F.col("url").alias("next"), F.col("shares").alias("next_shares"))
         joined = lookup_join(cut(known, "links-with-targets"), shares, ["next"])
         return joined.withColumn("next_shares", F.coalesce("next_shares", F.lit(1)))
@@ -95,10 +101,12 @@ class LinkStore:
         side too: their links, and no others, are copied to as many tasks as their rows need.
         """
         parents = frontier.filter(F.col("next").isNotNull()).select("root", F.col("next").alias("url"), F.col("path").alias("_path"), "next_shares")
-        counts = parents.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
-        hot = cut(counts.select("url", F.ceil(F.col("n") / hot_rows).cast("int").alias("_splits")), "hot-pages")
         spread = parents.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("next_shares") - 1))).drop("next_shares")
         keys = ["url", "share"]
+        if frontier.count() < hot_rows:  # then no page is that often there
+            return _candidates(spread.join(self.links, keys))
+        counts = parents.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+        hot = cut(counts.select("url", F.ceil(F.col("n") / hot_rows).cast("int").alias("_splits")), "hot-pages")
         if hot.isEmpty():
             return _candidates(spread.join(self.links, keys))
         few = bounded_broadcast(hot)
