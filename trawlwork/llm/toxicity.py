@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -166,6 +166,20 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(fit[0]), 0.0) / spread, float(fit[1])
 
 
+class _Known(dict):
+    """Values of words, worked out when they are first asked for; long words are not kept."""
+
+    def __init__(self, value: Callable[[str], float]):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, word: str) -> float:
+        value = self.value(word)
+        if len(word) <= LONG_WORD:
+            self[word] = value
+        return value
+
+
 class SubwordModel:
     """Trained in numpy; afterwards a word's weight is the mean over its subwords of what the softmax makes of their vectors."""
 
@@ -254,18 +268,12 @@ class SubwordModel:
 
     def margins(self):
         """A function from a text to its log odds; it remembers the words it has met."""
-        known: dict[str, float] = {}
+        known = _Known(self.word)
 
         def margin(text: str | None) -> float:
             words = words_of(text or "")
             if len(known) > REMEMBERED:
                 known.clear()
-            own = {}
-            for w in set(words):
-                if w not in known:
-                    (known if len(w) <= LONG_WORD else own)[w] = self.word(w)
-            if own:
-                return sum(known[w] if w in known else own[w] for w in words) / len(words) + self.bias
             return (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) + self.bias
 
         return margin
