@@ -133,6 +133,8 @@ class Sample:
         self.piece = np.frombuffer(pieces, dtype=np.int32) if len(pieces) else np.zeros(0, dtype=np.int32)
         self.piece_count = np.array(counts, dtype=np.int64)
         self.piece_start = np.cumsum(self.piece_count) - self.piece_count
+        self.doc = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(self.edges))
+        self.piece_word = np.repeat(np.arange(len(counts), dtype=np.int32), self.piece_count)
 
     def holding(self, docs: np.ndarray) -> np.ndarray:
         """How many of these texts hold each subword."""
@@ -209,19 +211,27 @@ class SubwordModel:
         used = shrunk >= LEAST
         shrunk = np.where(used, shrunk, 0)[:, None]
         # Words of these texts with a subword that counts, numbered anew; the mean is over all subwords of a word.
-        counts = np.diff(sample.edges)[docs]
-        word, share = (x[_ranges(sample.edges[docs], counts)] for x in (sample.word, sample.share))
-        kept = _sums(used[None, :], sample.piece, np.r_[sample.piece_start, len(sample.piece)])[0] > 0
-        here = np.unique(word[kept[word]])
-        piece = sample.piece[_ranges(sample.piece_start[here], sample.piece_count[here])]
-        of_piece = np.repeat(np.arange(len(here)), sample.piece_count[here])
+        found = np.flatnonzero(used[sample.piece])
+        piece, owner = sample.piece[found], sample.piece_word[found]
+        number = np.full(len(sample.label), -1, dtype=np.int32)
+        number[docs] = np.arange(len(docs), dtype=np.int32)
+        kept = np.zeros(len(sample.piece_count), dtype=bool)
+        kept[owner] = True
+        entry = np.flatnonzero((number[sample.doc] >= 0) & kept[sample.word])
+        word, share, doc = sample.word[entry], sample.share[entry], number[sample.doc[entry]]
+        here = np.unique(word)
+        renamed = np.full(len(kept), -1, dtype=np.int32)
+        renamed[here] = np.arange(len(here), dtype=np.int32)
+        of_piece = renamed[owner]
+        piece, of_piece, word = piece[of_piece >= 0], of_piece[of_piece >= 0], renamed[word]
         per_word = 1 / sample.piece_count[here]
-        piece, of_piece = piece[used[piece]], of_piece[used[piece]]
         piece_edges = np.searchsorted(of_piece, np.arange(len(here) + 1))
-        doc = np.repeat(np.arange(len(docs)), counts)[kept[word]]
-        word, share = np.searchsorted(here, word[kept[word]]), share[kept[word]]
-        filled, doc = np.unique(doc, return_inverse=True)  # the other texts have no such word: their mean is zero
+        filled = np.unique(doc)  # the other texts have no such word: their mean is zero
+        renamed = np.zeros(len(docs), dtype=np.int32)
+        renamed[filled] = np.arange(len(filled), dtype=np.int32)
+        doc = renamed[doc]
         edges = np.searchsorted(doc, np.arange(len(filled) + 1))
+        del found, owner, entry
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())) / len(target)
         vectors, shrunk = vectors.T.copy(), shrunk.T
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, output, bias)]
