@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 from trawlwork.operators import graph as G
+from trawlwork.plans.skew import bounded_broadcast, lookup_join
 
 BASE = "http://h"
 
@@ -179,3 +180,19 @@ def test_one_step_orders_discoverers(spark):
     got = {r.url: (r.parent_url, r.admitted) for r in G.frontier_step(candidates, visited, 2).collect()}
     assert got == {"n": ("p1", True), "http://a/a": ("p1", False)}  # the host counts as a segment
     assert G.frontier_step(candidates, visited, 4).count() == 0
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """However small its files are, a table that grows with the crawl never goes through the driver."""
+    rows = [("t", f"u{i}", "p", i, [i]) for i in range(9)]
+    candidates = spark.createDataFrame(rows, "root string, url string, parent_url string, position int, path array<int>")
+    known = candidates.select("root", "url").filter("position < 4")
+    frames = {
+        "step": G.frontier_step(candidates, known, 1),
+        "lookup": lookup_join(candidates, known.select("url"), ["url"], "inner"),
+        "bound": candidates.join(bounded_broadcast(known.select("url"), rows=2), "url"),
+        "reached": G.reachable_nodes(tree(spark)),
+    }
+    for name, frame in frames.items():
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
+    assert {name: frame.count() for name, frame in frames.items()} == {"step": 5, "lookup": 4, "bound": 4, "reached": 3}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trawlwork.functions.urls import canonical_url, content_route, crawl_key_url, path_has_repeat
 from trawlwork.plans.lineage import cut, scratch_path
-from trawlwork.plans.skew import bounded_broadcast, lookup_join
+from trawlwork.plans.skew import bounded_broadcast, lookup_join, sorted_join
 from trawlwork.settings import DEPTH_LIMIT, HOT_KEY_ROWS, SHARE_LINKS
 
 
@@ -31,10 +31,12 @@ def frontier_step(candidates: DataFrame, visited: DataFrame, depth: int, depth_l
     more = [c for c in candidates.columns if c not in known]
     if depth > depth_limit:
         candidates = candidates.limit(0)
-    first = candidates.groupBy("root", "url").agg(
+    # URLs begin alike: behind a hash of both keys a sort hardly ever compares them.
+    both = F.xxhash64("root", "url").alias("_hash")
+    first = candidates.groupBy(both, "root", "url").agg(
         F.min(F.struct("path", "parent_url", "position", *more)).alias("found")
     )
-    fresh = first.join(visited.select("root", "url"), ["root", "url"], "left_anti")
+    fresh = sorted_join(first, visited.select(both, "root", "url"), ["_hash", "root", "url"], "left_anti")
     return fresh.select(
         "root",
         "url",
@@ -104,16 +106,16 @@ class LinkStore:
         spread = parents.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("next_shares") - 1))).drop("next_shares")
         keys = ["url", "share"]
         if frontier.count() < hot_rows:  # then no page is that often there
-            return _candidates(spread.join(self.links, keys))
+            return _candidates(sorted_join(spread, self.links, keys))
         counts = parents.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
         hot = cut(counts.select("url", F.ceil(F.col("n") / hot_rows).cast("int").alias("_splits")), "hot-pages")
         if hot.isEmpty():
-            return _candidates(spread.join(self.links, keys))
+            return _candidates(sorted_join(spread, self.links, keys))
         few = bounded_broadcast(hot)
-        usual = _candidates(spread.join(few, "url", "left_anti").join(self.links, keys))
+        usual = _candidates(sorted_join(spread.join(few, "url", "left_anti"), self.links, keys))
         rows = spread.join(few, "url").withColumn("_split", F.pmod(F.xxhash64("root"), "_splits").cast("int")).drop("_splits")
         copies = self.links.join(few, "url").withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
-        return usual.unionByName(_candidates(rows.join(copies, [*keys, "_split"])))
+        return usual.unionByName(_candidates(sorted_join(rows, copies, [*keys, "_split"])))
 
     def drop(self) -> None:
         """Forget the table's name; its files go with the run's folder."""
@@ -236,13 +238,9 @@ def reachable_nodes(nodes: DataFrame, tree: str = "root") -> DataFrame:
     ``nodes(tree, path, has_content, ...)``.
     """
     missing = nodes.filter(~F.col("has_content")).select(tree, F.col("path").alias("_prefix")).distinct()
-    lost = (
-        nodes.select(tree, "path", F.explode(_prefixes(F.col("path"))).alias("_prefix"))
-        .join(missing, [tree, "_prefix"], "left_semi")
-        .select(tree, "path")
-        .distinct()
-    )
-    return nodes.join(lost, [tree, "path"], "left_anti")
+    above = nodes.select(tree, "path", F.explode(_prefixes(F.col("path"))).alias("_prefix"))
+    lost = sorted_join(above, missing, [tree, "_prefix"], "left_semi").select(tree, "path").distinct()
+    return sorted_join(nodes, lost, [tree, "path"], "left_anti")
 
 
 def book_entries(nodes: DataFrame, tree: str = "root", every_node: bool = False) -> DataFrame:

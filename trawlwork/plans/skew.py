@@ -24,19 +24,28 @@ def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_KEY_ROWS) -> Data
     )
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow: by sorting, never by broadcast.
+
+    The planner sees a written table as large as its compressed files, which for URLs is a small part of what their rows take on
+    the driver, so left alone it would broadcast millions of rows.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
     """Join many rows to a table that is unique by ``on``.
 
-    The keys of ``left`` are counted first. Without hot keys this is a plain join. Rows of hot keys meet
+    The keys of ``left`` are counted first. Without hot keys this is a :func:`sorted_join`. Rows of hot keys meet
     their partners by broadcast and are not shuffled: at most ``MAX_HOT_KEYS`` partners of at most
     ``MAX_HOT_PARTNER_BYTES`` each. Hot keys with a wider partner join like all other rows, where adaptive
     execution splits them. ``left`` is read twice more: cut a costly one first.
     """
     hot = cut(hot_keys(left, on, min_rows), "hot-keys")
     if hot.isEmpty():
-        return left.join(right, on, how)
+        return sorted_join(left, right, on, how)
     values = [c for c in right.columns if c not in on]
     width = F.octet_length(F.to_json(F.struct(*on, *values)))
     partners = cut(right.join(F.broadcast(hot), on, "left_semi").withColumn("_width", width), "hot-partners")
@@ -45,7 +54,7 @@ def lookup_join(
     narrow = partners.filter(F.col("_width") <= MAX_HOT_PARTNER_BYTES).drop("_width")
     flagged = left.join(F.broadcast(hot), on, "left")
     busy = flagged.filter(F.col("_hot")).drop("_hot").join(F.broadcast(narrow), on, how)
-    usual = flagged.filter(F.col("_hot").isNull()).drop("_hot").join(right, on, how)
+    usual = sorted_join(flagged.filter(F.col("_hot").isNull()).drop("_hot"), right, on, how)
     return usual.unionByName(busy)
 
 
@@ -62,7 +71,7 @@ def numbered(df: DataFrame, order: list[str], column: str = "number") -> DataFra
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if its counted rows are within the bound; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
