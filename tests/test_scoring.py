@@ -152,6 +152,15 @@ def test_similarity_tiles(spark):
     assert np.allclose(sorted(r.scores for r in whole), sorted(matrix.tolist()))
 
 
+def test_tiles_copy_no_vectors_in_shuffles(spark):
+    """Every block meets every tile in a cross join; the vectors are shuffled once, not once a tile."""
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "id int, embedding array<double>")
+    tiles = W.similarity_tiles(rows, rows.withColumnRenamed("id", "r"), "id", "r", tile_rows=3, block_rows=5)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroups" not in plan
+    assert tiles.count() == 40 * 14
+
+
 def test_profiles_of_any_size(spark):
     """Profiles and keyword lists too large to carry score as carried ones do, with a function and with a table of vectors."""
     rng = np.random.default_rng(2)
