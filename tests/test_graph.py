@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+from trawlwork import queries as Q
 from trawlwork.operators import graph as G
 from trawlwork.plans.skew import bounded_broadcast, lookup_join
 
@@ -196,3 +197,10 @@ def test_growing_sides_are_not_broadcast(spark):
     for name, frame in frames.items():
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
     assert {name: frame.count() for name, frame in frames.items()} == {"step": 5, "lookup": 4, "bound": 4, "reached": 3}
+
+
+def test_links_of_one_small_file_are_made_in_all_tasks(spark, tmp_path):
+    part = spark.createDataFrame([(k, 30) for k in range(200)], "p_partkey long, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    links = Q._part_links(spark, str(tmp_path))
+    assert links.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and links.count() == 1000

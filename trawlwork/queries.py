@@ -57,6 +57,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """The table dealt over all tasks by its key: of narrow rows, millions lie in one small file, and each makes long ones."""
+    return _table(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # ---- derived inputs -------------------------------------------------------------------------------
 
 
@@ -148,7 +153,8 @@ def _part_links(spark: SparkSession, sf: str) -> DataFrame:
     targets = F.array(
         _shop(k * 3 + 1), _shop(k * 3 + 2), _shop(k * 3 + 3), _shop(F.floor(k / 2)), F.concat(_shop(k), F.lit("/p"))
     )
-    return _table(spark, sf, "part").select(_shop(k).alias("url"), F.posexplode(targets).alias("position", "link"))
+    part = _spread(spark, sf, "part", "p_partkey")
+    return part.select(_shop(k).alias("url"), F.posexplode(targets).alias("position", "link"))
 
 
 def _part_roots(spark: SparkSession, sf: str) -> DataFrame:
