@@ -952,7 +952,7 @@ def _menu_url(key: Column, section: str = "menu") -> Column:
 @query
 def rank_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run over sites of suppliers: part pages link to part pages, responses name their items."""
-    part = _table(spark, sf, "part")
+    part = _spread(spark, sf, "part", "p_partkey")
     k = F.col("p_partkey")
     html = F.concat(
         F.lit("<html><body><h1>"), F.col("p_name"), F.lit("</h1><a href='/menu/item-"), (k * 3 + 1).cast("string"),
@@ -964,7 +964,7 @@ def rank_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
     # Pages of one size have no response at all: they fail, and nothing below them is reached.
     answered = part.filter(F.col("p_size") != 13)
     responses = answered.select(_menu_url(k).alias("url"), F.posexplode(F.array(F.lit("none"), answer)).alias("n", "text"))
-    supplier = _table(spark, sf, "supplier")
+    supplier = _spread(spark, sf, "supplier", "s_suppkey")
     sites = supplier.select(
         F.concat(F.lit("https://maps.example/?cid="), F.col("s_suppkey").cast("string")).alias("google_url"),
         F.concat(_menu_url(F.col("s_suppkey")), F.lit("/?utm=maps")).alias("establishment_url"),
@@ -978,7 +978,7 @@ def rank_establishments_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run(spark: SparkSession, sf: str) -> Run:
     """Suppliers as places, parts as pages: some PDFs, some redirects (two to one, cycles, roots), a robots rule, failures."""
-    part, supplier = _table(spark, sf, "part"), _table(spark, sf, "supplier")
+    part, supplier = _spread(spark, sf, "part", "p_partkey"), _spread(spark, sf, "supplier", "s_suppkey")
     k, s = F.col("p_partkey"), F.col("s_suppkey")
     google = F.concat(F.lit("https://maps.example/?cid="), s.cast("string"))
     listing = F.when(
