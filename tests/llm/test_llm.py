@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,40 @@ def test_lm_scores_of_every_word(spark, monkeypatch):
     assert found[0.0] == found[1 / 300] == found[2.0]
 
 
+def test_lm_bigrams_are_not_stored(spark, monkeypatch):
+    """Tables are written for words only; scores do not depend on the number of buckets; a long text is taken alone."""
+    rng = np.random.default_rng(4)
+    rows = [(d, " ".join(f"w{w}" for w in rng.integers(0, 400, 2000))) for d in range(20)]
+    docs = documents(spark, rows)
+    written, found = [], []
+    cut = lm_scoring.cut
+    monkeypatch.setattr(lm_scoring, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    for size in (1 << 30, 1000):
+        monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", size)
+        for hot in (1 / 500_000, 1 / 400):
+            monkeypatch.setattr(lm_scoring, "HOT_SHARE", hot)
+            models = lm_scoring.train_models(docs, F.col("doc_id") < 10)
+            out = lm_scoring.cross_entropy_difference(docs, models).collect()
+            found.append(Counter(map(tuple, out)))
+            assert models.total == 40_000 and len(out) == len(rows)
+        foreign = lm_scoring.cross_entropy_difference(docs.select("*"), models).collect()
+        assert Counter(map(tuple, foreign)) == found[0]
+    assert found[0] == found[1] == found[2] == found[3]
+    assert all(t.count() <= 401 for t in written)
+
+
+def test_lm_orders():
+    values = np.random.default_rng(5).integers(0, 50, 1000)
+    for size in (50, 1 << 62):
+        assert (lm_scoring._order(values, size) == np.argsort(values, kind="stable")).all()
+    counts = np.array([[1, 0], [127, 128], [1 << 40, 2]])
+    lists = lm_scoring._packed(np.array([0, 1, 3]), counts)
+    assert lists["large"].to_pylist() == [[], [128, 1 << 40]]
+    assert (lm_scoring._unpacked(pa.table(lists), 2) == counts).all()
+    for word in (np.array([], dtype=np.int64), np.array([0, 255, 256, 70_000, 1 << 24])):
+        assert (lm_scoring._unpack(lm_scoring._pack(word), len(word)) == word).all()
+
+
 def labelled(seed=9, n=300):
     rng = np.random.default_rng(seed)
     rows, labels = [], []

@@ -2,9 +2,10 @@
 
 Both models are word bigrams over one vocabulary, counted over all documents and over the target documents, with the same
 smoothing; background counts are scaled to the target's number of words, so that both models trust their counts alike.
-Every word and every bigram of the corpus has its counts, in written tables that grow with it. Documents meet them by a join
-over their distinct bigrams; the most frequent bigrams (a share of all words bounds how many there can be) are looked up in
-the tasks instead, so that the join has no hot keys.
+Every word and every bigram of the corpus has its counts. Those of words are a written table. Those of bigrams, of which most
+occur once, are not stored: chunks of texts send the distinct bigrams they hold, and how often, to buckets by hash; there
+the chunks' counts are added up and go back to each chunk in the order it sent them. A bigram has one entry per chunk, so no
+bucket has hot keys.
 """
 
 from __future__ import annotations
@@ -15,22 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlwork.llm.common import broadcast_if_small, training_fold
+from trawlwork.llm.common import broadcast_if_small, release, training_fold
+from trawlwork.llm.hashing import mix
 from trawlwork.plans.lineage import cut
-from trawlwork.plans.skew import lookup_join
 
 #: Weight of the backed-off unigram model, in words.
 BACKOFF = 50.0
-#: Bigrams with at least this share of all words are looked up in the tasks: 500,000 rows at most. All others are joined.
+#: Counts of words with at least this share of all words are looked up in the tasks: 500,000 at most. All others come by bucket.
 HOT_SHARE = 1 / 500_000
 #: Losses are summed in whole units of this many to a nat, so that the order of the sum never matters.
 UNITS = 1e9
 #: Words whose numbers a Python worker remembers, and words that it works on at a time (a longer text is taken alone).
 REMEMBERED = 300_000
 CHUNK_WORDS = 500_000
+#: Bytes of text whose bigrams meet in one bucket.
+BUCKET_BYTES = 4 << 20
 
 
 def word_shape(word: str) -> str:
@@ -55,22 +59,24 @@ class WordKeys:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.keys = [0]
+        self.digests = [bytes(8)]
+
+    def keys(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.digests), dtype="<i8")
 
     def ids(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         known = self.known
-        for w in set(words):
-            if w not in known:
-                name = w if self.words is None or w in self.words else word_shape(w)
-                known[w] = len(self.keys)
-                self.keys.append(int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-        return np.array([known[w] for w in words], dtype=np.int64)
+        for w in set(words).difference(known):
+            name = w if self.words is None or w in self.words else word_shape(w)
+            known[w] = len(self.digests)
+            self.digests.append(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _distinct_pairs(batches: Iterator[pa.RecordBatch], words: list[str] | None):
-    """``(rows, lengths, before, word, place)`` of consecutive rows with a ``text``: their words, the keys of their distinct
-    bigrams, and for every word the number of the bigram it ends."""
+def _chunks(batches: Iterator[pa.RecordBatch], words: list[str] | None):
+    """``(rows, lengths, word, keys)`` of consecutive rows with a ``text``: their words as numbers, and the key of each
+    number; 0 stands before the first word, the others go by falling frequency."""
     own = WordKeys(words)
     for batch in batches:
         first, held, parts = 0, 0, []
@@ -81,18 +87,53 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch], words: list[str] | None):
             if held < CHUNK_WORDS and i + 1 < len(texts):
                 continue
             lengths, word = np.array([len(x) for x in parts], dtype=np.int64), np.concatenate(parts)
-            before = np.r_[0, word[:-1]] if len(word) else word
-            starts = np.cumsum(lengths) - lengths
-            before[starts[lengths > 0]] = 0
-            keys = np.array(own.keys, dtype=np.int64)
-            # Equal keys are one bigram, also where a shape stands for several words.
-            codes, place = np.unique(before * len(keys) + word, return_inverse=True)
-            yield batch.slice(first, i + 1 - first), lengths, keys[codes // len(keys)], keys[codes % len(keys)], place
+            keys = own.keys()
+            counts = np.bincount(word, minlength=len(keys))
+            counts[0] = len(word) + 1
+            used = np.flatnonzero(counts)
+            used = used[np.argsort(-counts[used], kind="stable")]
+            number = np.empty(len(keys), dtype=np.int64)
+            number[used] = np.arange(len(used))
+            yield batch.slice(first, i + 1 - first), lengths, number[word], keys[used]
             first, held, parts = i + 1, 0, []
             if len(own.known) > REMEMBERED:
                 own.forget()
 
 
+def _before(lengths: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The number before every word."""
+    before = np.zeros(len(word), dtype=np.int64)
+    before[1:] = word[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    return before
+
+
+def _order(values: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of whole numbers below ``size``; sorting them with their places in one number is much faster."""
+    bits = len(values).bit_length()
+    if size << bits >= 1 << 63:
+        return np.argsort(values, kind="stable")
+    return np.sort((values << bits) | np.arange(len(values))) & ((1 << bits) - 1)
+
+
+def _bigrams(lengths: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(before, word, place)``: the distinct bigrams in their order, and for every word the number of the bigram it ends."""
+    codes = _before(lengths, word) * size + word
+    order = _order(codes, size * size)
+    codes = codes[order]
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = codes[1:] != codes[:-1]
+    place = np.empty(len(codes), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    codes = codes[new]
+    return codes // size, codes % size, place
+
+
+def _flags(column: pa.Array, lengths: np.ndarray) -> np.ndarray:
+    """A boolean column of the rows, for each of their words."""
+    return np.repeat(column.to_numpy(zero_copy_only=False).astype(bool), lengths)
+
+
 def _word_counts(rows: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, counted in the tasks before the shuffle."""
 
@@ -107,87 +148,203 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigram_counts(rows: DataFrame, words: list[str] | None) -> DataFrame:
-    """``(before, word, n, n_target)`` over all texts, counted in the tasks before the shuffle."""
+def _unit_counts(rows: DataFrame, words: list[str] | None) -> DataFrame:
+    """``(key, n, n_target, ahead, ahead_target)`` over all texts: counts as word and as what stands before a word."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
+    names = ["key", "n", "n_target", "ahead", "ahead_target"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, lengths, before, word, place in _distinct_pairs(batches, shared.value):
-            chosen = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
-            n, hit = np.bincount(place, minlength=len(word)), np.bincount(place, chosen, len(word))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (before, word, n, hit)], names=["before", "word", "n", "n_target"])
+        for part, lengths, word, keys in _chunks(batches, shared.value):
+            before, chosen = _before(lengths, word), _flags(part.column(1), lengths)
+            found = [np.bincount(x, minlength=len(keys)) for x in (word, word[chosen], before, before[chosen])]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, *found)], names=names)
 
-    counted = rows.select("text", "target").mapInArrow(count, "before long, word long, n long, n_target long")
-    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    counted = rows.select("text", "target").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    sums = counted.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:]))
+    return sums.filter((F.col("n") > 0) | (F.col("ahead") > 0))
 
 
 class BigramModels:
-    """Target and background as written tables: counts of every word, losses of every bigram.
+    """Target and background: written counts of every word, and the texts whose bigrams count.
 
-    ``units(key, n, n_target, ahead, ahead_target)``: counts as word and as what stands before. ``pairs(before, word, n,
-    target, background)``: losses in ``UNITS``. Keys have 64 bits: among a hundred million words two share one with a chance
-    of 3 in 10,000, and a bigram has two of them.
+    ``units(key, n, n_target, ahead, ahead_target)``: counts as word and as what stands before. ``rows(text, target)`` are read
+    again where documents are scored. Keys have 64 bits: among a hundred million words two share one with a chance of 3 in
+    10,000; a bigram has 64 bits of its own besides its bucket.
     """
 
-    def __init__(self, words: list[str] | None, counted: DataFrame, bigram_share: float):
-        self.words = words
-        as_word = counted.groupBy(F.col("word").alias("key")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        as_before = counted.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("ahead"), F.sum("n_target").alias("ahead_target"))
-        self.units = cut(as_word.join(as_before, "key", "full").na.fill(0), "units")
+    def __init__(self, words: list[str] | None, documents: DataFrame, target: Column, bigram_share: float):
+        self.words, self.documents, self.target = words, documents, F.coalesce(target, F.lit(False)).alias("target")
+        self.units = cut(_unit_counts(documents.select("text", self.target), words), "units")
+        release(documents.sparkSession)
         self.total, self.target_total, own = self.units.agg(
             F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
         ).first()
         self.size = (own if words is None else len(words)) + len(SHAPES) + 1
         # Both models as if they had seen as many words as the target.
         self.scale = self.target_total / self.total if self.total else 1.0
-        known = F.col("n") >= F.lit(bigram_share * self.total)
-        seen = counted.select("before", "word", "n", *(F.when(known, F.col(c)).otherwise(0).alias(f"_{c}") for c in ("n", "n_target")))
-        losses = self.with_losses(seen, F.col("_n_target"), F.col("_n"))
-        self.pairs = cut(losses.select("before", "word", "n", "target", "background"), "pairs")
-
-    def with_losses(self, rows: DataFrame, n_target: Column | None = None, n: Column | None = None) -> DataFrame:
-        """``rows(before, word, ...)`` with ``target`` and ``background``, the losses of bigrams with these counts (none: 0)."""
-        as_word = self.units.select(F.col("key").alias("word"), F.col("n").alias("_w"), F.col("n_target").alias("_w_target"))
-        as_before = self.units.select(F.col("key").alias("before"), F.col("ahead").alias("_b"), F.col("ahead_target").alias("_b_target"))
-        joined = lookup_join(cut(lookup_join(rows, as_word, ["word"]), "with-words"), as_before, ["before"])
-        words = float(self.target_total + self.size)
-
-        def loss(pair: Column | None, word: str, before: str, scale: float) -> Column:
-            unigram = (F.coalesce(F.col(word), F.lit(0)) * scale + 1) / words
-            seen = F.lit(0.0) if pair is None else pair * F.lit(scale)
-            return F.round((F.log(F.coalesce(F.col(before), F.lit(0)) * scale + BACKOFF) - F.log(seen + BACKOFF * unigram)) * UNITS).cast("long")
-
-        target, background = loss(n_target, "_w_target", "_b_target", 1.0), loss(n, "_w", "_b", self.scale)
-        return joined.withColumn("target", target).withColumn("background", background)
-
-    def hot(self) -> HotPairs:
-        rows = self.pairs.filter(F.col("n") >= F.lit(HOT_SHARE * self.total)).toArrow()
-        return HotPairs(*(rows.column(c).to_numpy() for c in ("before", "word", "target", "background")))
+        #: Rarer bigrams are backed off.
+        self.least = bigram_share * self.total
 
-    def others(self) -> DataFrame:
-        return self.pairs.filter(F.col("n") < F.lit(HOT_SHARE * self.total)).drop("n")
+    def hot(self) -> HotWords:
+        rows = self.units.filter(F.greatest("n", "ahead") >= F.lit(HOT_SHARE * self.total)).toArrow()
+        return HotWords(*(rows.column(c).to_numpy() for c in ("key", "n", "n_target", "ahead", "ahead_target")))
 
 
-class HotPairs:
-    """Losses of the most frequent bigrams, found by both keys."""
+class HotWords:
+    """Counts of the most frequent words. A word is referred to by its number among them, or by a number below 0 if it is rare."""
 
-    def __init__(self, before: np.ndarray, word: np.ndarray, target: np.ndarray, background: np.ndarray):
-        mixed = self.mixed(before, word)
-        order = np.argsort(mixed, kind="stable")
-        self.order, self.columns = mixed[order], [x[order] for x in (before, word, target, background)]
+    def __init__(self, key: np.ndarray, *counts: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.columns = key[order], [np.append(x[order], 0) for x in counts]
 
-    @staticmethod
-    def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
+    def refer(self, keys: np.ndarray) -> np.ndarray:
+        """References to words: of a rare one, 31 bits of its key remain."""
+        rare = -1 - (keys & 0x7FFFFFFF)
+        if not len(self.key):
+            return rare
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, at, rare)
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(found, target, background)``; 0 where a bigram is not among them."""
-        if not len(self.order):
-            nothing = np.zeros(len(word), dtype=np.int64)
-            return nothing.astype(bool), nothing, nothing
-        at = np.minimum(np.searchsorted(self.order, self.mixed(before, word)), len(self.order) - 1)
-        found = (self.columns[0][at] == before) & (self.columns[1][at] == word)
-        return found, np.where(found, self.columns[2][at], 0), np.where(found, self.columns[3][at], 0)
+    def bits(self, refs: np.ndarray) -> np.ndarray:
+        """31 bits of the keys."""
+        known = np.append(self.key & 0x7FFFFFFF, 0)
+        return np.where(refs < 0, -1 - refs, known[np.maximum(refs, 0)]).astype(np.uint64)
+
+    def counts(self, refs: np.ndarray) -> list[np.ndarray]:
+        """0 for rare words."""
+        at = np.where(refs < 0, len(self.key), refs)
+        return [x[at] for x in self.columns]
+
+
+def _buckets(bits: np.ndarray, first: np.ndarray, second: np.ndarray, rare: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a chunk's bigrams and of its rare words, by bits of the keys."""
+    n = np.uint64(buckets)
+    return (mix((bits[first] << np.uint64(31)) | bits[second]) % n).astype(np.int64), (mix(bits[rare]) % n).astype(np.int64)
+
+
+def _pack(word: np.ndarray) -> bytes:
+    return pa.compress(word.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    data = pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(data, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n).astype(np.int64)
+
+
+_LONGS, _INTS, _BYTES = (pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int8()))
+#: What goes between chunks and buckets: the bigrams (2 counts each) or the rare words (4) that a chunk has in one bucket; or a
+#: chunk's texts, in a bucket below 0. Most counts are small: ``small`` has -1 where the count is the next one of ``large``.
+_SENT = pa.schema(
+    [
+        *((n, pa.int64()) for n in ("chunk", "bucket", "width")),
+        *((n, _LONGS) for n in ("asked", "large", "doc_ids", "lengths")),
+        *(("small", _BYTES), ("refs", _INTS), ("words", pa.binary())),
+    ]
+)
+_SENT_SQL = (
+    "chunk long, bucket long, width long, asked array<long>, large array<long>, doc_ids array<long>, lengths array<long>, "
+    "small array<tinyint>, refs array<int>, words binary"
+)
+
+
+def _sent(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _SENT], schema=_SENT)
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array, kind: pa.DataType = _LONGS) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind.value_type), type=kind)
+
+
+def _flat(column: pa.ChunkedArray, kind: pa.DataType = _LONGS) -> pa.Array:
+    """The entries of all lists of a column."""
+    return pa.concat_arrays([pa.array([], kind.value_type), *(x.flatten() for x in column.chunks)])
+
+
+def _packed(ends: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
+    """Counts, a row for each entry, as lists of the entries up to each of ``ends``."""
+    width, flat = counts.shape[1], counts.ravel().astype(np.int64)
+    big = flat > 127
+    before = np.r_[0, np.cumsum(big)][ends * width]
+    return {"small": _lists(ends * width, np.where(big, -1, flat).astype(np.int8), _BYTES), "large": _lists(before, flat[big])}
+
+
+def _unpacked(rows: pa.Table, width: int) -> np.ndarray:
+    counts = _flat(rows.column("small"), _BYTES).to_numpy().astype(np.int64)
+    counts[counts < 0] = _flat(rows.column("large")).to_numpy()
+    return counts.reshape(-1, width)
+
+
+def _entries(rows: DataFrame, hot, words, buckets: int, trained: bool, scored: bool) -> DataFrame:
+    """What the chunks of ``rows(row, doc_id, text, target)`` send: their bigrams and rare words, with counts if the models learn
+    from them, and their texts if they are to be scored."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lengths, word, keys in _chunks(batches, words.value):
+            first, second, place = _bigrams(lengths, word, len(keys))
+            refs = hot.value.refer(keys)
+            rare = np.flatnonzero(refs < 0)
+            chunk, pairs = part.column(0)[0].as_py(), []
+            for weights in (None, _flags(part.column(3), lengths)):
+                pairs.append(np.bincount(place, weights, len(first)) if trained else np.zeros(len(first)))
+            units = [np.bincount(x, n, len(keys))[rare] for x in (second, first) for n in pairs]
+            if scored:
+                one = [0, len(lengths)]
+                about = {"doc_ids": _lists(one, part.column(1)), "lengths": _lists(one, lengths), "refs": _lists([0, len(refs)], refs, _INTS)}
+                yield _sent(1, chunk=pa.array([chunk]), bucket=pa.array([-1 - chunk]), words=pa.array([_pack(word)], pa.binary()), **about)
+            # The key of a bigram has 64 bits, and its bucket comes from others.
+            both = mix(mix(keys.view(np.uint64))[first] + keys.view(np.uint64)[second] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            of_pairs, of_words = _buckets(hot.value.bits(refs), first, second, rare, buckets)
+            for bucket, asked, counts in ((of_pairs, both, np.stack(pairs, 1)), (of_words, keys[rare], np.stack(units, 1))):
+                order = _order(bucket, buckets)
+                met, begin = np.unique(bucket[order], return_index=True)
+                ends = np.append(begin, len(order))
+                about = {"chunk": pa.array([chunk if scored else None] * len(met), pa.int64()), "bucket": pa.array(met)}
+                about["width"] = pa.array(np.full(len(met), counts.shape[1]))
+                yield _sent(len(met), **about, asked=_lists(ends, asked[order]), **_packed(ends, counts[order]))
+
+    return rows.mapInArrow(send, _SENT_SQL)
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """The entries of one bucket, with the counts of all chunks."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table
+    out = []
+    for width in (2, 4):
+        rows = table.filter(pc.equal(table.column("width"), width))
+        if len(rows):
+            own = _unpacked(rows, width)
+            _, place = np.unique(_flat(rows.column("asked")).to_numpy(), return_inverse=True)
+            sums = np.stack([np.bincount(place, x).astype(np.int64)[place] for x in own.T], 1)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(rows.column("asked")).to_numpy())]
+            about = {c: pa.concat_arrays(rows.column(c).chunks) for c in ("chunk", "bucket", "width")}
+            back = _sent(len(rows), **about, **_packed(ends, sums))
+            out.append(back.filter(pc.is_valid(back.column("chunk"))))
+    return pa.Table.from_batches(out, _SENT)
+
+
+def _losses(table: pa.Table, least: float, scale: float, words: float, hot: HotWords, buckets: int) -> pa.Table:
+    """``(doc_id, n_words, summed_target, summed_background)`` of a chunk's texts, from what came back from all buckets."""
+    is_text = pc.less(table.column("bucket"), 0)
+    texts, back = table.filter(is_text), table.filter(pc.invert(is_text)).sort_by("bucket")
+    pairs, units = (_unpacked(back.filter(pc.equal(back.column("width"), w)), w) for w in (2, 4))
+    lengths, refs = _flat(texts.column("lengths")).to_numpy(), _flat(texts.column("refs"), _INTS).to_numpy().astype(np.int64)
+    first, second, place = _bigrams(lengths, _unpack(texts.column("words")[0].as_py(), int(lengths.sum())), len(refs))
+    rare = np.flatnonzero(refs < 0)
+    of_pairs, of_words = (_order(x, buckets) for x in _buckets(hot.bits(refs), first, second, rare, buckets))
+    n, n_target, ahead, ahead_target = counts = hot.counts(refs)
+    for x, found in zip(counts, units.T, strict=True):
+        x[rare[of_words]] = found
+    pair = np.empty_like(pairs)
+    pair[of_pairs] = pairs
+    known, ends, sums = pair[:, 0] >= least, np.cumsum(lengths), []
+    for seen, as_before, as_word, share in ((pair[:, 1], ahead_target, n_target, 1.0), (pair[:, 0], ahead, n, scale)):
+        unigram = (as_word * share + 1) / words
+        loss = np.log(as_before * share + BACKOFF)[first] - np.log(np.where(known, seen, 0) * share + BACKOFF * unigram[second])
+        running = np.r_[0, np.cumsum(np.rint(loss * UNITS).astype(np.int64)[place])]
+        sums.append(pa.array(running[ends] - running[ends - lengths]))
+    columns = [_flat(texts.column("doc_ids")), pa.array(lengths), *sums]
+    return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "summed_target", "summed_background"])
 
 
 def train_models(documents: DataFrame, target: Column, word_share: float = 0.0, bigram_share: float = 0.0) -> BigramModels:
@@ -196,13 +353,12 @@ def train_models(documents: DataFrame, target: Column, word_share: float = 0.0,
     Every word and bigram counts. A share above 0 leaves words that are rarer to their shape and rarer bigrams to the
     backed-off model; the words that stay, at most ``1 / word_share``, then travel to the tasks.
     """
-    rows = documents.select("text", F.coalesce(target, F.lit(False)).alias("target"))
     words = None
     if word_share > 0:
-        counted = cut(_word_counts(rows), "words")
+        counted = cut(_word_counts(documents), "words")
         total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         words = sorted(r["word"] for r in counted.filter(F.col("n") >= word_share * total).select("word").collect())
-    return BigramModels(words, cut(_bigram_counts(rows, words), "bigrams"), bigram_share)
+    return BigramModels(words, documents, target, bigram_share)
 
 
 def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> DataFrame:
@@ -210,46 +366,26 @@ def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> Data
 
     Losses are nats per word; ``score`` is target minus background: below 0, the text is more like the target. Words are
     separated by white space as Python sees it. Null and empty texts: no words, losses and score 0. Null ids and repeated rows
-    are scored like all others; other columns are ignored.
+    are scored like all others; other columns are ignored. The very table that the models learned from is read once, as both;
+    with any other, the models' texts are read besides.
     """
     context = documents.sparkSession.sparkContext
     hot, words = context.broadcast(models.hot()), context.broadcast(models.words)
-    names = ["row", "doc_id", "n_words", "summed_target", "summed_background", "before", "word", "times"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, lengths, before, word, place in _distinct_pairs(batches, words.value):
-            found, *losses = hot.value.losses(before, word)
-            ends = np.cumsum(lengths)
-            sums = []
-            for values in losses:
-                running = np.r_[0, np.cumsum(values[place])]
-                sums.append(pa.array(running[ends] - running[ends - lengths]))
-            # One row for the text itself; its missing word matches nothing and the row's number spreads it.
-            row, none, zero = part.column(0), pa.nulls(len(lengths), pa.int64()), pa.array(np.zeros(len(lengths), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([row, part.column(1), pa.array(lengths), *sums, row, none, zero], names=names)
-            open_ = ~found[place]
-            pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[open_] * max(1, len(word)) + place[open_], return_counts=True)
-            text, pair = pairs // max(1, len(word)), pairs % max(1, len(word))
-            none, zero = pa.nulls(len(pairs), pa.int64()), pa.array(np.zeros(len(pairs), dtype=np.int64))
-            columns = [row.take(pa.array(text)), none, none, zero, zero, pa.array(before[pair]), pa.array(word[pair]), pa.array(times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.mapInArrow(meet, ", ".join(f"{n} long" for n in names)).join(models.others(), ["before", "word"], "left")
-    unknown = F.col("word").isNotNull() & F.col("target").isNull()
-
-    def summed(kind: str) -> Column:
-        return F.sum(F.col(f"summed_{kind}") + F.col("times") * F.coalesce(kind, F.lit(0))).alias(f"summed_{kind}")
-
-    about = [F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), summed("target"), summed("background")]
-    keys = [F.when(unknown, F.col(c)).alias(c) for c in ("before", "word")]
-    sums = cut(met.groupBy("row", *keys).agg(*about, F.sum(F.when(unknown, F.col("times")).otherwise(0)).alias("times")), "sums")
-    # Bigrams that the models have not seen, in other documents than theirs.
-    new = sums.filter(F.col("word").isNotNull())
-    whole = sums.filter(F.col("word").isNull()).withColumn("target", F.lit(0).cast("long")).withColumn("background", F.lit(0).cast("long"))
-    if not new.isEmpty():
-        whole = whole.unionByName(models.with_losses(new).select(whole.columns))
-    scored = whole.groupBy("row").agg(*about)
+    row, text, doc_id = F.monotonically_increasing_id().alias("row"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id")
+    same = documents is models.documents
+    held = documents.select(text) if same else documents.select(text).unionByName(models.documents.select(text))
+    buckets = 1 + (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    sent = _entries(documents.select(row, doc_id, text, models.target if same else F.lit(False).alias("target")), hot, words, buckets, same, True)
+    if not same:
+        learned = models.documents.select(row, F.lit(None).cast("long").alias("doc_id"), text, models.target)
+        sent = sent.unionByName(_entries(learned, hot, words, buckets, True, False))
+    least, scale, everything = models.least, models.scale, float(models.target_total + models.size)
+
+    def score(table: pa.Table) -> pa.Table:
+        return _losses(table, least, scale, everything, hot.value, buckets)
+
+    summed = "doc_id long, n_words long, summed_target long, summed_background long"
+    scored = sent.groupBy("bucket").applyInArrow(_add_up, _SENT_SQL).groupBy("chunk").applyInArrow(score, summed)
     first, second = (F.coalesce(F.try_divide(F.col(f"summed_{k}") / UNITS, F.col("n_words")), F.lit(0.0)) for k in ("target", "background"))
     losses = [F.round(x, 9).alias(n) for x, n in ((first, "target_loss"), (second, "background_loss"), (first - second, "score"))]
     return scored.select("doc_id", "n_words", *losses)
@@ -261,4 +397,4 @@ def score_against_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     good = cut(good.select(F.col("doc_id").cast("long").alias("_good")).distinct(), "target-ids")
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = own.join(broadcast_if_small(good), own["doc_id"] == good["_good"], "left")
-    return cross_entropy_difference(documents, train_models(marked, F.col("_good").isNotNull()))
+    return cross_entropy_difference(marked, train_models(marked, F.col("_good").isNotNull()))
