@@ -11,6 +11,7 @@ bucket has hot keys.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from trawlwork.plans.lineage import cut
 
 #: Weight of the backed-off unigram model, in words.
 BACKOFF = 50.0
-#: Counts of words with at least this share of all words are looked up in the tasks: 500,000 at most. All others come by bucket.
+#: Counts of the most frequent words, as many as have room at this share each (500,000), are looked up in the tasks. All others
+#: come by bucket.
 HOT_SHARE = 1 / 500_000
 #: Losses are summed in whole units of this many to a nat, so that the order of the sum never matters.
 UNITS = 1e9
@@ -76,7 +78,7 @@ class WordKeys:
 
 def _chunks(batches: Iterator[pa.RecordBatch], words: list[str] | None):
     """``(rows, lengths, word, keys)`` of consecutive rows with a ``text``: their words as numbers, and the key of each
-    number; 0 stands before the first word, the others go by falling frequency."""
+    number; 0 stands before the first word."""
     own = WordKeys(words)
     for batch in batches:
         first, held, parts = 0, 0, []
@@ -88,13 +90,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: list[str] | None):
                 continue
             lengths, word = np.array([len(x) for x in parts], dtype=np.int64), np.concatenate(parts)
             keys = own.keys()
-            counts = np.bincount(word, minlength=len(keys))
-            counts[0] = len(word) + 1
-            used = np.flatnonzero(counts)
-            used = used[np.argsort(-counts[used], kind="stable")]
-            number = np.empty(len(keys), dtype=np.int64)
-            number[used] = np.arange(len(used))
-            yield batch.slice(first, i + 1 - first), lengths, number[word], keys[used]
+            used = np.zeros(len(keys), dtype=bool)
+            used[0] = used[word] = True
+            yield batch.slice(first, i + 1 - first), lengths, (np.cumsum(used) - 1)[word], keys[used]
             first, held, parts = i + 1, 0, []
             if len(own.known) > REMEMBERED:
                 own.forget()
@@ -186,34 +184,44 @@ class BigramModels:
         self.least = bigram_share * self.total
 
     def hot(self) -> HotWords:
-        rows = self.units.filter(F.greatest("n", "ahead") >= F.lit(HOT_SHARE * self.total)).toArrow()
+        most, room, least = F.greatest("n", "ahead"), 1 / HOT_SHARE if HOT_SHARE else math.inf, math.inf
+        # So many words have a count; there are few different counts, about the root of all words.
+        for n, words in sorted(self.units.groupBy(most).count().collect(), reverse=True):
+            room -= words
+            if room < 0:
+                break
+            least = n
+        rows = self.units.filter(most >= F.lit(least)).toArrow()
         return HotWords(*(rows.column(c).to_numpy() for c in ("key", "n", "n_target", "ahead", "ahead_target")))
 
 
+#: References to rare words begin here.
+RARE = 1 << 31
+
+
 class HotWords:
-    """Counts of the most frequent words. A word is referred to by its number among them, or by a number below 0 if it is rare."""
+    """Counts of the most frequent words. A word is referred to by its rank among them, or, if it is rare, by 31 bits of its key."""
 
     def __init__(self, key: np.ndarray, *counts: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.columns = key[order], [np.append(x[order], 0) for x in counts]
+        by_count = np.lexsort((key, -counts[0]))
+        self.bits_of, self.columns = np.append(key[by_count] & (RARE - 1), 0), [np.append(x[by_count], 0) for x in counts]
+        self.rank = np.argsort(key[by_count])
+        self.key = key[by_count][self.rank]
 
     def refer(self, keys: np.ndarray) -> np.ndarray:
-        """References to words: of a rare one, 31 bits of its key remain."""
-        rare = -1 - (keys & 0x7FFFFFFF)
+        rare = RARE | (keys & (RARE - 1))
         if not len(self.key):
             return rare
         at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return np.where(self.key[at] == keys, at, rare)
+        return np.where(self.key[at] == keys, self.rank[at], rare)
 
     def bits(self, refs: np.ndarray) -> np.ndarray:
         """31 bits of the keys."""
-        known = np.append(self.key & 0x7FFFFFFF, 0)
-        return np.where(refs < 0, -1 - refs, known[np.maximum(refs, 0)]).astype(np.uint64)
+        return np.where(refs >= RARE, refs - RARE, self.bits_of[np.minimum(refs, len(self.key))]).astype(np.uint64)
 
     def counts(self, refs: np.ndarray) -> list[np.ndarray]:
         """0 for rare words."""
-        at = np.where(refs < 0, len(self.key), refs)
-        return [x[at] for x in self.columns]
+        return [x[np.minimum(refs, len(self.key))] for x in self.columns]
 
 
 def _buckets(bits: np.ndarray, first: np.ndarray, second: np.ndarray, rare: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,19 +239,19 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n).astype(np.int64)
 
 
-_LONGS, _INTS, _BYTES = (pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int8()))
+_LONGS, _BYTES = pa.list_(pa.int64()), pa.list_(pa.int8())
 #: What goes between chunks and buckets: the bigrams (2 counts each) or the rare words (4) that a chunk has in one bucket; or a
-#: chunk's texts, in a bucket below 0. Most counts are small: ``small`` has -1 where the count is the next one of ``large``.
+#: chunk's texts, in a bucket below 0, with as many words as ``width``. Most counts are small: ``small`` has -1 where the count is the next one of ``large``.
 _SENT = pa.schema(
     [
         *((n, pa.int64()) for n in ("chunk", "bucket", "width")),
         *((n, _LONGS) for n in ("asked", "large", "doc_ids", "lengths")),
-        *(("small", _BYTES), ("refs", _INTS), ("words", pa.binary())),
+        *(("small", _BYTES), ("refs", pa.binary()), ("words", pa.binary())),
     ]
 )
 _SENT_SQL = (
     "chunk long, bucket long, width long, asked array<long>, large array<long>, doc_ids array<long>, lengths array<long>, "
-    "small array<tinyint>, refs array<int>, words binary"
+    "small array<tinyint>, refs binary, words binary"
 )
 
 
@@ -280,17 +288,22 @@ def _entries(rows: DataFrame, hot, words, buckets: int, trained: bool, scored: b
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, lengths, word, keys in _chunks(batches, words.value):
-            first, second, place = _bigrams(lengths, word, len(keys))
+            # Number 0 stays; frequent words come next, so that what is sent packs well.
             refs = hot.value.refer(keys)
-            rare = np.flatnonzero(refs < 0)
+            own = np.r_[0, 1 + np.argsort(refs[1:], kind="stable")]
+            number = np.empty(len(own), dtype=np.int64)
+            number[own] = np.arange(len(own))
+            word, keys, refs = number[word], keys[own], refs[own]
+            first, second, place = _bigrams(lengths, word, len(keys))
+            rare = np.flatnonzero(refs >= RARE)
             chunk, pairs = part.column(0)[0].as_py(), []
             for weights in (None, _flags(part.column(3), lengths)):
                 pairs.append(np.bincount(place, weights, len(first)) if trained else np.zeros(len(first)))
             units = [np.bincount(x, n, len(keys))[rare] for x in (second, first) for n in pairs]
             if scored:
                 one = [0, len(lengths)]
-                about = {"doc_ids": _lists(one, part.column(1)), "lengths": _lists(one, lengths), "refs": _lists([0, len(refs)], refs, _INTS)}
-                yield _sent(1, chunk=pa.array([chunk]), bucket=pa.array([-1 - chunk]), words=pa.array([_pack(word)], pa.binary()), **about)
+                about = {"doc_ids": _lists(one, part.column(1)), "lengths": _lists(one, lengths), "refs": pa.array([_pack(np.diff(refs, prepend=0))], pa.binary())}
+                yield _sent(1, chunk=pa.array([chunk]), bucket=pa.array([-1 - chunk]), width=pa.array([len(refs)]), words=pa.array([_pack(word)], pa.binary()), **about)
             # The key of a bigram has 64 bits, and its bucket comes from others.
             both = mix(mix(keys.view(np.uint64))[first] + keys.view(np.uint64)[second] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             of_pairs, of_words = _buckets(hot.value.bits(refs), first, second, rare, buckets)
@@ -328,9 +341,10 @@ def _losses(table: pa.Table, least: float, scale: float, words: float, hot: HotW
     is_text = pc.less(table.column("bucket"), 0)
     texts, back = table.filter(is_text), table.filter(pc.invert(is_text)).sort_by("bucket")
     pairs, units = (_unpacked(back.filter(pc.equal(back.column("width"), w)), w) for w in (2, 4))
-    lengths, refs = _flat(texts.column("lengths")).to_numpy(), _flat(texts.column("refs"), _INTS).to_numpy().astype(np.int64)
+    lengths = _flat(texts.column("lengths")).to_numpy()
+    refs = np.cumsum(_unpack(texts.column("refs")[0].as_py(), texts.column("width")[0].as_py())) % (2 * RARE)
     first, second, place = _bigrams(lengths, _unpack(texts.column("words")[0].as_py(), int(lengths.sum())), len(refs))
-    rare = np.flatnonzero(refs < 0)
+    rare = np.flatnonzero(refs >= RARE)
     of_pairs, of_words = (_order(x, buckets) for x in _buckets(hot.bits(refs), first, second, rare, buckets))
     n, n_target, ahead, ahead_target = counts = hot.counts(refs)
     for x, found in zip(counts, units.T, strict=True):
