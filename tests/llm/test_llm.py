@@ -450,6 +450,39 @@ def test_lm_orders():
         assert (lm_scoring._unpack(lm_scoring._pack(word), len(word)) == word).all()
 
 
+def test_lm_bigrams_travel_in_few_bytes(spark):
+    """Bigrams of frequent words are told apart exactly and take under 5 of the 8 bytes that a key has; nothing is lost on the way."""
+    rng = np.random.default_rng(6)
+    rows = [(d, " ".join(f"w{w}" for w in rng.integers(0, 3000, 2000))) for d in range(100)]
+    docs = documents(spark, rows)
+    context = spark.sparkContext
+    hot = lm_scoring.train_models(docs, F.lit(False)).hot()
+    sent = docs.coalesce(1).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.lit(False).alias("target"))
+    table = lm_scoring._entries(sent, context.broadcast(hot), context.broadcast(None), 7, True, False).toArrow()
+    distinct = len({p for _, t in rows for p in zip(["^", *t.split()], t.split(), strict=False)})
+    assert sum(table.column(c).nbytes for c in table.column_names if c in ("asked", "sizes")) < 5 * distinct
+    pairs = table.filter(pa.compute.equal(table.column("width"), 2))
+    entries, lengths = lm_scoring._unsqueezed(pairs)
+    assert len(set(entries.tolist())) == distinct == lengths.sum() and entries.min() >= 0
+
+
+def test_lm_entries_come_back():
+    top = (1 << 62) - 1
+    number = np.array([0, 1, 300, -1, -1, 5, top, -1, 7])
+    keys = np.array([0, 0, 0, -(1 << 63), -1, 0, 0, -5, 0])
+    entries, lengths = lm_scoring._unsqueezed(pa.table(lm_scoring._squeezed(np.array([0, 5, 7, 8, 9]), number, keys)))
+    assert lengths.tolist() == [5, 2, 1, 1] and entries.tolist() == [0, 1, 300, -(1 << 63), -1, 5, top, -5, 7]
+    for words in (0, 1, 2, 40):
+        hot = lm_scoring.HotWords(*np.arange(5 * words).reshape(5, words))
+        first, second = (x.ravel() for x in np.indices((words + 1, words + 1)))
+        refs = np.r_[np.arange(words), lm_scoring.RARE + 9]
+        number = hot.pairs(refs[first], refs[second])
+        assert ((number < 0) == ((first == words) | (second == words))).all() and number.max() < 1 << hot.width
+        assert len(set(number[number >= 0].tolist())) == words * words
+        (order, bucket, _), _ = lm_scoring._deal(hot, refs, first, second, 3)
+        assert sorted(order) == list(range(len(first))) and (np.diff(bucket[order]) >= 0).all() and set(bucket) <= {0, 1, 2}
+
+
 def labelled(seed=9, n=300):
     rng = np.random.default_rng(seed)
     rows, labels = [], []

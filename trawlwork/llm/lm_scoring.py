@@ -5,7 +5,7 @@ smoothing; background counts are scaled to the target's number of words, so that
 Every word and every bigram of the corpus has its counts. Those of words are a written table. Those of bigrams, of which most
 occur once, are not stored: chunks of texts send the distinct bigrams they hold, and how often, to buckets by hash; there
 the chunks' counts are added up and go back to each chunk in the order it sent them. A bigram has one entry per chunk, so no
-bucket has hot keys.
+bucket has hot keys. Bigrams of two frequent words, by far the most, travel as exact numbers in few bytes, all others as keys.
 """
 
 from __future__ import annotations
@@ -167,7 +167,8 @@ class BigramModels:
 
     ``units(key, n, n_target, ahead, ahead_target)``: counts as word and as what stands before. ``rows(text, target)`` are read
     again where documents are scored. Keys have 64 bits: among a hundred million words two share one with a chance of 3 in
-    10,000; a bigram has 64 bits of its own besides its bucket.
+    10,000. Bigrams of two frequent words (:class:`HotWords`) are told apart exactly; all others have 63 bits of their own besides
+    their bucket.
     """
 
     def __init__(self, words: list[str] | None, documents: DataFrame, target: Column, bigram_share: float):
@@ -207,6 +208,8 @@ class HotWords:
         self.bits_of, self.columns = np.append(key[by_count] & (RARE - 1), 0), [np.append(x[by_count], 0) for x in counts]
         self.rank = np.argsort(key[by_count])
         self.key = key[by_count][self.rank]
+        #: Bits of the number of a pair.
+        self.width = 2 * max(1, len(key).bit_length())
 
     def refer(self, keys: np.ndarray) -> np.ndarray:
         rare = RARE | (keys & (RARE - 1))
@@ -224,10 +227,26 @@ class HotWords:
         return [x[np.minimum(refs, len(self.key))] for x in self.columns]
 
 
-def _buckets(bits: np.ndarray, first: np.ndarray, second: np.ndarray, rare: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a chunk's bigrams and of its rare words, by bits of the keys."""
-    n = np.uint64(buckets)
-    return (mix((bits[first] << np.uint64(31)) | bits[second]) % n).astype(np.int64), (mix(bits[rare]) % n).astype(np.int64)
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of pairs, no two alike and spread evenly over ``width`` bits; -1 if a word is rare."""
+        half, mask = np.uint64(self.width // 2), np.uint64((1 << self.width) - 1)
+        x = (first.astype(np.uint64) << half) | second.astype(np.uint64)
+        for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):  # each step can be undone, so pairs stay apart
+            x = ((x ^ (x >> half)) * np.uint64(odd)) & mask
+        return np.where(np.maximum(first, second) < RARE, (x ^ (x >> half)).astype(np.int64), -1)
+
+
+def _deal(hot: HotWords, refs: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int):
+    """``(order, bucket, number)`` of a chunk's bigrams and of its rare words: the order in which they are sent, and the bucket and
+    number of each. In a bucket numbers rise; what has none (-1) comes last."""
+    n, bits, rare = np.uint64(buckets), hot.bits(refs), np.flatnonzero(refs >= RARE)
+    number = hot.pairs(refs[first], refs[second])
+    numbered = np.flatnonzero(number >= 0)
+    by_key = (mix((bits[first] << np.uint64(31)) | bits[second]) % n).astype(np.int64)
+    bucket = np.where(number < 0, by_key, number * buckets >> hot.width)
+    order = np.r_[numbered[_order(number[numbered], 1 << hot.width)], np.flatnonzero(number < 0)]
+    of_words = (mix(bits[rare]) % n).astype(np.int64)
+    return (order[_order(bucket[order], buckets)], bucket, number), (_order(of_words, buckets), of_words, np.full(len(rare), -1))
 
 
 def _pack(word: np.ndarray) -> bytes:
@@ -242,16 +261,18 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
 _LONGS, _BYTES = pa.list_(pa.int64()), pa.list_(pa.int8())
 #: What goes between chunks and buckets: the bigrams (2 counts each) or the rare words (4) that a chunk has in one bucket; or a
 #: chunk's texts, in a bucket below 0, with as many words as ``width``. Most counts are small: ``small`` has -1 where the count is the next one of ``large``.
+#: ``asked`` has the bytes of all entries, ``sizes`` how many each has (see :func:`_squeezed`).
 _SENT = pa.schema(
     [
         *((n, pa.int64()) for n in ("chunk", "bucket", "width")),
-        *((n, _LONGS) for n in ("asked", "large", "doc_ids", "lengths")),
-        *(("small", _BYTES), ("refs", pa.binary()), ("words", pa.binary())),
+        *((n, _LONGS) for n in ("large", "doc_ids", "lengths")),
+        ("small", _BYTES),
+        *((n, pa.binary()) for n in ("asked", "sizes", "refs", "words")),
     ]
 )
 _SENT_SQL = (
-    "chunk long, bucket long, width long, asked array<long>, large array<long>, doc_ids array<long>, lengths array<long>, "
-    "small array<tinyint>, refs binary, words binary"
+    "chunk long, bucket long, width long, large array<long>, doc_ids array<long>, lengths array<long>, small array<tinyint>, "
+    "asked binary, sizes binary, refs binary, words binary"
 )
 
 
@@ -282,6 +303,40 @@ def _unpacked(rows: pa.Table, width: int) -> np.ndarray:
     return counts.reshape(-1, width)
 
 
+#: The size of an entry that is a key of 8 bytes.
+KEY = 9
+
+
+def _binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, *(pa.py_buffer(x.tobytes()) for x in (offsets.astype(np.int32), data))])
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+
+
+def _squeezed(ends: np.ndarray, number: np.ndarray, keys: np.ndarray) -> dict[str, pa.Array]:
+    """Lists of the entries up to each of ``ends``, as :func:`_deal` orders them: a number as the step from the one before it, in
+    as few bytes as hold it; what has none (-1) as its key."""
+    step, numbered = np.diff(number, prepend=0), number >= 0
+    step[ends[:-1]] = number[ends[:-1]]
+    sizes = np.where(numbered, np.searchsorted(256 ** np.arange(8), step, side="right"), KEY).astype(np.uint8)
+    parts = np.where(numbered, step, keys).astype("<i8").view(np.uint8).reshape(-1, 8)
+    begin = np.r_[0, np.cumsum(np.minimum(sizes, 8), dtype=np.int64)][ends]
+    return {"sizes": _binaries(ends, sizes), "asked": _binaries(begin, parts[np.arange(8) < sizes[:, None]])}
+
+
+def _unsqueezed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``(entries, lengths)``: the numbers and keys of all rows, and how many each row has."""
+    sizes, lengths = _joined(rows.column("sizes")), pc.binary_length(rows.column("sizes")).to_numpy().astype(np.int64)
+    parts = np.zeros((len(sizes), 8), dtype=np.uint8)
+    parts[np.arange(8) < sizes[:, None]] = _joined(rows.column("asked"))
+    entries, numbered = parts.reshape(-1).view("<i8").astype(np.int64), sizes != KEY
+    running = np.r_[0, np.cumsum(np.where(numbered, entries, 0))]
+    return np.where(numbered, running[1:] - np.repeat(running[np.cumsum(lengths) - lengths], lengths), entries), lengths
+
+
 def _entries(rows: DataFrame, hot, words, buckets: int, trained: bool, scored: bool) -> DataFrame:
     """What the chunks of ``rows(row, doc_id, text, target)`` send: their bigrams and rare words, with counts if the models learn
     from them, and their texts if they are to be scored."""
@@ -304,16 +359,15 @@ def _entries(rows: DataFrame, hot, words, buckets: int, trained: bool, scored: b
                 one = [0, len(lengths)]
                 about = {"doc_ids": _lists(one, part.column(1)), "lengths": _lists(one, lengths), "refs": pa.array([_pack(np.diff(refs, prepend=0))], pa.binary())}
                 yield _sent(1, chunk=pa.array([chunk]), bucket=pa.array([-1 - chunk]), width=pa.array([len(refs)]), words=pa.array([_pack(word)], pa.binary()), **about)
-            # The key of a bigram has 64 bits, and its bucket comes from others.
-            both = mix(mix(keys.view(np.uint64))[first] + keys.view(np.uint64)[second] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            of_pairs, of_words = _buckets(hot.value.bits(refs), first, second, rare, buckets)
-            for bucket, asked, counts in ((of_pairs, both, np.stack(pairs, 1)), (of_words, keys[rare], np.stack(units, 1))):
-                order = _order(bucket, buckets)
+            # The key of a bigram has 63 bits, and its bucket comes from others; it is below 0, as no number is.
+            both = mix(mix(keys.view(np.uint64))[first] + keys.view(np.uint64)[second] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) | np.iinfo(np.int64).min
+            of_pairs, of_words = _deal(hot.value, refs, first, second, buckets)
+            for (order, bucket, number), asked, counts in ((of_pairs, both, np.stack(pairs, 1)), (of_words, keys[rare], np.stack(units, 1))):
                 met, begin = np.unique(bucket[order], return_index=True)
                 ends = np.append(begin, len(order))
                 about = {"chunk": pa.array([chunk if scored else None] * len(met), pa.int64()), "bucket": pa.array(met)}
                 about["width"] = pa.array(np.full(len(met), counts.shape[1]))
-                yield _sent(len(met), **about, asked=_lists(ends, asked[order]), **_packed(ends, counts[order]))
+                yield _sent(len(met), **about, **_squeezed(ends, number[order], asked[order]), **_packed(ends, counts[order]))
 
     return rows.mapInArrow(send, _SENT_SQL)
 
@@ -327,9 +381,10 @@ def _add_up(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.equal(table.column("width"), width))
         if len(rows):
             own = _unpacked(rows, width)
-            _, place = np.unique(_flat(rows.column("asked")).to_numpy(), return_inverse=True)
+            asked, lengths = _unsqueezed(rows)
+            _, place = np.unique(asked, return_inverse=True)
             sums = np.stack([np.bincount(place, x).astype(np.int64)[place] for x in own.T], 1)
-            ends = np.r_[0, np.cumsum(pc.list_value_length(rows.column("asked")).to_numpy())]
+            ends = np.r_[0, np.cumsum(lengths)]
             about = {c: pa.concat_arrays(rows.column(c).chunks) for c in ("chunk", "bucket", "width")}
             back = _sent(len(rows), **about, **_packed(ends, sums))
             out.append(back.filter(pc.is_valid(back.column("chunk"))))
@@ -345,7 +400,7 @@ def _losses(table: pa.Table, least: float, scale: float, words: float, hot: HotW
     refs = np.cumsum(_unpack(texts.column("refs")[0].as_py(), texts.column("width")[0].as_py())) % (2 * RARE)
     first, second, place = _bigrams(lengths, _unpack(texts.column("words")[0].as_py(), int(lengths.sum())), len(refs))
     rare = np.flatnonzero(refs >= RARE)
-    of_pairs, of_words = (_order(x, buckets) for x in _buckets(hot.bits(refs), first, second, rare, buckets))
+    of_pairs, of_words = (x[0] for x in _deal(hot, refs, first, second, buckets))
     n, n_target, ahead, ahead_target = counts = hot.counts(refs)
     for x, found in zip(counts, units.T, strict=True):
         x[rare[of_words]] = found
@@ -389,6 +444,7 @@ def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> Data
     same = documents is models.documents
     held = documents.select(text) if same else documents.select(text).unionByName(models.documents.select(text))
     buckets = 1 + (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    release(documents.sparkSession)  # when the words were counted, that job's events could still hold its plan
     sent = _entries(documents.select(row, doc_id, text, models.target if same else F.lit(False).alias("target")), hot, words, buckets, same, True)
     if not same:
         learned = models.documents.select(row, F.lit(None).cast("long").alias("doc_id"), text, models.target)
