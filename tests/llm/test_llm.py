@@ -483,6 +483,12 @@ def test_lm_entries_come_back():
         assert sorted(order) == list(range(len(first))) and (np.diff(bucket[order]) >= 0).all() and set(bucket) <= {0, 1, 2}
 
 
+def test_lm_buckets_grow_before_they_are_too_many():
+    count = lm_scoring._bucket_count
+    assert [count(n) for n in (0, lm_scoring.BUCKET_BYTES, 800 << 20)] == [1, 2, 201]
+    assert count(50 << 30) <= 3201 and all((n << 20) / count(n << 20) <= 16 << 20 for n in range(1, 60_000, 997))
+
+
 def labelled(seed=9, n=300):
     rng = np.random.default_rng(seed)
     rows, labels = [], []

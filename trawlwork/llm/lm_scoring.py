@@ -35,8 +35,9 @@ UNITS = 1e9
 #: Words whose numbers a Python worker remembers, and words that it works on at a time (a longer text is taken alone).
 REMEMBERED = 300_000
 CHUNK_WORDS = 500_000
-#: Bytes of text whose bigrams meet in one bucket.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text whose bigrams meet in one bucket; every chunk sends rows to every bucket, so beyond so many buckets they grow, up to
+#: the larger bytes.
+BUCKET_BYTES, BUCKETS, MOST_BUCKET_BYTES = 4 << 20, 1000, 16 << 20
 
 
 def word_shape(word: str) -> str:
@@ -236,6 +237,10 @@ class HotWords:
         return np.where(np.maximum(first, second) < RARE, (x ^ (x >> half)).astype(np.int64), -1)
 
 
+def _bucket_count(text_bytes: int) -> int:
+    return max(min(1 + text_bytes // BUCKET_BYTES, BUCKETS), 1 + text_bytes // MOST_BUCKET_BYTES)
+
+
 def _deal(hot: HotWords, refs: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int):
     """``(order, bucket, number)`` of a chunk's bigrams and of its rare words: the order in which they are sent, and the bucket and
     number of each. In a bucket numbers rise; what has none (-1) comes last."""
@@ -291,7 +296,7 @@ def _flat(column: pa.ChunkedArray, kind: pa.DataType = _LONGS) -> pa.Array:
 
 def _packed(ends: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
     """Counts, a row for each entry, as lists of the entries up to each of ``ends``."""
-    width, flat = counts.shape[1], counts.ravel().astype(np.int64)
+    width, flat = counts.shape[1], counts.ravel().astype(np.int64, copy=False)
     big = flat > 127
     before = np.r_[0, np.cumsum(big)][ends * width]
     return {"small": _lists(ends * width, np.where(big, -1, flat).astype(np.int8), _BYTES), "large": _lists(before, flat[big])}
@@ -443,7 +448,7 @@ def cross_entropy_difference(documents: DataFrame, models: BigramModels) -> Data
     row, text, doc_id = F.monotonically_increasing_id().alias("row"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id")
     same = documents is models.documents
     held = documents.select(text) if same else documents.select(text).unionByName(models.documents.select(text))
-    buckets = 1 + (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    buckets = _bucket_count(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     release(documents.sparkSession)  # when the words were counted, that job's events could still hold its plan
     sent = _entries(documents.select(row, doc_id, text, models.target if same else F.lit(False).alias("target")), hot, words, buckets, same, True)
     if not same:
