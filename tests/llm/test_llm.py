@@ -321,6 +321,20 @@ def test_mixing_small_sources(spark):
     assert {r.doc_id // 1000 for r in mixing.mixed_documents(docs).collect() if r.doc_id < 10**6} == set(range(len(sizes)))
 
 
+def plan_lines(df, words):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if all(w in line for w in words)]
+
+
+def test_mixing_sends_no_blocks_to_the_driver(spark):
+    """A few sources make any number of blocks, which the planner does not see: their join sorts, and rows without blocks spread."""
+    docs = documents(spark, [(i, "w " * 3000, f"s{i % 2}") for i in range(20)] + [(100 + i, " ", "s0") for i in range(200)])
+    out = mixing.mix_documents(docs)
+    assert plan_lines(out, ["SortMergeJoin", "LeftOuter"]) and not plan_lines(out, ["BroadcastHashJoin", "LeftOuter"])
+    assert Counter(r.taken > 0 for r in out.collect()) == {True: 20, False: 200}
+    keys = re.findall(r"Join \[source_no#\d+, (\w+)#", plan_lines(out, ["SortMergeJoin", "LeftOuter"])[0])
+    assert keys == ["_at"]  # not the block, which is null for all rows without words
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         out = mixing._permuted(np.arange(n), np.full(n, n), np.full(n, 12345, dtype=np.uint64))

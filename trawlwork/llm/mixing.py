@@ -173,9 +173,13 @@ def mix_documents(documents: DataFrame, **parameters) -> DataFrame:
     matter: the stream's order and the permutations follow from ids, texts and the seed. Parameters: :func:`mix_plan`.
     """
     sources, slots, pieces = mix_plan(documents, **parameters)
-    uses = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = slots.groupBy("source_no", F.col("block").alias("_at")).agg(F.count(F.lit(1)).alias("uses"))
+    # Slots come of a few rows of sources, and the planner takes them to be as few: left alone it would broadcast every block.
+    # Pieces without a block get numbers of their own below 0, else they would all go to one task.
+    at = F.coalesce("block", -1 - F.pmod(F.xxhash64("doc_id", "mark", "copy"), F.lit(1 << 40)))
     taken = (
-        pieces.join(uses, ["source_no", "block"], "left")
+        pieces.withColumn("_at", at)
+        .join(uses.hint("merge"), ["source_no", "_at"], "left")
         .groupBy("doc_id", "mark", "copy", "source_no", "size")
         .agg(F.sum(F.col("n_words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     )
