@@ -1,9 +1,11 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trawlwork import queries
 from trawlwork.functions import text as X
 from trawlwork.functions import vectors as V
 from trawlwork.operators import relevance as R
@@ -152,6 +154,33 @@ def test_similarity_tiles(spark):
     assert np.allclose(sorted(r.scores for r in whole), sorted(matrix.tolist()))
 
 
+def test_similarity_tiles_as_text(spark):
+    """The text of the scores is made where they are, with the digits that the JVM would write, halves and nulls too."""
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(40, 5)).round(2)
+    rows = [(i, r.tolist()) for i, r in enumerate(matrix)] + [(40, None), (41, [0.0] * 5), (42, [1.0]), (43, [None, 1.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "id int, embedding array<double>")
+    rights = table.withColumnRenamed("id", "r")
+    tiles = W.similarity_tiles(table, rights, "id", "r", tile_rows=7, block_rows=9)
+    shown = F.array_join(F.transform("scores", lambda s: F.format_string("%.4f", s)), " ")
+    wanted = tiles.select("id", "tile", shown.alias("scores")).collect()
+    written = W.similarity_tiles(table, rights, "id", "r", tile_rows=7, block_rows=9, decimals=4)
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, wanted)) and any("null" in t.scores for t in wanted)
+    values = [0.12345, -0.12345, -0.00004, 0.00005, -0.0, 0.0, 1.0000000000000002, -1.0, 0.99995, 0.00015, None, 0.5, 0.99994999]
+    for some in (values, [*values, 1.5, -12.00005, float("inf")]):
+        wanted = spark.createDataFrame([(some,)], "s array<double>").select(F.array_join(F.transform("s", lambda s: F.format_string("%.4f", s)), " ")).first()[0]
+        assert W.written_scores(np.array([some] * 3, dtype=float), 4).to_pylist() == [wanted] * 3
+    assert W.written_scores(np.zeros((2, 0)), 4).to_pylist() == ["", ""] and len(W.written_scores(np.zeros((0, 3)), 4)) == 0
+
+
+def test_tiles_query_writes_no_numbers_one_by_one(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = queries.pairwise_similarity_tiles(spark, str(tmp_path))
+    assert "format_string" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r.tile for r in out.collect()) == {0: 300, 1: 300, 2: 300}
+
+
 def test_tiles_copy_no_vectors_in_shuffles(spark):
     """Every block meets every tile in a cross join; the vectors are shuffled once, not once a tile."""
     rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "id int, embedding array<double>")
