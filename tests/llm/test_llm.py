@@ -335,6 +335,13 @@ def test_mixing_sends_no_blocks_to_the_driver(spark):
     assert keys == ["_at"]  # not the block, which is null for all rows without words
 
 
+def test_pipeline_mix_sends_no_blocks_to_the_driver(spark):
+    docs = documents(spark, [(i, "w " * 3000, f"s{i % 2}") for i in range(20)] + [(100 + i, " ", "s0") for i in range(20)])
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert not plan_lines(mixed, ["BroadcastHashJoin", "block#"]) and plan_lines(mixed, ["SortMergeJoin", "_at#"])
+    assert Counter(r.doc_id for r in mixed.collect() if r.doc_id >= 100) == Counter(range(100, 120))
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         out = mixing._permuted(np.arange(n), np.full(n, n), np.full(n, 12345, dtype=np.uint64))
