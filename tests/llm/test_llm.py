@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawlwork.llm import components, decontamination, lm_scoring, minhash, mixing, quality, repeats, sharding, toxicity, vector_dedup
+from trawlwork.plans.lineage import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, shard string, label int"
 WORDS = [f"w{i}" for i in range(60)]
@@ -337,6 +338,8 @@ def test_mixing_sends_no_blocks_to_the_driver(spark):
 
 def test_pipeline_mix_sends_no_blocks_to_the_driver(spark):
     docs = documents(spark, [(i, "w " * 3000, f"s{i % 2}") for i in range(20)] + [(100 + i, " ", "s0") for i in range(20)])
+    import corpus_pipeline
+
     mixed = corpus_pipeline.mix(spark, docs, "")
     assert not plan_lines(mixed, ["BroadcastHashJoin", "block#"]) and plan_lines(mixed, ["SortMergeJoin", "_at#"])
     assert Counter(r.doc_id for r in mixed.collect() if r.doc_id >= 100) == Counter(range(100, 120))
@@ -601,6 +604,27 @@ def subgroups(groups, size=60, dimensions=64, seed=11):
     return (centers[:, None] + 0.002 * noise / np.linalg.norm(noise, axis=2, keepdims=True)).reshape(-1, dimensions)
 
 
+def test_vectors_are_written_once(spark, monkeypatch):
+    """Rounds, shards and links are tables without vectors, floats stay floats, and shards are dealt out in waves with the same result."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, (base[i % 60] + rng.normal(0, 0.02, 8)).tolist(), i % 2) for i in range(600)] + [(i, base[0].tolist(), 0) for i in range(600, 640)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vector_dedup, "SHARD", 60)
+    whole = Counter(map(tuple, vector_dedup.near_duplicate_vectors(table).collect()))
+    vectors = {r.vec_id: (r.label, np.array(r.embedding, dtype=float)) for r in table.collect()}
+    unit = {i: v / np.linalg.norm(v) for i, (_, v) in vectors.items()}
+    links = Counter(i for i in unit for j in unit if i != j and vectors[i][0] == vectors[j][0] and unit[i] @ unit[j] >= 0.98)
+    assert {r[0]: r[1] for r in whole} == {i: links[i] for i in unit} and sum(links.values()) > 1000
+    written = []
+    monkeypatch.setattr(vector_dedup, "cut", lambda df, name: written.append((name, dict(df.dtypes))) or cut(df, name))
+    monkeypatch.setattr(vector_dedup, "WAVE_ROWS", 300, raising=False)
+    monkeypatch.setattr(vector_dedup, "WAVE_TIMES", 0.5, raising=False)
+    assert Counter(map(tuple, vector_dedup.near_duplicate_vectors(table).collect())) == whole
+    assert [(name, kinds["v"]) for name, kinds in written if "v" in kinds] == [("nodes", "array<float>")]
+    assert sum(name == "links" for name, _ in written) > 2
+
+
 @pytest.mark.parametrize("groups", [2, 3, 5, 10])
 def test_vector_graph_of_tight_subgroups(groups):
     assert 60 > vector_dedup.POOL
